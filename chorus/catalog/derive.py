@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chorus.sources.tables import load
+from chorus.sources.tables import documents, load
 
 PREFIXES = (
     "&#39;Tis &amp; so ", "@user_1-x ", "see https://ex.am/p?q=1#frag ", "नौकरी चाहिए ",
@@ -34,7 +34,7 @@ def _choose(key: Column, values: list[Column]) -> Column:
 
 def marked_documents(spark: SparkSession, d: str) -> DataFrame:
     prefix = _choose(F.col("doc_id"), [F.lit(p) for p in PREFIXES])
-    return load(spark, d, "documents").select(
+    return documents(spark, d, "doc_id", "source", "lang", "text").select(
         "doc_id", "source", "lang", F.concat(prefix, F.col("text")).alias("text"))
 
 
@@ -51,7 +51,7 @@ def scripted_documents(spark: SparkSession, d: str) -> DataFrame:
         F.translate(F.lower(text), LATIN_LETTERS[:HALF], DEVANAGARI_LETTERS[:HALF]),
         text, text,
     ]
-    return load(spark, d, "documents").select(
+    return documents(spark, d, "doc_id", "source", "lang", "text").select(
         "doc_id", "source", "lang", _choose(F.col("doc_id"), versions).alias("text"))
 
 

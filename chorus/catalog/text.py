@@ -9,7 +9,7 @@ from chorus.catalog.derive import (MARKED, SCRIPTED, SQL_SPACES, lit, marked_doc
 from chorus.catalog.registry import query
 from chorus.functions import scores, scripts, text as tx
 from chorus.operators import cleaning, language, sequences
-from chorus.sources.tables import load
+from chorus.sources.tables import documents, load, spread
 from chorus.wordlists import CURLY_QUOTES, EMOJI_NAMES, STOP_WORDS, STRAIGHT_QUOTES
 
 
@@ -48,7 +48,7 @@ STOPS = "(" + ", ".join(lit(w) for w in STOP_WORDS) + ")"
 
 @query(f"""SELECT page_id, {sql_entities('html')} AS html FROM pages""")
 def decode_entities(spark, d):
-    return load(spark, d, "pages").select("page_id", tx.decode_entities(F.col("html")).alias("html"))
+    return spread(load(spark, d, "pages").select("page_id", "html"), "page_id").select("page_id", tx.decode_entities(F.col("html")).alias("html"))
 
 
 def _one_step(spark, d, step):
@@ -177,20 +177,20 @@ SELECT count(*) AS n, count(*) FILTER (words > 512) AS above,
   round(quantile_cont(words, 0.9), 4) AS p90, round(quantile_cont(words, 0.95), 4) AS p95,
   round(quantile_cont(words, 0.99), 4) AS p99, CAST(max(words) AS DOUBLE) AS p100 FROM w""")
 def sequence_lengths(spark, d):
-    return sequences.length_profile(load(spark, d, "documents"), "text", 512)
+    return sequences.length_profile(documents(spark, d, "doc_id", "text"), "text", 512)
 
 
 @query(f"""SELECT doc_id, len({TOKENS}) AS n, array_to_string({TOKENS}, ' ') AS tokens FROM documents""")
 def tokens(spark, d):
     words = tx.tokens(F.col("text"))
-    return load(spark, d, "documents").select(
+    return documents(spark, d, "doc_id", "text").select(
         "doc_id", F.size(words).cast("bigint").alias("n"), F.array_join(words, " ").alias("tokens"))
 
 
 @query(f"""WITH k AS (SELECT doc_id, list_filter({TOKENS}, lambda w: w NOT IN {STOPS}) AS words
   FROM documents) SELECT doc_id, len(words) AS n, array_to_string(words, ' ') AS tokens FROM k""")
 def tokens_nostop(spark, d):
-    docs = load(spark, d, "documents").select(
+    docs = documents(spark, d, "doc_id", "text").select(
         "doc_id", tx.without(tx.tokens(F.col("text")), STOP_WORDS).alias("w"))
     return docs.select("doc_id", F.size("w").cast("bigint").alias("n"),
                        F.array_join("w", " ").alias("tokens"))
@@ -204,7 +204,7 @@ SQL_GRAMS = """list_concat(list_concat(w,
 @query(f"""WITH k AS (SELECT doc_id, {TOKENS} AS w FROM documents)
 SELECT doc_id, len({SQL_GRAMS}) AS n, md5(array_to_string({SQL_GRAMS}, '|')) AS digest FROM k""")
 def ngrams(spark, d):
-    grams = load(spark, d, "documents").select(
+    grams = documents(spark, d, "doc_id", "text").select(
         "doc_id", tx.ngrams(tx.tokens(F.col("text"))).alias("g"))
     return grams.select("doc_id", F.size("g").cast("bigint").alias("n"),
                         F.md5(F.array_join("g", "|")).alias("digest"))
@@ -222,7 +222,7 @@ SELECT doc_id, coalesce(array_to_string(ids, ' ') || repeat(' 0', 128 - n), '0'
   AS input_ids, coalesce(n, 0) AS kept, repeat('1', coalesce(n, 0)) || repeat('0', 128 - coalesce(n, 0))
   AS attention_mask FROM documents LEFT JOIN ids USING (doc_id)""")
 def seq_encode(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "text")
+    docs = documents(spark, d, "doc_id", "text")
     vocab = sequences.vocabulary(docs, "text", 2000)
     coded = sequences.encode(docs, "doc_id", "text", vocab, length=128, unknown_id=2001)
     return coded.select(
@@ -238,7 +238,7 @@ def seq_encode(spark, d):
 SELECT vec_id, CAST(list_position(e, top) - 1 AS INTEGER) AS predicted_class,
   round(1 / total, 6) AS confidence, round(exp(e[1] - top) / total, 6) AS prob_0 FROM q""")
 def softmax_argmax(spark, d):
-    probs = load(spark, d, "embeddings").select(
+    probs = spread(load(spark, d, "embeddings"), "vec_id").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("e")).withColumn(
         "p", scores.softmax(F.col("e")))
     return probs.select("vec_id", scores.argmax(F.col("e")).alias("predicted_class"),

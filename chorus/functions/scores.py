@@ -18,10 +18,10 @@ def sentiment_class(compound: Column) -> Column:
 
 def softmax(scores: Column) -> Column:
     """Probabilities of an array of scores, shifted by the maximum."""
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda s: F.exp(s - top))
+    same = lambda value, like: F.array_repeat(value, F.size(like))
+    powers = F.zip_with(scores, same(F.array_max(scores), scores), lambda s, top: F.exp(s - top))
     total = F.aggregate(powers, F.lit(0.0), lambda a, p: a + p)
-    return F.transform(powers, lambda p: p / total)
+    return F.zip_with(powers, same(total, powers), lambda p, t: p / t)
 
 
 def argmax(scores: Column) -> Column:

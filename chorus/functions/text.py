@@ -30,6 +30,11 @@ def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+# A deterministic Python function would be run again in every filter that the
+# optimizer moves below it; this mark makes Spark evaluate it once per row.
+_unescape = _unescape.asNondeterministic()
+
+
 def decode_entities(text: Column) -> Column:
     """Named, decimal and hexadecimal HTML entities to characters.
 
@@ -116,14 +121,12 @@ def without(words: Column, stop_words: Sequence[str]) -> Column:
 
 def ngrams(words: Column, shortest: int = 1, longest: int = 3) -> Column:
     """All runs of ``shortest`` to ``longest`` words joined by one space."""
-    size = F.size(words)
-
     def of_length(k: int) -> Column:
-        if k == 1:
-            return words
-        starts = F.sequence(F.lit(1), F.greatest(size - (k - 1), F.lit(1)))
-        joined = F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
-        return F.when(size >= k, joined).otherwise(F.array().cast("array<string>"))
+        grams = words
+        for place in range(2, k + 1):
+            shifted = F.slice(words, place, F.greatest(F.size(words), F.lit(1)))
+            grams = F.zip_with(grams, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.filter(grams, lambda g: g.isNotNull()) if k > 1 else grams
 
     return F.concat(*[of_length(k) for k in range(shortest, longest + 1)])
 

@@ -28,10 +28,9 @@ def trigrams(text: Column) -> Column:
     """Overlapping groups of three characters of the lower-case text."""
     spaced = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, f"[{SPACES}]+", " ")), F.lit(" "))
     chars = F.filter(F.split(spaced, ""), lambda c: c != "")
-    starts = F.when(F.size(chars) >= 3, F.sequence(F.lit(0), F.size(chars) - 3)).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat(
-        F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
+    shifted = lambda place: F.slice(chars, place, F.size(chars))
+    triples = F.zip_with(F.zip_with(chars, shifted(2), F.concat), shifted(3), F.concat)
+    return F.filter(triples, lambda t: t.isNotNull())
 
 
 def learn_profiles(labelled: DataFrame, text: str, label: str, classes: Sequence[str],

@@ -85,36 +85,41 @@ def prefix_sums(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequenc
     return result.drop("_bucket")
 
 
-def order_statistics(df: DataFrame, by: Sequence[str], value: str,
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Rows ``n`` per group and non-null value."""
+    return (df.filter(F.col(value).isNotNull()).groupBy(*by, value)
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def order_statistics(counts: DataFrame, by: Sequence[str], value: str,
                      positions: Mapping[str, Column]) -> DataFrame:
-    """Exact values at sorted positions, one row per group.
+    """Exact values at sorted positions, one row per group, with its size ``n``.
 
-    ``positions`` maps an output column to a 0-based position written in terms
-    of ``n``, the number of non-null values of the group.
+    ``counts`` comes from :func:`value_counts`. ``positions`` maps an output
+    column to a 0-based position written in terms of ``n``, the number of
+    values of the group.
     """
-    points = (df.filter(F.col(value).isNotNull()).groupBy(*by, value)
-              .agg(F.count(F.lit(1)).alias("n")).withColumn("_bucket", value_bucket(F.col(value))))
+    points = counts.withColumn("_bucket", value_bucket(F.col(value)))
     offsets = bucket_offsets(points, by, "_bucket", ["n"])
-    total = offsets.withColumn("n", F.col("total_n"))
-    wanted = total.select(
-        *by, "_bucket", "before_n", "in_n",
-        F.explode(F.array(*[F.struct(F.lit(name).alias("stat"), pos.cast("bigint").alias("pos"))
-                            for name, pos in positions.items()])).alias("w"),
-    ).filter((F.col("w.pos") >= F.col("before_n"))
-             & (F.col("w.pos") < F.col("before_n") + F.col("in_n")))
-    wanted = wanted.select(*by, "_bucket", "before_n", F.col("w.stat").alias("stat"),
-                           F.col("w.pos").alias("pos"))
-    inside = (Window.partitionBy(*by, "_bucket", "stat").orderBy(value)
+    places = offsets.withColumn("n", F.col("total_n")).select(
+        *by, "_bucket", "before_n", "in_n", F.col("n").alias("_size"),
+        *[pos.cast("bigint").alias(f"_at_{name}") for name, pos in positions.items()])
+
+    def between(name: str, low: Column, high: Column) -> Column:
+        return (F.col(f"_at_{name}") >= low) & (F.col(f"_at_{name}") < high)
+
+    here = reduce(lambda a, b: a | b, [
+        between(name, F.col("before_n"), F.col("before_n") + F.col("in_n")) for name in positions])
+    inside = (Window.partitionBy(*by, "_bucket").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, 0))
-    reach = F.col("before_n") + F.sum("n").over(inside)
-    hits = (null_safe_join(points, wanted, [*by, "_bucket"])
-            .withColumn("_reach", reach)
-            .filter((F.col("_reach") > F.col("pos")) & (F.col("_reach") - F.col("n") <= F.col("pos"))))
-    return hits.groupBy(*by).agg(
-        *[F.max(F.when(F.col("stat") == name, F.col(value))).alias(name) for name in positions])
+    ranked = (null_safe_join(points, places.filter(here), [*by, "_bucket"])
+              .withColumn("_reach", F.col("before_n") + F.sum("n").over(inside)))
+    return ranked.groupBy(*by).agg(F.max("_size").alias("n"), *[
+        F.max(F.when(between(name, F.col("_reach") - F.col("n"), F.col("_reach")),
+                     F.col(value))).alias(name) for name in positions])
 
 
-def linear_percentiles(df: DataFrame, by: Sequence[str], value: str,
+def linear_percentiles(counts: DataFrame, by: Sequence[str], value: str,
                        percents: Mapping[str, float]) -> DataFrame:
     """Percentiles with linear interpolation between neighbours, per group."""
     n = F.col("n")
@@ -123,12 +128,7 @@ def linear_percentiles(df: DataFrame, by: Sequence[str], value: str,
         at = (n - 1) * F.lit(p / 100.0)
         positions[f"_{name}_lo"] = F.floor(at)
         positions[f"_{name}_hi"] = F.ceil(at)
-    stats = order_statistics(df, by, value, positions)
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    if by:
-        stats = null_safe_join(stats, sizes, by)
-    else:
-        stats = stats.withColumn("n", sizes.scalar())
+    stats = order_statistics(counts, by, value, positions)
     cols = []
     for name, p in percents.items():
         at = (n - 1) * F.lit(p / 100.0)

@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from chorus.functions import text as tx
-from chorus.operators.ordering import linear_percentiles
+from chorus.operators.ordering import value_counts
 from chorus.workspace import stage
 
-PERCENTILES = {"p50": 50, "p75": 75, "p90": 90, "p95": 95, "p99": 99, "p100": 100}
+PERCENTS = (50, 75, 90, 95, 99, 100)
 
 
 def length_profile(df: DataFrame, text: str, limit: int) -> DataFrame:
-    """Percentiles of the word count and the share of texts above ``limit``."""
-    words = df.select(tx.word_count(F.col(text)).alias("words"))
-    points = linear_percentiles(words, [], "words", PERCENTILES)
-    above = words.agg(F.count_if(F.col("words") > limit))
-    return points.select(
-        "n", above.scalar().alias("above"),
-        F.round(above.scalar() * 100.0 / F.col("n"), 4).alias("above_pct"),
-        *[F.round(p, 4).alias(p) for p in PERCENTILES])
+    """Percentiles of the word count and the share of texts above ``limit``.
+
+    Texts are first counted per length, so the percentile buffer holds one
+    entry per distinct length and not one per text.
+    """
+    lengths = value_counts(df.select(tx.word_count(F.col(text)).alias("words")), [], "words")
+    above = F.coalesce(F.sum(F.when(F.col("words") > limit, F.col("n"))), F.lit(0))
+    profile = lengths.agg(
+        F.sum("n").alias("total"), above.alias("above"),
+        F.percentile("words", [p / 100 for p in PERCENTS], F.col("n")).alias("at"))
+    return profile.select(
+        F.col("total").alias("n"), "above",
+        F.round(F.col("above") * 100.0 / F.col("total"), 4).alias("above_pct"),
+        *[F.round(F.col("at")[i], 4).alias(f"p{p}") for i, p in enumerate(PERCENTS)])
 
 
 def vocabulary(df: DataFrame, text: str, size: int) -> DataFrame:

@@ -22,6 +22,22 @@ def load(spark: SparkSession, base: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{base.rstrip('/')}/{table}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for costly row work on a scan with too few splits.
+
+    Large tables have far more splits than cores and pass unchanged; a small
+    file with one row group is hash-partitioned on its key.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def documents(spark: SparkSession, base: str, *columns: str) -> DataFrame:
+    """The document table for text work: chosen columns, spread over the cores."""
+    docs = load(spark, base, "documents")
+    return spread(docs.select(*columns) if columns else docs, "doc_id")
+
+
 def read_csv(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame:
     """CSV scan with a header and a declared schema (nothing is inferred)."""
     return spark.read.schema(columns).options(**CSV_OPTIONS).csv(path)

@@ -12,6 +12,13 @@ from oracle import connect, differences  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
 
+class spark_rows:
+    """A collected frame, so that timing and comparing share one run."""
+
+    def __init__(self, df, rows):
+        self.columns, self.collect = df.columns, lambda: rows
+
+
 def main() -> int:
     folder, names = sys.argv[1], sys.argv[2:]
     spark = (SparkSession.builder.master("local[8]").appName("check")
@@ -31,7 +38,10 @@ def main() -> int:
                 rows = q.run(spark, folder).collect()
                 why, note = (None if rows else "no rows"), f"rows-only {len(rows)} {rows[:2]}"
             else:
-                why, note = differences(q.run(spark, folder), con, q.sql), ""
+                df = q.run(spark, folder)
+                rows = df.collect()
+                note = f"spark {time.time() - start:.2f}s"
+                why = differences(spark_rows(df, rows), con, q.sql)
         except Exception as error:  # report and go on with the next query
             why, note = f"{type(error).__name__}: {str(error)[:900]}", ""
             pass
