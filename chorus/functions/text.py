@@ -106,7 +106,9 @@ def reduction_percent(before: Column, after: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words between white space; blank text has none."""
-    return F.regexp_count(text, F.lit(f"[^{SPACES}]+")).cast("bigint")
+    spaced = normalize_spaces(text)
+    gaps = F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))
+    return F.when(spaced == "", 0).otherwise(gaps + 1).cast("bigint")
 
 
 def tokens(text: Column) -> Column:
