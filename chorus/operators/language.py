@@ -29,7 +29,8 @@ def trigrams(text: Column) -> Column:
     spaced = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, f"[{SPACES}]+", " ")), F.lit(" "))
     chars = F.filter(F.split(spaced, ""), lambda c: c != "")
     shifted = lambda place: F.slice(chars, place, F.size(chars))
-    triples = F.zip_with(F.zip_with(chars, shifted(2), F.concat), shifted(3), F.concat)
+    join = lambda a, b: F.concat(a, b)
+    triples = F.zip_with(F.zip_with(chars, shifted(2), join), shifted(3), join)
     return F.filter(triples, lambda t: t.isNotNull())
 
 

@@ -15,6 +15,20 @@ SESSION_SETTINGS = {
 }
 
 
+def local_session(cores: int | str = "*", app: str = "chorus") -> SparkSession:
+    """A local session for tests and measurements."""
+    builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
+               .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
+               .config("spark.driver.memory", "12g")
+               .config("spark.sql.shuffle.partitions", "8")
+               # Capturing the call site of every column costs several JVM calls each.
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    return apply_settings(spark)
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the runtime SQL settings every job of the library relies on."""
     for key, value in SESSION_SETTINGS.items():

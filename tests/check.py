@@ -9,7 +9,6 @@ from pathlib import Path
 sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parent.parent)]
 
 from oracle import connect, differences  # noqa: E402
-from pyspark.sql import SparkSession  # noqa: E402
 
 
 class spark_rows:
@@ -21,10 +20,8 @@ class spark_rows:
 
 def main() -> int:
     folder, names = sys.argv[1], sys.argv[2:]
-    spark = (SparkSession.builder.master("local[8]").appName("check")
-             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-             .config("spark.driver.memory", "12g")
-             .config("spark.sql.shuffle.partitions", "8").getOrCreate())
+    from chorus.workspace import local_session
+    spark = local_session(8, "check")
     spark.sparkContext.setLogLevel("OFF")
     from chorus.catalog import REGISTRY
 
