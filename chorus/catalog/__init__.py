@@ -4,6 +4,6 @@ from __future__ import annotations
 
 from chorus.catalog.registry import REGISTRY, Query
 
-from chorus.catalog import features, ingest, predictions, stats, text  # noqa: E402,F401
+from chorus.catalog import features, ingest, predictions, stats, text, training  # noqa: E402,F401
 
 __all__ = ["REGISTRY", "Query"]

@@ -11,6 +11,8 @@ from chorus.functions.text import SPACES
 from chorus.workspace import stage
 
 PROFILE_SIZE = 300
+# Looks three characters ahead of every character; never starts inside a surrogate pair.
+TRIGRAM = r"(?s)(?![\x{dc00}-\x{dfff}])(?=(...))"
 
 
 def classify(df: DataFrame, text: str, detected: Column) -> DataFrame:
@@ -27,11 +29,7 @@ def classify(df: DataFrame, text: str, detected: Column) -> DataFrame:
 def trigrams(text: Column) -> Column:
     """Overlapping groups of three characters of the lower-case text."""
     spaced = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, f"[{SPACES}]+", " ")), F.lit(" "))
-    chars = F.filter(F.split(spaced, ""), lambda c: c != "")
-    shifted = lambda place: F.slice(chars, place, F.size(chars))
-    join = lambda a, b: F.concat(a, b)
-    triples = F.zip_with(F.zip_with(chars, shifted(2), join), shifted(3), join)
-    return F.filter(triples, lambda t: t.isNotNull())
+    return F.regexp_extract_all(spaced, F.lit(TRIGRAM), F.lit(1))
 
 
 def learn_profiles(labelled: DataFrame, text: str, label: str, classes: Sequence[str],
@@ -43,17 +41,16 @@ def learn_profiles(labelled: DataFrame, text: str, label: str, classes: Sequence
     """
     grams = labelled.select(label, F.explode(trigrams(F.col(text))).alias("gram"))
     counts = grams.groupBy(label, "gram").agg(F.count(F.lit(1)).alias("n"))
-    best = (counts.withColumn("_r", F.row_number().over(
+    best = stage(counts.withColumn("_r", F.row_number().over(
         Window.partitionBy(label).orderBy(F.desc("n"), "gram")))
-        .filter(F.col("_r") <= size))
+        .filter(F.col("_r") <= size), "profiles")
+    totals = best.agg(F.struct(*[
+        F.coalesce(F.sum(F.when(F.col(label) == c, F.col("n"))), F.lit(0)).alias(c)
+        for c in classes]).alias("t"))
     wide = best.groupBy("gram").pivot(label, list(classes)).agg(F.max("n"))
-    sums = best.groupBy().agg(*[
-        F.sum(F.when(F.col(label) == c, F.col("n"))).alias(c) for c in classes])
-    staged = stage(wide, "profiles")
-    totals = F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in classes])
-    return staged.withColumn("_t", sums.select(totals.alias("t")).scalar()).select(
-        "gram", *[F.ln((F.coalesce(F.col(c).cast("double"), F.lit(0.5))) / (F.col(f"_t.{c}") + 1.0))
-                  .alias(f"lp_{c}") for c in classes])
+    share = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.5)) / (F.col(f"_t.{c}") + 1.0)
+    return stage(wide.withColumn("_t", totals.scalar()).select(
+        "gram", *[F.ln(share(c)).alias(f"lp_{c}") for c in classes]), "profile-weights")
 
 
 def detect(df: DataFrame, id_col: str, text: str, profiles: DataFrame,
@@ -61,7 +58,7 @@ def detect(df: DataFrame, id_col: str, text: str, profiles: DataFrame,
     """Most probable language per text; null where no known trigram occurs."""
     grams = df.select(id_col, F.explode(trigrams(F.col(text))).alias("gram"))
     sums = grams.join(profiles, "gram").groupBy(id_col).agg(
-        *[F.round(F.sum(f"lp_{c}"), 6).alias(f"score_{c}") for c in classes])
+        *[F.round(F.sum(f"lp_{c}"), 3).alias(f"score_{c}") for c in classes])
     best = F.greatest(*[F.col(f"score_{c}") for c in classes])
     pick = F.coalesce(*[F.when(F.col(f"score_{c}") == best, c) for c in classes])
     return df.select(id_col).join(
