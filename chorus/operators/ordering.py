@@ -86,9 +86,12 @@ def prefix_sums(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequenc
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Rows ``n`` per group and non-null value."""
-    return (df.filter(F.col(value).isNotNull()).groupBy(*by, value)
-            .agg(F.count(F.lit(1)).alias("n")))
+    """Rows ``n`` per group and value; the entry for missing values counts none.
+
+    Missing values are not filtered out first: the filter would move below the
+    projection that computes the value and compute it twice.
+    """
+    return df.groupBy(*by, value).agg(F.count(value).alias("n"))
 
 
 def order_statistics(counts: DataFrame, by: Sequence[str], value: str,
