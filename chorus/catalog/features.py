@@ -10,6 +10,7 @@ from chorus.catalog.text import STOPS, TOKENS
 from chorus.config import TfidfConfig
 from chorus.functions import text as tx
 from chorus.operators import keywords, language, lexicon, tfidf
+from chorus.operators.rows import unfold
 from chorus.sources.tables import documents, load
 from chorus.wordlists import (CATEGORY_KEYWORDS, CLASS_KEYWORDS, EMPLOYMENT_KEYWORDS,
                               UNEMPLOYMENT_KEYWORDS)
@@ -60,8 +61,7 @@ SELECT lang, term, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC,
   AS rank FROM c QUALIFY rank <= 10""")
 def top_terms_by_class(spark, d):
     docs = documents(spark, d, "doc_id", "lang", "text")
-    words = docs.select("lang", F.explode(tx.without(tx.tokens(F.col("text")), tfidf.STOP_WORDS))
-                        .alias("term"))
+    words = unfold(docs, tx.without(tx.tokens(F.col("text")), tfidf.STOP_WORDS), "term", "lang")
     counts = words.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
     return keywords.top_per_class(counts, "lang", "term", "n", 10)
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chorus.operators.rows import unfold
 from chorus.wordlists import CATEGORY_KEYWORDS, CLASS_KEYWORDS
 
 
@@ -30,7 +31,7 @@ def keyword_frequency(df: DataFrame, text: str, label: str,
                       lists: Mapping[str, Sequence[str]] = CLASS_KEYWORDS) -> DataFrame:
     """Documents per class and keyword, each document counted once per keyword."""
     hits = keyword_hits(df.select(label, text), text, lists)
-    every = hits.select(label, F.explode(F.concat(*lists)).alias("keyword"))
+    every = unfold(hits, F.concat(*lists), "keyword", label)
     return every.groupBy(label, "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 

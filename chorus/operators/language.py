@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chorus.functions import scripts
 from chorus.functions.text import SPACES
+from chorus.operators.rows import unfold
 from chorus.workspace import stage
 
 PROFILE_SIZE = 300
@@ -39,7 +40,7 @@ def learn_profiles(labelled: DataFrame, text: str, label: str, classes: Sequence
     At most ``size`` trigrams per language enter, one row per trigram with one
     column per language; a trigram unseen in a language counts as one half.
     """
-    grams = labelled.select(label, F.explode(trigrams(F.col(text))).alias("gram"))
+    grams = unfold(labelled, trigrams(F.col(text)), "gram", label)
     counts = grams.groupBy(label, "gram").agg(F.count(F.lit(1)).alias("n"))
     best = stage(counts.withColumn("_r", F.row_number().over(
         Window.partitionBy(label).orderBy(F.desc("n"), "gram")))
@@ -56,7 +57,7 @@ def learn_profiles(labelled: DataFrame, text: str, label: str, classes: Sequence
 def detect(df: DataFrame, id_col: str, text: str, profiles: DataFrame,
            classes: Sequence[str]) -> DataFrame:
     """Most probable language per text; null where no known trigram occurs."""
-    grams = df.select(id_col, F.explode(trigrams(F.col(text))).alias("gram"))
+    grams = unfold(df, trigrams(F.col(text)), "gram", id_col)
     sums = grams.join(profiles, "gram").groupBy(id_col).agg(
         *[F.round(F.sum(f"lp_{c}"), 3).alias(f"score_{c}") for c in classes])
     best = F.greatest(*[F.col(f"score_{c}") for c in classes])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chorus.functions import scores, text as tx
+from chorus.operators.rows import unfold
 from chorus.workspace import stage
 
 LIMIT = 400
@@ -22,7 +23,7 @@ def learn_lexicon(df: DataFrame, text: str, positive: Column, min_df: int = 5,
     marked = df.select(positive.alias("_up"), F.array_distinct(tx.tokens(F.col(text))).alias("_w"))
     totals = marked.agg(F.struct(F.count_if("_up").alias("up"),
                                  F.count_if(~F.col("_up")).alias("down")).alias("t"))
-    words = marked.select("_up", F.explode("_w").alias("word")).groupBy("word").agg(
+    words = unfold(marked, F.col("_w"), "word", "_up").groupBy("word").agg(
         F.count_if("_up").alias("up"), F.count_if(~F.col("_up")).alias("down"))
     kept = words.filter(F.col("up") + F.col("down") >= min_df).withColumn("_t", totals.scalar())
     odds = (F.ln((F.col("up") + 1) / (F.col("_t.up") + 2))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from chorus.functions import text as tx
 from chorus.operators.ordering import value_counts
+from chorus.operators.rows import unfold
 from chorus.workspace import stage
 
 PERCENTS = (50, 75, 90, 95, 99, 100)
@@ -30,8 +31,7 @@ def length_profile(df: DataFrame, text: str, limit: int) -> DataFrame:
 
 def vocabulary(df: DataFrame, text: str, size: int) -> DataFrame:
     """The most frequent words with ids from 1; ties in word order."""
-    counts = (df.select(F.explode(tx.tokens(F.col(text))).alias("word"))
-              .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    counts = (unfold(df, tx.tokens(F.col(text)), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     top = counts.orderBy(F.desc("n"), "word").limit(size)
     numbered = top.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "word")))
     return stage(numbered.select("word", "id"), "vocabulary")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from chorus.config import TfidfConfig
 from chorus.functions import text as tx
+from chorus.operators.rows import unfold
 from chorus.wordlists import STOP_WORDS
 from chorus.workspace import stage
 
@@ -25,8 +26,8 @@ def terms(df: DataFrame, id_col: str, text: str, config: TfidfConfig = TfidfConf
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.select(id_col, *keep, text).repartition(parts, id_col)
     words = placed.select(id_col, *keep, tx.without(tx.tokens(F.col(text)), stop_words).alias("_w"))
-    return words.select(id_col, *keep, F.explode(
-        tx.ngrams(F.col("_w"), config.ngram_min, config.ngram_max)).alias("term"))
+    grams = tx.ngrams(F.col("_w"), config.ngram_min, config.ngram_max)
+    return unfold(words, grams, "term", id_col, *keep)
 
 
 def vocabulary(df: DataFrame, id_col: str, text: str, config: TfidfConfig = TfidfConfig(),

@@ -10,8 +10,7 @@ from chorus import schema
 from chorus.workspace import apply_settings
 
 CSV_OPTIONS = {
-    "header": "true", "multiLine": "true", "quote": '"', "escape": '"',
-    "encoding": "UTF-8", "nullValue": "", "emptyValue": '""',
+    "header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8",
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
 
@@ -39,13 +38,17 @@ def documents(spark: SparkSession, base: str, *columns: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame:
-    """CSV scan with a header and a declared schema (nothing is inferred)."""
-    return spark.read.schema(columns).options(**CSV_OPTIONS).csv(path)
+    """CSV scan with a header and a declared schema (nothing is inferred).
+
+    Quoted line ends stay in the text. An unquoted empty field is missing, a
+    quoted one is the empty text: the marker for missing never occurs in files.
+    """
+    return spark.read.schema(columns).options(
+        multiLine="true", nullValue="\u0000", **CSV_OPTIONS).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    options = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}
-    df.write.mode(mode).options(quoteAll="true", **options).csv(path)
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def create_tables(spark: SparkSession, base: str) -> dict[str, str]:
