@@ -222,8 +222,7 @@ SELECT event_id, event_type, cents, CAST(before AS BIGINT) AS before FROM o WHER
 def quota_prefix(spark, d):
     events = load(spark, d, "events").select(
         "event_id", "event_type", "ts", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
-    taken = collector.take_until(events, ["event_type"], F.date_trunc("hour", "ts"),
-                                 ["ts", "event_id"], "cents", 500000)
+    taken = collector.take_until(events, ["event_type"], ["ts", "event_id"], "cents", 500000)
     return taken.select("event_id", "event_type", "cents", F.col("before_cents").alias("before"))
 
 

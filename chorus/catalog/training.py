@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from chorus.catalog.registry import query
-from chorus.config import BoostConfig, ForestConfig, LogRegConfig, SvmConfig, TfidfConfig
+from chorus.config import (BoostConfig, ForestConfig, LogRegConfig, SvmConfig, TfidfConfig,
+                           Word2VecConfig)
 from chorus.functions import text as tx
 from chorus.operators import compare, quality
 from chorus.plans import models
@@ -123,6 +123,5 @@ def score_requests(spark, d):
 def word2vec(spark, d):
     words = documents(spark, d, "doc_id", "text").select(
         tx.without(tx.tokens(F.col("text")), STOP_WORDS).alias("words"))
-    model = Word2Vec(vectorSize=16, windowSize=5, minCount=5, maxIter=1, seed=42,
-                     inputCol="words", outputCol="v").fit(words)
+    model = models.train_word2vec(words, "words", Word2VecConfig(vector_size=16, epochs=1))
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))

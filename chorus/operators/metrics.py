@@ -12,22 +12,25 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chorus.operators.ordering import null_safe_join, prefix_sums, value_bucket
-
-
-def _listed(values: Sequence[str]) -> Column:
-    return F.explode(F.array(*[F.lit(v) for v in values]))
+from chorus.operators.ordering import null_safe_join, prefix_sums
 
 
 def confusion(pred: DataFrame, classes: Sequence[str], by: Sequence[str] = (),
               truth: str = "y_true", guess: str = "y_pred") -> DataFrame:
-    """Counts for every pair of classes, zero where a pair does not occur."""
-    counts = pred.groupBy(*by, F.col(truth).alias("y_true"), F.col(guess).alias("y_pred")).agg(
-        F.count(F.lit(1)).alias("n"))
-    groups = counts.select(*by).distinct() if by else pred.sparkSession.range(1).select()
-    grid = groups.withColumn("y_true", _listed(classes)).withColumn("y_pred", _listed(classes))
-    return null_safe_join(grid, counts, [*by, "y_true", "y_pred"], "left").withColumn(
-        "n", F.coalesce("n", F.lit(0)))
+    """Counts for every pair of classes, zero where a pair does not occur.
+
+    The rows are counted per pair first; the zero cells are filled in on the
+    resulting handful of rows, without a join.
+    """
+    pairs = pred.groupBy(*by, F.col(truth).alias("_t"), F.col(guess).alias("_g")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    cells = [(t, g, F.coalesce(F.sum(F.when(
+        (F.col("_t") == t) & (F.col("_g") == g), F.col("_n"))), F.lit(0)).alias(f"_c{i}"))
+        for i, (t, g) in enumerate((t, g) for t in classes for g in classes)]
+    wide = pairs.groupBy(*by).agg(*[c for _, _, c in cells])
+    return wide.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(t).alias("y_true"), F.lit(g).alias("y_pred"), F.col(f"_c{i}").alias("n"))
+        for i, (t, g, _) in enumerate(cells)])).alias("cell")).select(*by, "cell.*")
 
 
 def normalized_confusion(matrix: DataFrame, by: Sequence[str] = (), digits: int = 4) -> DataFrame:
@@ -122,8 +125,7 @@ def one_vs_rest(pred: DataFrame, probabilities: Mapping[str, str], by: Sequence[
 
 
 def _ranked(points: DataFrame, by: Sequence[str]) -> DataFrame:
-    return prefix_sums(points, [*by, "class"], value_bucket(F.col("score"), 4096), ["score"],
-                       ["pos", "neg"])
+    return prefix_sums(points, [*by, "class"], ["score"], ["pos", "neg"])
 
 
 def roc_auc(points: DataFrame, by: Sequence[str] = (), digits: int = 6) -> DataFrame:

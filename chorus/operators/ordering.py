@@ -2,10 +2,12 @@
 
 A window over a class, a source or the whole table sorts that group in a single
 task, which fails once the group holds a large share of the data. Here every
-such operator works on two levels. Rows fall into buckets that follow the sort
-order; the bucket totals are a small aggregate (combined before the shuffle)
-whose prefix sums give each bucket its offset; only inside one bucket is a
-window used. The results are exact.
+such operator works on two levels. Rows fall into parts that follow the sort
+order; the totals of the parts are a small aggregate (combined before the
+shuffle) whose prefix sums give each part its offset; a window is only used
+inside one part. Parts are cut where the data is: by the leading digits of a
+hash, which are even by construction, or by the range partitioner, which splits
+a hot group or a hot value range over many tasks. The results are exact.
 """
 
 from __future__ import annotations
@@ -61,28 +63,28 @@ def bucket_offsets(df: DataFrame, by: Sequence[str], bucket: str,
     return sums.select(*by, bucket, *cols)
 
 
-def prefix_sums(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str],
+def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str],
                 weights: Sequence[str], until: Mapping[str, int] | None = None) -> DataFrame:
     """Add ``before_<w>`` (sum over earlier rows) and ``total_<w>`` per weight.
 
-    ``bucket`` must rise with ``order``. With ``until`` = {weight: limit} only
-    rows whose sum before them is below the limit are kept, and whole buckets
-    past the limit leave before any row is sorted.
+    ``order`` must be a total order inside a group. The frame is range-sorted
+    and staged with its partition number, so that a group of any size is cut
+    into equal parts. With ``until`` = {weight: limit} only rows whose sum before
+    them is below the limit are kept; parts past the limit leave unsorted.
     """
-    keyed = df.withColumn("_bucket", bucket)
-    offsets = bucket_offsets(keyed, by, "_bucket", weights).drop(
-        *[f"in_{w}" for w in weights])
+    parts = stage(df.orderBy(*by, *order).withColumn("_part", F.spark_partition_id()), "sorted")
+    offsets = bucket_offsets(parts, by, "_part", weights).drop(*[f"in_{w}" for w in weights])
     for w, limit in (until or {}).items():
         offsets = offsets.filter(F.col(f"before_{w}") < limit)
-    joined = null_safe_join(keyed, offsets, [*by, "_bucket"])
-    inside = (Window.partitionBy(*by, "_bucket").orderBy(*order)
+    joined = null_safe_join(parts, stage(offsets, "offsets"), [*by, "_part"])
+    inside = (Window.partitionBy(*by, "_part").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
     result = joined.withColumns({
         f"before_{w}": F.col(f"before_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))
         for w in weights})
     for w, limit in (until or {}).items():
         result = result.filter(F.col(f"before_{w}") < limit)
-    return result.drop("_bucket")
+    return result.drop("_part")
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -100,7 +102,8 @@ def order_statistics(counts: DataFrame, by: Sequence[str], value: str,
 
     ``counts`` comes from :func:`value_counts`. ``positions`` maps an output
     column to a 0-based position written in terms of ``n``, the number of
-    values of the group.
+    values of the group. Bucket counts find the narrow ranges of values the
+    positions fall in; only the values of those ranges are sorted.
     """
     points = counts.withColumn("_bucket", value_bucket(F.col(value)))
     offsets = bucket_offsets(points, by, "_bucket", ["n"])
@@ -113,12 +116,12 @@ def order_statistics(counts: DataFrame, by: Sequence[str], value: str,
 
     here = reduce(lambda a, b: a | b, [
         between(name, F.col("before_n"), F.col("before_n") + F.col("in_n")) for name in positions])
-    inside = (Window.partitionBy(*by, "_bucket").orderBy(value)
-              .rowsBetween(Window.unboundedPreceding, 0))
-    ranked = (null_safe_join(points, places.filter(here), [*by, "_bucket"])
-              .withColumn("_reach", F.col("before_n") + F.sum("n").over(inside)))
+    near = stage(places.filter(here).withColumnRenamed("before_n", "_start"), "places")
+    candidates = null_safe_join(points, near, [*by, "_bucket"])
+    ranked = prefix_sums(candidates, [*by, "_bucket"], [value], ["n"]).withColumn(
+        "_from", F.col("_start") + F.col("before_n"))
     return ranked.groupBy(*by).agg(F.max("_size").alias("n"), *[
-        F.max(F.when(between(name, F.col("_reach") - F.col("n"), F.col("_reach")),
+        F.max(F.when(between(name, F.col("_from"), F.col("_from") + F.col("n")),
                      F.col(value))).alias(name) for name in positions])
 
 

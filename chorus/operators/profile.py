@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chorus.operators.ordering import (linear_percentiles, null_safe_join, value_counts)
+from chorus.operators.ordering import linear_percentiles, null_safe_join, value_counts
+from chorus.workspace import stage
 
 
 def count_by(df: DataFrame, *keys: str | Column) -> DataFrame:
@@ -79,8 +80,9 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     counts = value_counts(df, by, value)
     box = linear_percentiles(counts, by, value, {"q1": 25, "median": 50, "q3": 75})
     spread = F.col("q3") - F.col("q1")
-    fenced = null_safe_join(counts.withColumnRenamed("n", "_n"), box.withColumns({
-        "_low": F.col("q1") - 1.5 * spread, "_high": F.col("q3") + 1.5 * spread}), by)
+    fences = stage(box.withColumns({"_low": F.col("q1") - 1.5 * spread,
+                                    "_high": F.col("q3") + 1.5 * spread}), "fences")
+    fenced = null_safe_join(counts.withColumnRenamed("n", "_n"), fences, by)
     kept = (F.col(value) >= F.col("_low")) & (F.col(value) <= F.col("_high"))
     return fenced.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(kept, F.col(value))).alias("whisker_low"),

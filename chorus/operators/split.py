@@ -35,7 +35,7 @@ def cut_keys(df: DataFrame, id_col: str, class_col: str, seed: int,
              .select(class_col, "_bucket", F.col("_c.cut").alias("cut"),
                      (F.col("_c.limit") - F.col("before_rows")).alias("_at")))
     inside = Window.partitionBy(class_col, "_bucket", "cut").orderBy("_key", id_col)
-    last = (null_safe_join(keyed, edges, [class_col, "_bucket"])
+    last = (null_safe_join(keyed, stage(edges, "split-edges"), [class_col, "_bucket"])
             .withColumn("_rank", F.row_number().over(inside))
             .filter(F.col("_rank") == F.col("_at")))
     return last.groupBy(class_col).agg(*[

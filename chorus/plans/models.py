@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.ml import Model
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes,
                                        OneVsRest, RandomForestClassifier)
+from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chorus.config import (BoostConfig, ForestConfig, LogRegConfig, SvmConfig, TfidfConfig)
+from chorus.config import (BoostConfig, ForestConfig, LogRegConfig, SvmConfig, TfidfConfig,
+                           Word2VecConfig)
 from chorus.functions import scores
 from chorus.operators import labels, metrics, tfidf
 from chorus.operators.split import stratified_split
@@ -87,6 +89,14 @@ def train_svm(features: Features, config: SvmConfig = SvmConfig()) -> Model:
     return OneVsRest(classifier=svm, parallelism=len(features.classes)).fit(rows)
 
 
+def train_word2vec(rows: DataFrame, words: str, config: Word2VecConfig = Word2VecConfig()) -> Model:
+    """Skip-gram word vectors, trained on one partition per core and averaged."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return Word2Vec(vectorSize=config.vector_size, windowSize=config.window,
+                    minCount=config.min_count, maxIter=config.epochs, seed=config.seed,
+                    numPartitions=cores, inputCol=words, outputCol="vector").fit(rows)
+
+
 def predict(model: Model, rows: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Predicted class, and where the model has them probabilities and confidence."""
     out = model.transform(rows)

@@ -35,13 +35,13 @@ def shape_comments(comments: DataFrame, comment_id: Column, video_id: Column, au
         F.to_json(F.struct(*[c.alias(n) for n, c in meta.items()])).alias("metadata"))
 
 
-def take_until(items: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str],
-               size: str, target: int) -> DataFrame:
+def take_until(items: DataFrame, by: Sequence[str], order: Sequence[str], size: str,
+               target: int) -> DataFrame:
     """Items in order until the running size reaches the target.
 
-    The item that crosses the target is kept. ``bucket`` rises with ``order``.
+    The item that crosses the target is kept. ``order`` ends in a unique column.
     """
-    return prefix_sums(items, by, bucket, order, [size], until={size: target})
+    return prefix_sums(items, by, order, [size], until={size: target})
 
 
 def target_progress(counts: DataFrame, targets: DataFrame, key: str) -> DataFrame:

@@ -17,11 +17,10 @@ def first_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
     column are aggregated, and copies collapse before the shuffle, so a key
     held by a large share of the rows costs no more than any other.
     """
-    keyed = df.withColumn("_digest", F.sha2(key.cast("string"), 256))
-    winners = (keyed.filter(F.col("_digest").isNotNull()).groupBy("_digest")
-               .agg(F.min(order).alias(order)).select(order))
-    unkeyed = keyed.filter(F.col("_digest").isNull()).select(order)
-    return df.join(winners.unionByName(unkeyed), order, "left_semi")
+    digest = F.coalesce(F.sha2(key.cast("string"), 256),
+                        F.concat(F.lit("row "), F.col(order).cast("string")))
+    winners = df.groupBy(digest.alias("_digest")).agg(F.min(order).alias(order)).select(order)
+    return df.join(winners, order, "left_semi")
 
 
 def insert_if_absent(new: DataFrame, target: DataFrame, key: str, order: str) -> DataFrame:

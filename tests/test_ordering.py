@@ -72,19 +72,18 @@ def test_median_of_one_group_without_keys(rows, frame):
 def test_prefix_sums_and_quota(rows, frame):
     sized = frame.withColumn("w", F.lit(3))
     got = {r.id: r.before_w for r in ordering.prefix_sums(
-        sized, ["k"], F.floor(F.col("id") / 100), ["id"], ["w"]).collect()}
+        sized, ["k"], ["id"], ["w"]).collect()}
     seen = Counter()
     for i, k, _ in rows:
         assert got[i] == 3 * seen[k]
         seen[k] += 1
-    kept = ordering.prefix_sums(sized, ["k"], F.floor(F.col("id") / 100), ["id"], ["w"],
-                                until={"w": 100})
+    kept = ordering.prefix_sums(sized, ["k"], ["id"], ["w"], until={"w": 100})
     assert {r["count"] for r in kept.groupBy("k").count().collect()} == {34}
 
 
 def test_greedy_quota_keeps_the_crossing_item(spark):
     items = spark.createDataFrame([("k", i, 40) for i in range(4)], "k string, id int, size int")
-    kept = ordering.prefix_sums(items, ["k"], F.col("id"), ["id"], ["size"], until={"size": 100})
+    kept = ordering.prefix_sums(items, ["k"], ["id"], ["size"], until={"size": 100})
     assert sorted(r.id for r in kept.collect()) == [0, 1, 2]
 
 
