@@ -14,10 +14,23 @@ from chorus.workspace import shared_dir
 DELAY = "31 days"
 
 
-@query("""SELECT event_id, event_type, value FROM events WHERE event_id IS NOT NULL""")
+@query("""SELECT text_digest, min(doc_id) AS doc_id FROM (SELECT doc_id, md5(text) AS text_digest
+  FROM documents) GROUP BY text_digest""")
 def stream_ingest(spark, d):
+    """Documents arrive as a stream of posts keyed by a digest; each key is stored once."""
+    docs = jobs.read_stream(spark, d, "documents").select(
+        "doc_id", F.md5("text").alias("text_digest"))
+    path = shared_dir(spark, "stream-ingest")
+    jobs.insert_stream(docs, path, shared_dir(spark, "stream-ingest-checkpoint"),
+                       "text_digest", "doc_id")
+    return spark.read.parquet(path).drop("batch")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def stream_append(spark, d):
+    """The endless poll-and-append loop as a stream to a Parquet table."""
     events = jobs.read_stream(spark, d, "events", "ts")
-    return jobs.run_to_table(events.select("event_id", "event_type", "value"), "stream-ingest")
+    return jobs.run_to_table(events.select("event_id", "event_type", "value"), "stream-append")
 
 
 @query("SELECT event_id, event_type FROM events")

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from chorus.sources import posts
 from chorus.workspace import apply_settings, shared_dir
 
 # Keyed state on disk instead of in executor memory.
@@ -57,6 +58,26 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
      .trigger(availableNow=True).start().awaitTermination())
 
 
+def insert_stream(stream: DataFrame, path: str, checkpoint: str, key: str, order: str) -> None:
+    """Insert posts whose key the table does not hold yet, the first writer wins.
+
+    The whole table is the memory: no watermark, no row is ever too late. Copies
+    inside a batch collapse before the shuffle. A repeated batch ignores and
+    overwrites what its first attempt wrote.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        target = spark.read.schema(f"{key} {batch.schema[key].dataType.simpleString()}, batch bigint")
+        fresh = posts.insert_if_absent(
+            batch, target.parquet(path).filter(F.col("batch") != batch_id), key, order)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
+    (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
 def latest(spark: SparkSession, path: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Current value per key of a change log written in update mode."""
     changes = spark.read.parquet(path)

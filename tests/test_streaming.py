@@ -55,6 +55,23 @@ def test_duplicates_over_batches_are_dropped(spark, folder, data):
     assert len(ids) == len(set(ids)) == spark.read.parquet(f"{data}/events.parquet").count()
 
 
+def test_insert_stream_keeps_the_first_writer(spark, folder, data):
+    path, checkpoint = shared_dir(spark, "insert"), shared_dir(spark, "insert-chk")
+
+    def run():
+        stream = jobs.read_stream(spark, folder, "events", files_per_batch=1)
+        jobs.insert_stream(stream.select("event_id", "event_type", "value"), path, checkpoint,
+                           "event_id", "event_id")
+        return spark.read.parquet(path)
+
+    n = spark.read.parquet(f"{data}/events.parquet").count()
+    assert run().count() == n
+    again = spark.read.parquet(f"{folder}/events.parquet").withColumn("value", F.lit(-1.0))
+    again.coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    after = run()
+    assert after.count() == n and after.filter("value = -1").count() == 0
+
+
 def test_late_rows_leave_after_the_watermark(spark):
     base = shared_dir(spark, "late")
     for day in ("2024-01-10", "2024-01-01", "2024-01-10"):
