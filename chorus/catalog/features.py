@@ -107,7 +107,7 @@ sums AS (SELECT doc_id, coalesce(sum(valence), 0) AS total, count(*) FILTER (val
   coalesce(sum(valence + 100) FILTER (valence > 0), 0) AS up,
   coalesce(sum(100 - valence) FILTER (valence < 0), 0) AS down,
   count(*) FILTER (word IS NOT NULL AND coalesce(valence, 0) = 0) AS neutral,
-  coalesce(sum(least(abs(valence), 200)), 0) AS subjective
+  coalesce(sum(least(abs(valence), 200)) FILTER (valence IS NOT NULL), 0) AS subjective
   FROM documents LEFT JOIN toks USING (doc_id) LEFT JOIN lexicon USING (word) GROUP BY doc_id),
 scored AS (SELECT doc_id,
   round((total / 100.0::DOUBLE) / sqrt((total / 100.0::DOUBLE) * (total / 100.0::DOUBLE) + 15), 4)
@@ -116,8 +116,8 @@ scored AS (SELECT doc_id,
   round(coalesce(down::DOUBLE / nullif(up + down + neutral * 100, 0), 0.0), 3) AS vader_negative,
   round(coalesce(neutral * 100.0::DOUBLE / nullif(up + down + neutral * 100, 0), 1.0), 3)
     AS vader_neutral,
-  round(coalesce(total / 400.0::DOUBLE / nullif(matched, 0), 0.0), 6) AS textblob_polarity,
-  round(coalesce(subjective / 200.0::DOUBLE / nullif(matched, 0), 0.0), 6) AS textblob_subjectivity
+  coalesce(total / 400.0::DOUBLE / nullif(matched, 0), 0.0) AS textblob_polarity,
+  coalesce(subjective / 200.0::DOUBLE / nullif(matched, 0), 0.0) AS textblob_subjectivity
   FROM sums)"""
 
 

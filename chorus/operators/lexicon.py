@@ -49,7 +49,8 @@ def text_sums(df: DataFrame, id_col: str, text: str, lexicon: DataFrame) -> Data
         F.coalesce(F.sum(F.when(v > 0, v + 100)), F.lit(0)).alias("up"),
         F.coalesce(F.sum(F.when(v < 0, 100 - v)), F.lit(0)).alias("down"),
         F.count_if(F.col("word").isNotNull() & (F.coalesce(v, F.lit(0)) == 0)).alias("neutral"),
-        F.coalesce(F.sum(F.least(F.abs(v), F.lit(200))), F.lit(0)).alias("subjective"))
+        F.coalesce(F.sum(F.when(v.isNotNull(), F.least(F.abs(v), F.lit(200)))), F.lit(0))
+        .alias("subjective"))
 
 
 def valence_scores() -> dict[str, Column]:
@@ -69,8 +70,7 @@ def valence_scores() -> dict[str, Column]:
 def polarity_scores() -> dict[str, Column]:
     """Mean polarity in [-1, 1] and subjectivity in [0, 1] of the matched words."""
     c = F.col
-    mean = lambda part, unit: F.round(
-        F.coalesce(F.try_divide(part / unit, c("matched")), F.lit(0.0)), 6)
+    mean = lambda part, unit: F.coalesce(F.try_divide(part / unit, c("matched")), F.lit(0.0))
     return {"textblob_polarity": mean(c("total"), F.lit(float(LIMIT))),
             "textblob_subjectivity": mean(c("subjective"), F.lit(200.0))}
 

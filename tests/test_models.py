@@ -87,6 +87,7 @@ def test_lexicon_scores(spark):
     s = -0.5
     assert got[1].vader_compound == round(s / (s * s + 15) ** 0.5, 4)
     assert got[1].vader_positive == round(3 / 8.5, 3) and got[1].vader_neutral == round(2 / 8.5, 3)
-    assert got[1].textblob_polarity == round((2 - 2.5) / 4 / 2, 6)
+    assert got[1].textblob_polarity == (2 - 2.5) / 4 / 2
+    assert got[1].textblob_subjectivity == 1.0
     for i in (2, 3):
         assert (got[i].vader_neutral, got[i].vader_compound, got[i].textblob_subjectivity) == (1, 0, 0)
