@@ -12,6 +12,7 @@ from chorus.catalog.derive import lit
 from chorus.catalog.registry import query
 from chorus.operators import compare, labels, metrics
 from chorus.sources.tables import documents, load
+from chorus.workspace import stage
 
 CLASSES = ("de", "en", "es", "fr")
 VOTERS = {
@@ -89,7 +90,8 @@ def matrix(spark, d):
 
 
 def results(spark, d):
-    return metrics.overall(matrix(spark, d), ["model", "type"]).drop("rows")
+    """One row per voter, staged because the comparisons use it more than once."""
+    return stage(metrics.overall(matrix(spark, d), ["model", "type"]).drop("rows"), "results")
 
 
 @query(f"WITH {PRED} SELECT model, y_true, y_pred, n FROM matrix")

@@ -82,17 +82,19 @@ def _as_vectors(size: int, id_columns: Sequence[str]):
 
 
 def vectors(df: DataFrame, id_col: str, text: str, vocab: DataFrame, size: int,
-            config: TfidfConfig = TfidfConfig(), stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """``(id, features)`` with one sparse vector per text; texts without terms are zero."""
+            config: TfidfConfig = TfidfConfig(), stop_words: Sequence[str] = STOP_WORDS,
+            keep: Sequence[str] = ()) -> DataFrame:
+    """``(id, kept columns, features)``, one sparse vector per text; without terms it is zero."""
     long = weights(df, id_col, text, vocab, config, stop_words)
     lists = long.groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("_p"))
-    every = df.select(id_col).join(lists, id_col, "left").select(
-        id_col,
+    names = [id_col, *keep]
+    every = df.select(*names).join(lists, id_col, "left").select(
+        *names,
         F.coalesce(F.col("_p.term_id"), F.array().cast("array<int>")).alias("_i"),
         F.coalesce(F.col("_p.weight"), F.array().cast("array<double>")).alias("_v"))
-    columns = T.StructType([df.schema[id_col], T.StructField("features", VectorUDT())])
-    return every.mapInArrow(_as_vectors(size, [id_col]), columns)
+    columns = T.StructType([*[df.schema[n] for n in names], T.StructField("features", VectorUDT())])
+    return every.mapInArrow(_as_vectors(size, names), columns)
 
 
 def class_log_probabilities(long: DataFrame, label: str, classes: Sequence[str],

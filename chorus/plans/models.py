@@ -45,10 +45,10 @@ def prepare(df: DataFrame, id_col: str, text: str, label: str, classes: Sequence
     vocab = tfidf.vocabulary(train, id_col, text, config)
     size = max(vocab.count(), 1)
     mapping = labels.label_mapping(df, label)
-    vec = tfidf.vectors(df.select(id_col, text), id_col, text, vocab, size, config)
-    table = (labels.encode_labels(parted.drop(text), label, mapping).join(vec, id_col)
-             .select(id_col, F.col(label).alias("y_true"),
-                     F.col("label_id").cast("double").alias("label"), "split", "features"))
+    rows = labels.encode_labels(parted, label, mapping).select(
+        id_col, text, F.col(label).alias("y_true"),
+        F.col("label_id").cast("double").alias("label"), "split")
+    table = tfidf.vectors(rows, id_col, text, vocab, size, config, keep=["y_true", "label", "split"])
     return Features(stage(table, "features"), vocab, classes, size, config, id_col)
 
 
