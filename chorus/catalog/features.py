@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chorus.catalog.derive import SQL_SPACES, lit
+from chorus.catalog.derive import lit
 from chorus.catalog.registry import query
 from chorus.catalog.text import STOPS, TOKENS
 from chorus.config import TfidfConfig
@@ -146,12 +146,12 @@ def sentiment_label(spark, d):
                                    learnt_lexicon(spark, d))
 
 
-_CHARS = (f"regexp_extract_all(' ' || lower(regexp_replace(text, '[{SQL_SPACES}]+', ' ', 'g')) || ' ', "
+_CHARS = (r"regexp_extract_all(' ' || regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g') || ' ', "
           "'(?s).')")
 PROFILES = f"""chars AS (SELECT doc_id, lang, {_CHARS} AS c FROM documents),
 grams AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1),
   lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM chars),
-counts AS (SELECT lang, gram, count(*) AS n FROM grams GROUP BY ALL),
+counts AS (SELECT lang, gram, count(*) AS n FROM grams WHERE substr(gram, 2, 1) <> ' ' GROUP BY ALL),
 best AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= 300),
 totals AS (SELECT lang, sum(n) AS t FROM best GROUP BY lang),
 wide AS (SELECT gram, {', '.join(

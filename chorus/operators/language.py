@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chorus.functions import scripts
-from chorus.functions.text import SPACES
 from chorus.operators.rows import unfold
 from chorus.workspace import stage
 
 PROFILE_SIZE = 300
-# Looks three characters ahead of every character; never starts inside a surrogate pair.
-TRIGRAM = r"(?s)(?![\x{dc00}-\x{dfff}])(?=(...))"
+LETTERS = r"\p{L}+"
+# Looks ahead of every character for three with a letter in the middle; never
+# starts inside a surrogate pair.
+TRIGRAM = r"(?s)(?![\x{dc00}-\x{dfff}])(?=(.\p{L}.))"
 
 
 def classify(df: DataFrame, text: str, detected: Column) -> DataFrame:
@@ -28,9 +29,9 @@ def classify(df: DataFrame, text: str, detected: Column) -> DataFrame:
 
 
 def trigrams(text: Column) -> Column:
-    """Overlapping groups of three characters of the lower-case text."""
-    spaced = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, f"[{SPACES}]+", " ")), F.lit(" "))
-    return F.regexp_extract_all(spaced, F.lit(TRIGRAM), F.lit(1))
+    """Overlapping groups of three characters of the words, each between blanks."""
+    words = F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
+    return F.regexp_extract_all(F.concat(F.lit(" "), words, F.lit(" ")), F.lit(TRIGRAM), F.lit(1))
 
 
 def learn_profiles(labelled: DataFrame, text: str, label: str, classes: Sequence[str],
@@ -39,9 +40,12 @@ def learn_profiles(labelled: DataFrame, text: str, label: str, classes: Sequence
 
     At most ``size`` trigrams per language enter, one row per trigram with one
     column per language; a trigram unseen in a language counts as one half.
+    Words are counted first, so that only distinct words are cut into trigrams.
     """
-    grams = unfold(labelled, trigrams(F.col(text)), "gram", label)
-    counts = grams.groupBy(label, "gram").agg(F.count(F.lit(1)).alias("n"))
+    words = unfold(labelled, F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0)), "word",
+                   label).groupBy(label, "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = (unfold(words, trigrams(F.col("word")), "gram", label, "n")
+              .groupBy(label, "gram").agg(F.sum("n").alias("n")))
     best = stage(counts.withColumn("_r", F.row_number().over(
         Window.partitionBy(label).orderBy(F.desc("n"), "gram")))
         .filter(F.col("_r") <= size), "profiles")

@@ -95,9 +95,26 @@ def test_fallback_classes(spark, code, want):
     assert language.classify(row, "text", F.col("code")).first()["language"] == want
 
 
-def test_trigrams_cover_the_text_and_keep_surrogates_whole(spark):
-    row = spark.createDataFrame([("Ab😀c",)], "text string")
-    assert row.select(language.trigrams(F.col("text"))).first()[0] == [" ab", "ab😀", "b😀c", "😀c "]
+def test_trigrams_cover_the_words_and_keep_surrogates_whole(spark):
+    rows = spark.createDataFrame([("Ab, c",), ("𝒜b",), ("1 2",)], "text string")
+    assert [r[0] for r in rows.select(language.trigrams(F.col("text"))).collect()] == [
+        [" ab", "ab ", " c "], [" 𝒜b", "𝒜b "], []]
+
+
+def test_profiles_learn_the_trigrams_of_the_texts(spark):
+    rows = spark.createDataFrame([("en", "the then, the"), ("fr", "les le")], "lang string, t string")
+    profiles = language.learn_profiles(rows, "t", "lang", ["en", "fr"], size=50)
+    from collections import Counter
+    grams = {(r.lang, g) for r in rows.select("lang", language.trigrams(F.col("t")).alias("g")).collect()
+             for g in r.g}
+    assert {r.gram for r in profiles.collect()} == {g for _, g in grams}
+    counts = Counter(g for r in rows.filter("lang = 'en'").select(
+        language.trigrams(F.col("t")).alias("g")).collect() for g in r.g)
+    import math
+    the = profiles.filter("gram = 'the'").first()
+    assert abs(the.lp_en - math.log(counts["the"] / (sum(counts.values()) + 1))) < 1e-12
+    assert language.detect(rows.withColumn("id", F.monotonically_increasing_id()), "id", "t",
+                           profiles, ["en", "fr"]).filter("detected is null").count() == 0
 
 
 @pytest.mark.parametrize("words, n", [([], 0), (["a"], 1), (["a", "b"], 3), (["a", "b", "c"], 6),
