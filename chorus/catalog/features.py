@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chorus.catalog.derive import lit
+from chorus.catalog.derive import lit, marked_documents
 from chorus.catalog.registry import query
-from chorus.catalog.text import STOPS, TOKENS
+from chorus.catalog.text import BY_SCRIPT, SQL_COUNTS, STEPS, STOPS, TOKENS
 from chorus.config import TfidfConfig
 from chorus.functions import text as tx
 from chorus.operators import keywords, language, lexicon, tfidf
 from chorus.operators.rows import unfold
+from chorus.plans import pipeline
 from chorus.sources.tables import documents, load
 from chorus.wordlists import (CATEGORY_KEYWORDS, CLASS_KEYWORDS, EMPLOYMENT_KEYWORDS,
                               UNEMPLOYMENT_KEYWORDS)
@@ -94,21 +95,26 @@ def sample_explanations(spark, d):
     return rows.withColumn("keywords", F.array_join("keywords", ","))
 
 
-LEXICON = f"""marked AS (SELECT toxic = 0 AND quality = 1 AS up, list_distinct({TOKENS}) AS w
+LEARNT = f"""voted AS (SELECT toxic = 0 AND quality = 1 AS up, list_distinct({TOKENS}) AS w
   FROM documents JOIN labels USING (doc_id)),
-tot AS (SELECT count(*) FILTER (up) AS u, count(*) FILTER (NOT up) AS n FROM marked),
+tot AS (SELECT count(*) FILTER (up) AS u, count(*) FILTER (NOT up) AS n FROM voted),
 words AS (SELECT word, count(*) FILTER (up) AS up, count(*) FILTER (NOT up) AS down
-  FROM (SELECT up, unnest(w) AS word FROM marked) GROUP BY word HAVING count(*) >= 5),
+  FROM (SELECT up, unnest(w) AS word FROM voted) GROUP BY word HAVING count(*) >= 5),
 valued AS (SELECT word, up + down AS df, greatest(least(CAST(round(100 * (ln((up + 1) / (u + 2))
   - ln((down + 1) / (n + 2)))) AS BIGINT), 400), -400) AS valence FROM words, tot),
-lexicon AS (SELECT word, valence FROM valued WHERE abs(valence) >= 20 ORDER BY df DESC, word LIMIT 2000),
-toks AS (SELECT doc_id, unnest({TOKENS}) AS word FROM documents),
+lexicon AS (SELECT word, valence FROM valued WHERE abs(valence) >= 20 ORDER BY df DESC, word LIMIT 2000)"""
+
+
+def sql_scores(table: str, text: str) -> str:
+    """Scores of every row of a table under the learnt lexicon."""
+    return f"""toks AS (SELECT doc_id, unnest(regexp_extract_all(lower({text}), {lit(tx.WORD)})) AS word
+  FROM {table}),
 sums AS (SELECT doc_id, coalesce(sum(valence), 0) AS total, count(*) FILTER (valence <> 0) AS matched,
   coalesce(sum(valence + 100) FILTER (valence > 0), 0) AS up,
   coalesce(sum(100 - valence) FILTER (valence < 0), 0) AS down,
   count(*) FILTER (word IS NOT NULL AND coalesce(valence, 0) = 0) AS neutral,
   coalesce(sum(least(abs(valence), 200)) FILTER (valence IS NOT NULL), 0) AS subjective
-  FROM documents LEFT JOIN toks USING (doc_id) LEFT JOIN lexicon USING (word) GROUP BY doc_id),
+  FROM {table} LEFT JOIN toks USING (doc_id) LEFT JOIN lexicon USING (word) GROUP BY doc_id),
 scored AS (SELECT doc_id,
   round((total / 100.0::DOUBLE) / sqrt((total / 100.0::DOUBLE) * (total / 100.0::DOUBLE) + 15), 4)
     AS vader_compound,
@@ -121,6 +127,9 @@ scored AS (SELECT doc_id,
   FROM sums)"""
 
 
+LEXICON = LEARNT + ",\n" + sql_scores("documents", "text")
+
+
 def learnt_lexicon(spark, d):
     docs = documents(spark, d, "doc_id", "text").join(load(spark, d, "labels"), "doc_id")
     return lexicon.learn_lexicon(docs, "text", (F.col("toxic") == 0) & (F.col("quality") == 1))
@@ -146,6 +155,25 @@ def sentiment_label(spark, d):
                                    learnt_lexicon(spark, d))
 
 
+@query(f"""WITH {STEPS}, kept AS (SELECT * FROM cleaned WHERE trim(cleaned_text) <> ''),
+scripted AS (SELECT doc_id, lang, cleaned_text AS text FROM kept), {SQL_COUNTS},
+classed AS (SELECT doc_id, {BY_SCRIPT} ELSE CASE lang WHEN 'hi' THEN 'Hindi' WHEN 'en' THEN 'English'
+  ELSE 'Code-Mixed' END END AS language FROM counted),
+{LEARNT}, {sql_scores('kept', 'cleaned_text')},
+labelled AS (SELECT doc_id, CASE WHEN vader_compound >= 0.05 THEN 'Positive'
+  WHEN vader_compound <= -0.05 THEN 'Negative' ELSE 'Neutral' END AS sentiment FROM scored),
+ranked AS (SELECT doc_id, sentiment, row_number() OVER (PARTITION BY sentiment
+    ORDER BY md5('42:' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY sentiment) AS n FROM labelled)
+SELECT doc_id, language, sentiment, CASE WHEN rn <= (n * 80) // 100 THEN 'train'
+  WHEN rn <= (n * 90) // 100 THEN 'val' ELSE 'test' END AS split, cleaned_text
+FROM ranked JOIN classed USING (doc_id) JOIN kept USING (doc_id)""")
+def label_and_split(spark, d):
+    """All data-engineering stages in one plan: clean, classify, score, label, split."""
+    done = pipeline.label_and_split(marked_documents(spark, d), "doc_id", "text", F.col("lang"),
+                                    learnt_lexicon(spark, d))
+    return done.select("doc_id", "language", "sentiment", "split", "cleaned_text")
+
+
 _CHARS = (r"regexp_extract_all(' ' || regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g') || ' ', "
           "'(?s).')")
 PROFILES = f"""chars AS (SELECT doc_id, lang, {_CHARS} AS c FROM documents),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chorus.operators import cleaning, language, lexicon as lex
 from chorus.operators.split import stratified_split
+from chorus.workspace import stage
 
 
 def clean_and_classify(posts: DataFrame, text: str, detected: Column) -> DataFrame:
@@ -17,9 +18,9 @@ def label_and_split(posts: DataFrame, id_col: str, text: str, detected: Column,
                     lexicon: DataFrame, seed: int = 42) -> DataFrame:
     """All stages up to train, validation and test rows, stratified by sentiment.
 
-    Scores are computed from short rows per text and joined back by id.
+    Scores are short rows per text; they are staged, as the split reads them
+    more than once, and joined back by id.
     """
     cleaned = clean_and_classify(posts, text, detected)
-    scored = lex.label_sentiment(cleaned, id_col, "cleaned_text", lexicon)
-    parted = stratified_split(scored.select(id_col, "sentiment"), id_col, "sentiment", seed)
-    return cleaned.join(scored, id_col).join(parted.select(id_col, "split"), id_col)
+    scored = stage(lex.label_sentiment(cleaned, id_col, "cleaned_text", lexicon), "scores")
+    return cleaned.join(stratified_split(scored, id_col, "sentiment", seed), id_col)
