@@ -15,12 +15,18 @@ MIXED_PERCENT = 15
 SHORTEST_TEXT = 3
 
 
+def _matching_chars(text: Column, char_class: str) -> Column:
+    """Characters of a class, as the length that is lost when its runs are removed."""
+    rest = F.regexp_replace(text, f"{char_class}+", "")
+    return (F.length(text) - F.length(rest)).cast("bigint")
+
+
 def devanagari_chars(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(DEVANAGARI)).cast("bigint")
+    return _matching_chars(text, DEVANAGARI)
 
 
 def latin_chars(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(LATIN)).cast("bigint")
+    return _matching_chars(text, LATIN)
 
 
 def visible_chars(text: Column) -> Column:

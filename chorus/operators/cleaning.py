@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from chorus.functions import text as tx
+from chorus.operators.rows import drop_where
 
 
 def _with_steps(df: DataFrame, text: str, quotes: bool) -> tuple[DataFrame, list[str]]:
@@ -25,7 +26,7 @@ def _with_steps(df: DataFrame, text: str, quotes: bool) -> tuple[DataFrame, list
 def clean_dataset(df: DataFrame, text: str = "text", quotes: bool = False) -> DataFrame:
     """Add the cleaned text and its lengths; drop rows blank after cleaning."""
     steps, inner = _with_steps(df, text, quotes)
-    cleaned = steps.drop(*inner).filter(F.trim("cleaned_text") != "")
+    cleaned = drop_where(steps.drop(*inner), "cleaned_text", F.trim("cleaned_text") == "")
     return cleaned.withColumns({
         "original_length": F.coalesce(F.length(text), F.lit(0)).cast("bigint"),
         "cleaned_length": F.length("cleaned_text").cast("bigint"),

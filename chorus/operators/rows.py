@@ -1,4 +1,4 @@
-"""Turning arrays into rows."""
+"""Arrays to rows, and filters on costly columns."""
 
 from __future__ import annotations
 
@@ -13,3 +13,15 @@ def unfold(df: DataFrame, values: Column, name: str, *keep: str) -> DataFrame:
     costly arrays two more times. The outer form adds none.
     """
     return df.select(*keep, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+
+
+def drop_where(df: DataFrame, column: str, unwanted: Column) -> DataFrame:
+    """Drop rows by a test on a costly column, which is computed only once.
+
+    A filter would move below the projection that computes the column and
+    compute it there a second time. It cannot move below a generator, so the
+    column passes through one as an array of one element.
+    """
+    others = [c for c in df.columns if c != column]
+    once = df.select(*others, F.explode_outer(F.array(column)).alias(column))
+    return once.filter(~unwanted).select(*df.columns)

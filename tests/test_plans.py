@@ -34,7 +34,9 @@ def test_filter_and_columns_reach_the_scan(spark, data):
 
 
 def test_entities_are_decoded_once(spark, data):
-    assert plan(REGISTRY["clean_stage"].run(spark, data)).count("ArrowEvalPython") == 1
+    text = plan(REGISTRY["clean_stage"].run(spark, data))
+    assert text.count("ArrowEvalPython") == 1
+    assert text.count("https?://") == 1
 
 
 def test_tokens_are_not_computed_in_a_filter(spark, data):
