@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from chorus.config import TfidfConfig
 from chorus.functions import text as tx
-from chorus.operators.rows import unfold
+from chorus.operators.rows import place, unfold
 from chorus.wordlists import STOP_WORDS
 from chorus.workspace import stage
 
@@ -23,8 +23,7 @@ from chorus.workspace import stage
 def terms(df: DataFrame, id_col: str, text: str, config: TfidfConfig = TfidfConfig(),
           stop_words: Sequence[str] = STOP_WORDS, keep: Sequence[str] = ()) -> DataFrame:
     """One row per n-gram occurrence, partitioned on the text id."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.select(id_col, *keep, text).repartition(parts, id_col)
+    placed = place(df.select(id_col, *keep, text), id_col)
     words = placed.select(id_col, *keep, tx.without(tx.tokens(F.col(text)), stop_words).alias("_w"))
     grams = tx.ngrams(F.col("_w"), config.ngram_min, config.ngram_max)
     return unfold(words, grams, "term", id_col, *keep)
