@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chorus.llm import exact, langid, licences, packing, tokens
+from chorus.llm import (exact, langid, licences, lines, mixing, neighbours, packing, passages,
+                        simhash, tokens)
 from chorus.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,47 @@ def _tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Target shares of the mixture, of a budget as large as the corpus.
+MIXTURE = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
+
+
+@_query
+def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(load(spark, folder, "documents"), load(spark, folder, "labels"), MIXTURE)
+
+
+@_query
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.dedup_passages(load(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL["op2_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                             lambda x: x <> '') AS ws
+  FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+first AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS ps
+  FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (s) WHERE m < doc_id)
+  GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+         CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END AS k
+  FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+
+@_query
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, folder, "documents"))
+
+
 @_query
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(load(spark, folder, "documents"))
@@ -43,12 +85,57 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+@_query
+def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest_neighbours(load(spark, folder, "embeddings"))
+
+
 @_query
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(load(spark, folder, "documents"),
                                _tokenizer_file("word_bpe_49k.json"))
 
 
+@_query
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents").select("doc_id", "text")
+    kept = lines.dedup_lines(docs, counts=("n_lines", "n_dropped"))
+    return kept.select("doc_id", "n_lines", "n_dropped",
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: Real word lists instead of hashes, and no pruning by halves.
+SQL["op7_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+places AS (
+  SELECT doc_id, pos, line, {'d': doc_id, 'p': pos} AS rk,
+         list_filter(string_split_regex(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS ws
+  FROM lines),
+firsts AS (SELECT ws, min(rk) AS rk FROM places WHERE len(ws) > 0 GROUP BY ws),
+long AS (SELECT ws, rk FROM firsts WHERE len(ws) >= 5),
+variants AS (
+  SELECT rk, i, list_concat(ws[1:i - 1], ws[i + 1:]) AS v
+  FROM (SELECT ws, rk, unnest(range(1, len(ws) + 1)) AS i FROM long)),
+near AS (
+  SELECT a.rk FROM variants a JOIN (SELECT v, i, min(rk) AS e FROM variants GROUP BY v, i) b
+    ON a.v = b.v AND a.i = b.i WHERE b.e < a.rk
+  UNION SELECT a.rk FROM variants a JOIN long b ON a.v = b.ws WHERE b.rk < a.rk
+  UNION SELECT b.rk FROM variants a JOIN long b ON a.v = b.ws WHERE a.rk < b.rk),
+stay AS (
+  SELECT p.doc_id, p.pos, p.line FROM places p LEFT JOIN firsts f ON p.rk = f.rk
+  WHERE len(p.ws) = 0 OR (f.rk IS NOT NULL AND p.rk NOT IN (SELECT rk FROM near))),
+texts AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS t
+          FROM stay GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines,
+       CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END
+         - coalesce(n, 0) AS n_dropped,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN texts USING (doc_id)
+"""
+
+
 @_query
 def op8_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licence_scan(load(spark, folder, "documents"))

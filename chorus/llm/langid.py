@@ -181,6 +181,28 @@ class Model:
         return names, scores, rates
 
 
+def known_language(docs: DataFrame, model: Model, text_col: str = "text",
+                   most_bits: float = 5.0, least_symbols: int = 200) -> DataFrame:
+    """``docs`` without texts of no language; all columns pass, no row moves.
+
+    A text goes if it is ``und``, or if it has at least ``least_symbols`` symbols and
+    even the best language needs more than ``most_bits`` bits for each, what spelling
+    it letter by letter would take.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(texts):
+        import pandas as pd
+
+        texts = [t if isinstance(t, str) else None for t in texts]
+        names, _, rates = shared.value.predict(texts)
+        odd = (rates > most_bits) & np.array([len(t or "") >= least_symbols for t in texts], bool)
+        return pd.Series(np.array([n != UNKNOWN for n in names], bool) & ~odd)
+
+    return docs.filter(known(F.col(text_col)))
+
+
 def held_out(id_col: str = "doc_id"):
     """The test fold: crc32 of the id as text, modulo 5, is 0."""
     fold = F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % 5 == 0
