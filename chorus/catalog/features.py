@@ -25,19 +25,6 @@ def sql_hits(words) -> str:
     return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
 
 
-SENTIMENT = "CASE WHEN toxic = 1 THEN 'Negative' WHEN quality = 1 THEN 'Positive' ELSE 'Neutral' END"
-LABELLED = f"""labelled AS (SELECT doc_id, text, lower(text) AS t, {SENTIMENT} AS sentiment
-  FROM documents JOIN labels USING (doc_id)),
-hits AS (SELECT *, """ + ", ".join(
-    f"{sql_hits(w)} AS {n}" for n, w in CLASS_KEYWORDS.items()) + " FROM labelled)"
-
-
-def labelled_documents(spark, d):
-    marks = load(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "Negative").when(
-        F.col("quality") == 1, "Positive").otherwise("Neutral").alias("sentiment"))
-    return documents(spark, d, "doc_id", "text").join(marks, "doc_id")
-
-
 @query("WITH low AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, " + ", ".join(
     f"array_to_string({sql_hits(w)}, ',') AS {n}" for n, w in CLASS_KEYWORDS.items()) + " FROM low")
 def keyword_hits(spark, d):
@@ -45,16 +32,6 @@ def keyword_hits(spark, d):
     return hits.select("doc_id", *[F.array_join(n, ",").alias(n) for n in CLASS_KEYWORDS])
 
 
-FREQUENCY = f"""{LABELLED}, freq AS (SELECT sentiment, keyword, count(*) AS n FROM (
-  SELECT sentiment, unnest(list_concat(list_concat(Positive, Negative), Neutral)) AS keyword FROM hits)
-  GROUP BY ALL)"""
-
-
-@query(f"WITH {FREQUENCY} SELECT sentiment, keyword, n FROM freq")
-def keyword_freq_by_class(spark, d):
-    return keywords.keyword_frequency(labelled_documents(spark, d), "text", "sentiment")
-
-
 @query(f"""WITH w AS (SELECT lang, unnest(list_filter({TOKENS}, lambda x: x NOT IN {STOPS})) AS term
     FROM documents),
   c AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL)
@@ -67,7 +44,7 @@ def top_terms_by_class(spark, d):
     return keywords.top_per_class(counts, "lang", "term", "n", 10)
 
 
-_PHRASES = [*EMPLOYMENT_KEYWORDS[:40], *UNEMPLOYMENT_KEYWORDS[:40]]
+_PHRASES = [*EMPLOYMENT_KEYWORDS, *UNEMPLOYMENT_KEYWORDS]
 
 
 @query(f"""WITH posts AS (SELECT lower(text || ' ' ||
@@ -85,16 +62,6 @@ def category_tagging(spark, d):
     return keywords.category_coverage(posts, "text")
 
 
-@query(f"""WITH {LABELLED}, f AS (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY doc_id)
-    AS rn FROM hits)
-SELECT doc_id, sentiment, left(text, 100) AS shown_text, array_to_string((CASE sentiment
-  WHEN 'Positive' THEN Positive WHEN 'Negative' THEN Negative ELSE Neutral END)[1:5], ',') AS keywords
-FROM f WHERE rn = 1""")
-def sample_explanations(spark, d):
-    rows = keywords.sample_explanations(labelled_documents(spark, d), "doc_id", "text", "sentiment")
-    return rows.withColumn("keywords", F.array_join("keywords", ","))
-
-
 LEARNT = f"""voted AS (SELECT toxic = 0 AND quality = 1 AS up, list_distinct({TOKENS}) AS w
   FROM documents JOIN labels USING (doc_id)),
 tot AS (SELECT count(*) FILTER (up) AS u, count(*) FILTER (NOT up) AS n FROM voted),
@@ -102,7 +69,7 @@ words AS (SELECT word, count(*) FILTER (up) AS up, count(*) FILTER (NOT up) AS d
   FROM (SELECT up, unnest(w) AS word FROM voted) GROUP BY word HAVING count(*) >= 5),
 valued AS (SELECT word, up + down AS df, greatest(least(CAST(round(100 * (ln((up + 1) / (u + 2))
   - ln((down + 1) / (n + 2)))) AS BIGINT), 400), -400) AS valence FROM words, tot),
-lexicon AS (SELECT word, valence FROM valued WHERE abs(valence) >= 20 ORDER BY df DESC, word LIMIT 2000)"""
+lexicon AS (SELECT word, valence FROM valued)"""
 
 
 def sql_scores(table: str, text: str) -> str:
@@ -155,6 +122,40 @@ def sentiment_label(spark, d):
                                    learnt_lexicon(spark, d))
 
 
+LABELLED = f"""{LEXICON}, labelled AS (SELECT doc_id, text, lower(text) AS t,
+  CASE WHEN vader_compound >= 0.05 THEN 'Positive' WHEN vader_compound <= -0.05 THEN 'Negative'
+  ELSE 'Neutral' END AS sentiment FROM documents JOIN scored USING (doc_id)),
+hits AS (SELECT *, """ + ", ".join(
+    f"{sql_hits(w)} AS {n}" for n, w in CLASS_KEYWORDS.items()) + " FROM labelled)"
+
+
+def labelled_documents(spark, d):
+    """All documents with the class of their lexicon score."""
+    docs = documents(spark, d, "doc_id", "text")
+    marks = lexicon.label_sentiment(docs, "doc_id", "text", learnt_lexicon(spark, d))
+    return docs.join(marks.select("doc_id", "sentiment"), "doc_id")
+
+
+FREQUENCY = f"""{LABELLED}, freq AS (SELECT sentiment, keyword, count(*) AS n FROM (
+  SELECT sentiment, unnest(list_concat(list_concat(Positive, Negative), Neutral)) AS keyword FROM hits)
+  GROUP BY ALL)"""
+
+
+@query(f"WITH {FREQUENCY} SELECT sentiment, keyword, n FROM freq")
+def keyword_freq_by_class(spark, d):
+    return keywords.keyword_frequency(labelled_documents(spark, d), "text", "sentiment")
+
+
+@query(f"""WITH {LABELLED}, f AS (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY doc_id)
+    AS rn FROM hits)
+SELECT doc_id, sentiment, left(text, 100) AS shown_text, array_to_string((CASE sentiment
+  WHEN 'Positive' THEN Positive WHEN 'Negative' THEN Negative ELSE Neutral END)[1:5], ',') AS keywords
+FROM f WHERE rn = 1""")
+def sample_explanations(spark, d):
+    rows = keywords.sample_explanations(labelled_documents(spark, d), "doc_id", "text", "sentiment")
+    return rows.withColumn("keywords", F.array_join("keywords", ","))
+
+
 @query(f"""WITH {STEPS}, kept AS (SELECT * FROM cleaned WHERE trim(cleaned_text) <> ''),
 scripted AS (SELECT doc_id, lang, cleaned_text AS text FROM kept), {SQL_COUNTS},
 classed AS (SELECT doc_id, {BY_SCRIPT} ELSE CASE lang WHEN 'hi' THEN 'Hindi' WHEN 'en' THEN 'English'
@@ -180,7 +181,7 @@ PROFILES = f"""chars AS (SELECT doc_id, lang, {_CHARS} AS c FROM documents),
 grams AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1),
   lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM chars),
 counts AS (SELECT lang, gram, count(*) AS n FROM grams WHERE substr(gram, 2, 1) <> ' ' GROUP BY ALL),
-best AS (SELECT * FROM counts QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= 300),
+best AS (SELECT * FROM counts),
 totals AS (SELECT lang, sum(n) AS t FROM best GROUP BY lang),
 wide AS (SELECT gram, {', '.join(
     f"ln(coalesce(CAST(max(n) FILTER (lang = '{c}') AS DOUBLE), 0.5) / ((SELECT t FROM totals WHERE lang = '{c}')"

@@ -121,7 +121,7 @@ def json_filter(spark, d):
 
 
 @query(f"""WITH {EVENT_POSTS} SELECT event_type, count(*) AS n FROM event_posts
-WHERE metadata LIKE '%"category": "purchase"%' GROUP BY event_type""")
+WHERE metadata LIKE '%"category": "purchase"%' OR metadata LIKE '%"category":"purchase"%' GROUP BY event_type""")
 def json_like(spark, d):
     hits = event_posts(spark, d).filter(
         jsonmeta.field_in_text(F.col("metadata"), "category", "purchase"))

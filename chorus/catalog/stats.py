@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chorus.catalog.derive import EVENT_POSTS, SQL_SPACES, event_posts
+from chorus.catalog.features import LEXICON, learnt_lexicon
 from chorus.catalog.ingest import PROCESSED, flagged_documents
 from chorus.catalog.registry import query
 from chorus.functions import jsonmeta
-from chorus.operators import ordering, profile, quality, requestlog, split
+from chorus.operators import lexicon, ordering, profile, quality, requestlog, split
 from chorus.sources import posts
 from chorus.sources.tables import load
 
@@ -78,7 +79,7 @@ def class_distribution(spark, d):
 
 
 @query("SELECT source, " + ", ".join(f"count(*) FILTER (lang = '{c}') AS {c}" for c in LANGS)
-       + " FROM documents GROUP BY source")
+       + f", count(*) FILTER (lang IS NULL OR lang NOT IN {LANGS}) AS other FROM documents GROUP BY source")
 def crosstab(spark, d):
     return profile.crosstab(load(spark, d, "documents"), "source", "lang", LANGS)
 
@@ -101,12 +102,13 @@ def monthly_counts(spark, d):
 
 
 @query("""SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) FILTER (o_orderstatus = 'F') AS "F",
-  count(*) FILTER (o_orderstatus = 'O') AS "O", count(*) FILTER (o_orderstatus = 'P') AS "P"
+  count(*) FILTER (o_orderstatus = 'O') AS "O",
+  count(*) FILTER (o_orderstatus IS NULL OR o_orderstatus NOT IN ('F', 'O')) AS other
 FROM orders GROUP BY 1""")
 def monthly_by_class(spark, d):
     orders = load(spark, d, "orders").select(
         profile.month("o_orderdate").alias("month"), "o_orderstatus")
-    return profile.crosstab(orders, "month", "o_orderstatus", ("F", "O", "P"))
+    return profile.crosstab(orders, "month", "o_orderstatus", ("F", "O"))
 
 
 @query("""SELECT l_returnflag, count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean,
@@ -145,15 +147,17 @@ def box_stats(spark, d):
     return box.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
 
 
-@query("""WITH j AS (SELECT n_chars, quality FROM documents JOIN labels USING (doc_id)),
+@query(f"""WITH {LEXICON}, j AS (SELECT n_chars, vader_compound FROM documents JOIN scored USING (doc_id)),
   lim AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM j)
 SELECT CAST(least(floor(CAST(n_chars - lo AS DOUBLE) / (hi - lo) * 20), 19) AS INTEGER) AS bin,
-  count(*) AS n, round(avg(n_chars), 4) AS mean_x, round(avg(quality), 6) AS mean_y
+  count(*) AS n, round(avg(n_chars), 4) AS mean_x, round(avg(vader_compound), 6) AS mean_y
 FROM j, lim GROUP BY 1""")
 def length_trend(spark, d):
-    both = load(spark, d, "documents").select("doc_id", "n_chars").join(
-        load(spark, d, "labels"), "doc_id")
-    return profile.binned_trend(both, "n_chars", "quality", 20)
+    """Length against the compound score of every document."""
+    scored = lexicon.lexicon_sentiment(load(spark, d, "documents").select("doc_id", "text"), "doc_id",
+                                       "text", learnt_lexicon(spark, d))
+    both = load(spark, d, "documents").select("doc_id", "n_chars").join(scored, "doc_id")
+    return profile.binned_trend(both, "n_chars", "vader_compound", 20)
 
 
 SPLIT = """ranked AS (SELECT doc_id, lang,
@@ -232,18 +236,17 @@ def index_percentile(spark, d):
 
 
 @query(f"""WITH v AS (SELECT conv_id, turn, CASE WHEN text IS NULL THEN 'missing'
-    WHEN text = '' THEN 'empty' WHEN length(text) > 1500 THEN 'too long'
+    WHEN text = '' THEN 'empty' WHEN length(text) > 5000 THEN 'too long'
     WHEN regexp_replace(text, '[{SQL_SPACES}]+', '', 'g') = '' THEN 'blank' END AS reason FROM (
     SELECT conv_id, turn, CASE role WHEN 'system' THEN repeat(' ', CAST(turn AS INTEGER) * 3)
       ELSE text END AS text FROM conversations))
 SELECT coalesce(reason, 'valid') AS verdict, count(*) AS n FROM v GROUP BY 1""")
 def validate_requests(spark, d):
     """Turns as requests; system turns stand in for empty and blank ones."""
-    from chorus.config import RequestConfig
     turns = load(spark, d, "conversations").withColumn(
         "text", F.when(F.col("role") == "system",
                        F.repeat(F.lit(" "), (F.col("turn") * 3).cast("int"))).otherwise(F.col("text")))
-    checked = quality.validate_requests(turns, "text", RequestConfig(max_chars=1500))
+    checked = quality.validate_requests(turns, "text")
     return profile.count_by(checked, F.coalesce("reason", F.lit("valid")).alias("verdict"))
 
 

@@ -60,12 +60,13 @@ def remove_emoji(spark, d):
     return _one_step(spark, d, tx.remove_emoji)
 
 
-_named = "text"
-for _symbol, _name in EMOJI_NAMES.items():
-    _named = f"replace({_named}, {lit(_symbol)}, {lit(_name)})"
+_NAMES = (f"MAP([{', '.join(map(lit, EMOJI_NAMES))}], [{', '.join(map(lit, EMOJI_NAMES.values()))}])")
 
 
-@query(f"WITH {MARKED} SELECT doc_id, {_named} AS text FROM marked")
+@query(f"""WITH {MARKED}, names AS (SELECT {_NAMES} AS m),
+parts AS (SELECT doc_id, text, regexp_extract_all(text, {lit(tx.SIGN_OR_REST)}) AS p FROM marked)
+SELECT doc_id, array_to_string(list_transform(p,
+  lambda x: coalesce(m[replace(x, chr(65039), '')], x)), '') AS text FROM parts, names""")
 def name_emoji(spark, d):
     return _one_step(spark, d, tx.name_emoji)
 
@@ -212,19 +213,19 @@ def ngrams(spark, d):
 
 @query(f"""WITH words AS (SELECT doc_id, unnest({TOKENS}) AS word FROM documents),
   vocab AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS id
-    FROM words GROUP BY word QUALIFY id <= 2000),
+    FROM words GROUP BY word),
   placed AS (SELECT doc_id, {TOKENS} AS w FROM documents),
   cut AS (SELECT doc_id, unnest(w[1:128]) AS word, unnest(range(1, least(len(w), 128) + 1)) AS pos
     FROM placed),
-  ids AS (SELECT doc_id, list(coalesce(id, 2001) ORDER BY pos) AS ids, count(*) AS n
+  ids AS (SELECT doc_id, list(id ORDER BY pos) AS ids, count(*) AS n
     FROM cut LEFT JOIN vocab USING (word) GROUP BY doc_id)
 SELECT doc_id, coalesce(array_to_string(ids, ' ') || repeat(' 0', 128 - n), '0' || repeat(' 0', 127))
   AS input_ids, coalesce(n, 0) AS kept, repeat('1', coalesce(n, 0)) || repeat('0', 128 - coalesce(n, 0))
   AS attention_mask FROM documents LEFT JOIN ids USING (doc_id)""")
 def seq_encode(spark, d):
     docs = documents(spark, d, "doc_id", "text")
-    vocab = sequences.vocabulary(docs, "text", 2000)
-    coded = sequences.encode(docs, "doc_id", "text", vocab, length=128, unknown_id=2001)
+    vocab = sequences.vocabulary(docs, "text")
+    coded = sequences.encode(docs, "doc_id", "text", vocab, length=128)
     return coded.select(
         "doc_id", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
         F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).cast("bigint").alias("kept"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 
@@ -14,8 +16,9 @@ def field_equals(meta: Column, key: str, value: str) -> Column:
 
 
 def field_in_text(meta: Column, key: str, value: str) -> Column:
-    """Test on the raw JSON text; depends on the spacing of the writer."""
-    return F.contains(meta, F.lit(f'"{key}": "{value}"'))
+    """Test on the raw JSON text, with or without a blank after the colon."""
+    return (F.contains(meta, F.lit(f'"{key}": "{value}"'))
+            | F.contains(meta, F.lit(f'"{key}":"{value}"')))
 
 
 def is_blank(meta: Column, key: str) -> Column:
@@ -23,11 +26,24 @@ def is_blank(meta: Column, key: str) -> Column:
     return F.coalesce(field(meta, key), F.lit("")) == ""
 
 
+def _members(meta: Column) -> Column:
+    """Members of a JSON object with the types they have; null for any other text."""
+    return F.from_json(F.coalesce(meta, F.lit("{}")), "map<string,variant>")
+
+
+def settable(meta: Column) -> Column:
+    """The text is missing or a JSON object."""
+    return _members(meta).isNotNull()
+
+
 def set_field(meta: Column, key: str, value: str) -> Column:
-    """JSON text with ``key`` set to ``value``; other keys stay."""
-    known = F.from_json(F.coalesce(meta, F.lit("{}")), "map<string,string>")
-    others = F.map_filter(known, lambda k, _: k != key)
-    return F.to_json(F.map_concat(others, F.create_map(F.lit(key), F.lit(value))))
+    """JSON text with ``key`` set to ``value``; other members keep value and type.
+
+    Text that is no JSON object stays as it is.
+    """
+    others = F.map_filter(_members(meta), lambda k, _: k != key)
+    new = F.create_map(F.lit(key), F.parse_json(F.lit(json.dumps(value))))
+    return F.coalesce(F.to_json(F.map_concat(others, new)), meta)
 
 
 def backfill(meta: Column, key: str, value: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 from collections import OrderedDict
 from collections.abc import Sequence
 
@@ -22,6 +23,8 @@ SPACES = (r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0[\x{1680}-\x{3000}&&"
 PICTOGRAPH = r"[\x{1f300}-\x{1faff}\x{2600}-\x{27bf}][\x{1f3fb}-\x{1f3ff}]?\x{fe0f}?"
 EMOJI = (r"[0-9#*]\x{fe0f}?\x{20e3}|[\x{1f1e6}-\x{1f1ff}]{2}|"
          + PICTOGRAPH + r"(?:\x{200d}" + PICTOGRAPH + r")*")
+SIGN_OR_REST = (r"(?s)[\x{1f300}-\x{1faff}\x{2600}-\x{27bf}]\x{fe0f}?|"
+                r"[^\x{1f300}-\x{1faff}\x{2600}-\x{27bf}]+")
 REPEATED_STOPS = r"([!?.]){2,}"
 WORD = r"[\p{L}\p{N}_]{2,}"
 
@@ -53,10 +56,14 @@ def has_emoji(text: Column) -> Column:
 
 
 def name_emoji(text: Column, names: dict[str, str] = EMOJI_NAMES) -> Column:
-    """Replace each known emoji with its ``:name:``; unknown ones stay."""
-    named = text
-    for symbol, name in names.items():
-        named = F.replace(named, F.lit(symbol), F.lit(name))
+    """Replace each known emoji with its ``:name:``; unknown ones stay.
+
+    A variation selector after a sign goes with it. The names are one constant map.
+    """
+    known = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    parts = F.regexp_extract_all(text, F.lit(SIGN_OR_REST), F.lit(0))
+    named = F.array_join(F.transform(parts, lambda x: F.coalesce(
+        F.try_element_at(known, F.replace(x, F.lit("\ufe0f"), F.lit(""))), x)), "")
     return F.when(has_emoji(text), named).otherwise(text)
 
 

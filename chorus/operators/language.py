@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chorus.functions import scripts
 from chorus.operators.rows import unfold
 from chorus.workspace import stage
 
-PROFILE_SIZE = 300
 LETTERS = r"\p{L}+"
 # Looks ahead of every character for three with a letter in the middle; never
 # starts inside a surrogate pair.
@@ -34,21 +33,19 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(F.concat(F.lit(" "), words, F.lit(" ")), F.lit(TRIGRAM), F.lit(1))
 
 
-def learn_profiles(labelled: DataFrame, text: str, label: str, classes: Sequence[str],
-                   size: int = PROFILE_SIZE) -> DataFrame:
-    """Log probability of the most frequent trigrams under each language.
+def learn_profiles(labelled: DataFrame, text: str, label: str,
+                   classes: Sequence[str]) -> DataFrame:
+    """Log probability of every trigram under each language.
 
-    At most ``size`` trigrams per language enter, one row per trigram with one
-    column per language; a trigram unseen in a language counts as one half.
-    Words are counted first, so that only distinct words are cut into trigrams.
+    One row per trigram with one column per language; a trigram unseen in a
+    language counts as one half. Words are counted first, so that only distinct
+    words are cut into trigrams.
     """
     words = unfold(labelled, F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0)), "word",
                    label).groupBy(label, "word").agg(F.count(F.lit(1)).alias("n"))
     counts = (unfold(words, trigrams(F.col("word")), "gram", label, "n")
               .groupBy(label, "gram").agg(F.sum("n").alias("n")))
-    best = stage(counts.withColumn("_r", F.row_number().over(
-        Window.partitionBy(label).orderBy(F.desc("n"), "gram")))
-        .filter(F.col("_r") <= size), "profiles")
+    best = stage(counts, "profiles")
     totals = best.agg(F.struct(*[
         F.coalesce(F.sum(F.when(F.col(label) == c, F.col("n"))), F.lit(0)).alias(c)
         for c in classes]).alias("t"))
@@ -60,10 +57,17 @@ def learn_profiles(labelled: DataFrame, text: str, label: str, classes: Sequence
 
 def detect(df: DataFrame, id_col: str, text: str, profiles: DataFrame,
            classes: Sequence[str]) -> DataFrame:
-    """Most probable language per text; null where no known trigram occurs."""
-    grams = unfold(df, trigrams(F.col(text)), "gram", id_col)
-    sums = grams.join(profiles, "gram").groupBy(id_col).agg(
-        *[F.round(F.sum(f"lp_{c}"), 3).alias(f"score_{c}") for c in classes])
+    """Most probable language per text; null where no known trigram occurs.
+
+    A trigram lies inside one word and the blanks around it, so each distinct
+    word is scored once and the texts are joined with its score.
+    """
+    words = unfold(df, F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0)), "word",
+                   id_col).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
+    scored = unfold(words.select("word").distinct(), trigrams(F.col("word")), "gram", "word").join(
+        profiles, "gram").groupBy("word").agg(*[F.sum(f"lp_{c}").alias(f"lp_{c}") for c in classes])
+    sums = words.join(stage(scored, "word-scores"), "word").groupBy(id_col).agg(
+        *[F.round(F.sum(F.col("n") * F.col(f"lp_{c}")), 3).alias(f"score_{c}") for c in classes])
     best = F.greatest(*[F.col(f"score_{c}") for c in classes])
     pick = F.coalesce(*[F.when(F.col(f"score_{c}") == best, c) for c in classes])
     return df.select(id_col).join(

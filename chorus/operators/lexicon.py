@@ -13,13 +13,16 @@ from chorus.functions import scores, text as tx
 from chorus.operators.rows import unfold
 from chorus.workspace import stage
 
-LIMIT = 400
+LIMIT = 400  # the scale of a valence, in hundredths
 NORMALIZER = 15
 
 
-def learn_lexicon(df: DataFrame, text: str, positive: Column, min_df: int = 5,
-                  smallest: int = 20, size: int = 2000) -> DataFrame:
-    """Log-odds of a word between positive and negative texts as its valence."""
+def learn_lexicon(df: DataFrame, text: str, positive: Column, min_df: int = 5) -> DataFrame:
+    """Log-odds of a word between positive and negative texts as its valence.
+
+    Every word of at least ``min_df`` texts enters. Valences lie on the scale of
+    the scores, from -4 to 4.
+    """
     marked = df.select(positive.alias("_up"), F.array_distinct(tx.tokens(F.col(text))).alias("_w"))
     totals = marked.agg(F.struct(F.count_if("_up").alias("up"),
                                  F.count_if(~F.col("_up")).alias("down")).alias("t"))
@@ -29,10 +32,7 @@ def learn_lexicon(df: DataFrame, text: str, positive: Column, min_df: int = 5,
     odds = (F.ln((F.col("up") + 1) / (F.col("_t.up") + 2))
             - F.ln((F.col("down") + 1) / (F.col("_t.down") + 2)))
     valence = F.greatest(F.least(F.round(odds * 100).cast("bigint"), F.lit(LIMIT)), F.lit(-LIMIT))
-    return stage(kept.withColumn("valence", valence)
-                 .filter(F.abs("valence") >= smallest)
-                 .orderBy(F.desc(F.col("up") + F.col("down")), "word").limit(size)
-                 .select("word", "valence"), "lexicon")
+    return stage(kept.withColumn("valence", valence).select("word", "valence"), "lexicon")
 
 
 def text_sums(df: DataFrame, id_col: str, text: str, lexicon: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ def confusion(pred: DataFrame, classes: Sequence[str], by: Sequence[str] = (),
     """Counts for every pair of classes, zero where a pair does not occur.
 
     The rows are counted per pair first; the zero cells are filled in on the
-    resulting handful of rows, without a join.
+    resulting handful of rows, without a join. Pairs with a class that is not in
+    ``classes``, or with none, are added as they occur, so that no row is lost.
     """
     pairs = pred.groupBy(*by, F.col(truth).alias("_t"), F.col(guess).alias("_g")).agg(
         F.count(F.lit(1)).alias("_n"))
@@ -28,9 +29,13 @@ def confusion(pred: DataFrame, classes: Sequence[str], by: Sequence[str] = (),
         (F.col("_t") == t) & (F.col("_g") == g), F.col("_n"))), F.lit(0)).alias(f"_c{i}"))
         for i, (t, g) in enumerate((t, g) for t in classes for g in classes)]
     wide = pairs.groupBy(*by).agg(*[c for _, _, c in cells])
-    return wide.select(*by, F.explode(F.array(*[
+    listed = wide.select(*by, F.explode(F.array(*[
         F.struct(F.lit(t).alias("y_true"), F.lit(g).alias("y_pred"), F.col(f"_c{i}").alias("n"))
         for i, (t, g, _) in enumerate(cells)])).alias("cell")).select(*by, "cell.*")
+    inside = F.col("_t").isin(*classes) & F.col("_g").isin(*classes)
+    other = pairs.filter(~F.coalesce(inside, F.lit(False))).select(
+        *by, F.col("_t").alias("y_true"), F.col("_g").alias("y_pred"), F.col("_n").alias("n"))
+    return listed.unionByName(other)
 
 
 def normalized_confusion(matrix: DataFrame, by: Sequence[str] = (), digits: int = 4) -> DataFrame:
@@ -140,7 +145,9 @@ def roc_auc(points: DataFrame, by: Sequence[str] = (), digits: int = 6) -> DataF
 
 
 def macro_auc(auc: DataFrame, by: Sequence[str] = (), digits: int = 6) -> DataFrame:
-    return auc.groupBy(*by).agg(F.round(F.avg("auc"), digits).alias("roc_auc"))
+    """Mean over the classes; null if it is undefined for one of them."""
+    all_defined = F.count("auc") == F.count(F.lit(1))
+    return auc.groupBy(*by).agg(F.round(F.when(all_defined, F.avg("auc")), digits).alias("roc_auc"))
 
 
 def roc_curve(points: DataFrame, by: Sequence[str] = (), digits: int = 6) -> DataFrame:

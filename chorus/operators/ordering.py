@@ -88,12 +88,13 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str],
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Rows ``n`` per group and value; the entry for missing values counts none.
+    """Rows ``n`` per group and value; the entries for missing values and NaN count none.
 
     Missing values are not filtered out first: the filter would move below the
     projection that computes the value and compute it twice.
     """
-    return df.groupBy(*by, value).agg(F.count(value).alias("n"))
+    there = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
+    return df.groupBy(*by, value).agg(F.count(there).alias("n"))
 
 
 def order_statistics(counts: DataFrame, by: Sequence[str], value: str,

@@ -22,10 +22,15 @@ def distribution(df: DataFrame, key: str, digits: int = 2) -> DataFrame:
 
 
 def crosstab(df: DataFrame, rows: str, columns: str, values: Sequence[str]) -> DataFrame:
-    """Counts with one column per listed value, zero where a pair is absent."""
+    """Counts with one column per listed value, zero where a pair is absent.
+
+    Rows with another value, or none, count in the column ``other``.
+    """
     counts = count_by(df, rows, columns)
-    return counts.groupBy(rows).pivot(columns, list(values)).agg(F.sum("n")).fillna(
-        0, subset=list(values))
+    zero = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    listed = F.coalesce(F.col(columns).isin(*values), F.lit(False))
+    return counts.groupBy(rows).agg(*[zero(F.col(columns) == v).alias(v) for v in values],
+                                    zero(~listed).alias("other"))
 
 
 def crosstab_percent(df: DataFrame, rows: str, columns: str, digits: int = 2) -> DataFrame:
@@ -45,9 +50,10 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, by: Sequence[str], value: str, digits: int = 4) -> DataFrame:
-    """Size, mean, median and sample deviation per group."""
-    base = df.groupBy(*by).agg(F.round(F.avg(value), digits).alias("mean"),
-                               F.round(F.stddev_samp(value), digits).alias("std"))
+    """Size, mean, median and sample deviation per group; NaN counts as missing."""
+    there = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
+    base = df.groupBy(*by).agg(F.round(F.avg(there), digits).alias("mean"),
+                               F.round(F.stddev_samp(there), digits).alias("std"))
     middle = linear_percentiles(value_counts(df, by, value), by, value, {"median": 50})
     return null_safe_join(base, middle, by).withColumn("median", F.round("median", digits))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from chorus.functions import text as tx
-from chorus.operators.ordering import value_counts
+from chorus.operators.ordering import dense_row_ids, value_counts
 from chorus.operators.rows import unfold
 from chorus.workspace import stage
 
@@ -29,16 +29,15 @@ def length_profile(df: DataFrame, text: str, limit: int) -> DataFrame:
         *[F.round(F.col("at")[i], 4).alias(f"p{p}") for i, p in enumerate(PERCENTS)])
 
 
-def vocabulary(df: DataFrame, text: str, size: int) -> DataFrame:
-    """The most frequent words with ids from 1; ties in word order."""
+def vocabulary(df: DataFrame, text: str) -> DataFrame:
+    """All words with ids from 1, the most frequent first; ties in word order."""
     counts = (unfold(df, tx.tokens(F.col(text)), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.orderBy(F.desc("n"), "word").limit(size)
-    numbered = top.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "word")))
-    return stage(numbered.select("word", "id"), "vocabulary")
+    numbered = dense_row_ids(counts, [F.desc("n"), "word"], "id")
+    return stage(numbered.select("word", F.col("id").cast("int").alias("id")), "vocabulary")
 
 
 def encode(df: DataFrame, id_col: str, text: str, vocab: DataFrame, length: int,
-           unknown_id: int) -> DataFrame:
+           unknown_id: int = 0) -> DataFrame:
     """Id sequence and attention mask of exactly ``length`` places per row."""
     words = df.select(id_col, F.posexplode_outer(
         F.slice(tx.tokens(F.col(text)), 1, length)).alias("pos", "word"))

@@ -8,6 +8,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chorus import schema
 from chorus.functions import jsonmeta
+from chorus.operators.ordering import dense_row_ids
+from chorus.workspace import stage
+
+RAW_POST_DEFAULTS = {
+    "collected_date": F.current_timestamp, "likes": 0, "comments_count": 0, "shares": 0,
+    "is_processed": False,
+}
+
+
+def _default(column: str) -> Column:
+    value = RAW_POST_DEFAULTS.get(column)
+    return value() if callable(value) else F.lit(value)
+
+
+def _pending(flag: str) -> Column:
+    """A missing flag means not processed."""
+    return ~F.coalesce(F.col(flag), F.lit(False))
+
+
+def key_digest(key: Column) -> Column:
+    """What stands for a key in shuffles; null stays null."""
+    return F.sha2(key.cast("string"), 256)
+
+
+def _winners(df: DataFrame, key: Column, order: str) -> DataFrame:
+    """(_digest, order) of the first row of each key; rows without a key have their own."""
+    digest = F.coalesce(key_digest(key), F.concat(F.lit("row "), F.col(order).cast("string")))
+    return df.groupBy(digest.alias("_digest")).agg(F.min(order).alias(order))
 
 
 def first_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
@@ -17,16 +45,19 @@ def first_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
     column are aggregated, and copies collapse before the shuffle, so a key
     held by a large share of the rows costs no more than any other.
     """
-    digest = F.coalesce(F.sha2(key.cast("string"), 256),
-                        F.concat(F.lit("row "), F.col(order).cast("string")))
-    winners = df.groupBy(digest.alias("_digest")).agg(F.min(order).alias(order)).select(order)
-    return df.join(winners, order, "left_semi")
+    return df.join(_winners(df, key, order).select(order), order, "left_semi")
 
 
 def insert_if_absent(new: DataFrame, target: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows of ``new`` the target does not hold yet, the first writer of each key."""
-    return first_per_key(new, F.col(key), order).join(
-        target.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    """Rows of ``new`` the target does not hold yet, the first writer of each key.
+
+    Digests of the new keys meet digests of the stored ones; the rows themselves
+    are joined once, with the order values that stay.
+    """
+    stored = target.select(key_digest(F.col(key)).alias("_digest"))
+    fresh = _winners(new, F.col(key), order).join(
+        stored.filter(F.col("_digest").isNotNull()).distinct(), "_digest", "left_anti")
+    return new.join(fresh.select(order), order, "left_semi")
 
 
 def ingest_counts(new: DataFrame, inserted: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -39,13 +70,42 @@ def ingest_counts(new: DataFrame, inserted: DataFrame, by: Sequence[str]) -> Dat
 
 
 def append_posts(spark: SparkSession, new: DataFrame, path: str, order: str) -> DataFrame:
-    """Insert new posts into the post table at ``path``; returns what was added."""
+    """Insert new posts into the post table at ``path``; returns what was added.
+
+    Columns that are absent or missing take the defaults of the table; ids go on
+    from the largest stored one.
+    """
     target = spark.read.schema(schema.RAW_POSTS).parquet(path)
-    added = insert_if_absent(new, target, "post_id", order)
-    aligned = added.select(*[
-        (F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in schema.RAW_POSTS])
-    aligned.write.mode("append").parquet(path)
+    last = target.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    added = dense_row_ids(insert_if_absent(new, target, "post_id", order), [order], "_row")
+    values = {"id": F.col("_row") + last}
+    for f in schema.RAW_POSTS:
+        if f.name != "id":
+            given = F.col(f.name) if f.name in new.columns else F.lit(None)
+            values[f.name] = F.coalesce(given, _default(f.name))
+    added = stage(added.select(*[values[f.name].cast(f.dataType).alias(f.name)
+                                 for f in schema.RAW_POSTS]), "added-posts")
+    added.write.mode("append").parquet(path)
+    return added
+
+
+def append_processed(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """Append processed posts to the table at ``path``: one per raw post, ids going on.
+
+    ``rows`` has ``raw_post_id`` and any other columns of the table; raw posts that
+    are stored already are left out. Returns what was added.
+    """
+    target = spark.read.schema(schema.PROCESSED_POSTS).parquet(path)
+    last = target.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = rows.join(target.select("raw_post_id"), "raw_post_id", "left_anti")
+    added = dense_row_ids(fresh, ["raw_post_id"], "_row")
+    values = {f.name: F.col(f.name) if f.name in rows.columns else F.lit(None)
+              for f in schema.PROCESSED_POSTS}
+    values["id"] = F.col("_row") + last
+    values["processed_date"] = F.coalesce(values["processed_date"], F.current_timestamp())
+    added = stage(added.select(*[values[f.name].cast(f.dataType).alias(f.name)
+                                 for f in schema.PROCESSED_POSTS]), "added-processed")
+    added.write.mode("append").parquet(path)
     return added
 
 
@@ -58,7 +118,7 @@ def processing_stats(posts: DataFrame, flag: str = "is_processed") -> DataFrame:
     return posts.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col(flag)).alias("processed"),
-        F.count_if(~F.col(flag)).alias("pending"))
+        F.count_if(_pending(flag)).alias("pending"))
 
 
 def mark_processed(posts: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -71,7 +131,7 @@ def mark_processed(posts: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def unprocessed(posts: DataFrame, limit: int, order: Sequence[str]) -> DataFrame:
     """The next batch of pending posts in a total order."""
-    return posts.filter(~F.col("is_processed")).orderBy(*order).limit(limit)
+    return posts.filter(_pending("is_processed")).orderBy(*order).limit(limit)
 
 
 def recent(posts: DataFrame, ts: str, minutes: int) -> DataFrame:
@@ -83,7 +143,7 @@ def recent(posts: DataFrame, ts: str, minutes: int) -> DataFrame:
 def backfill_category(posts: DataFrame, meta: str, value: str) -> DataFrame:
     """Fill blank categories in the metadata and say which rows changed."""
     return posts.withColumns({
-        "changed": jsonmeta.is_blank(F.col(meta), "category"),
+        "changed": jsonmeta.is_blank(F.col(meta), "category") & jsonmeta.settable(F.col(meta)),
         meta: jsonmeta.backfill(F.col(meta), "category", value)})
 
 

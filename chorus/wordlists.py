@@ -110,10 +110,15 @@ CURLY_QUOTES = "“”‘’"
 STRAIGHT_QUOTES = "\"\"''"
 
 
-def _faces(first: int, last: int) -> dict[str, str]:
-    """Emoji of a code block with names formed from their Unicode names."""
-    return {chr(c): ":" + unicodedata.name(chr(c)).lower().replace(" ", "_") + ":"
-            for c in range(first, last + 1)}
+#: Code blocks of pictographic signs, as in the pattern that removes them.
+EMOJI_BLOCKS = ((0x2600, 0x27BF), (0x1F300, 0x1FAFF))
 
 
-EMOJI_NAMES = _faces(0x1F600, 0x1F64F)
+def _named(*blocks: tuple[int, int]) -> dict[str, str]:
+    """Signs of code blocks with names formed from their Unicode names."""
+    signs = (chr(c) for first, last in blocks for c in range(first, last + 1))
+    return {c: ":" + unicodedata.name(c).lower().replace(" ", "_") + ":"
+            for c in signs if unicodedata.name(c, "")}
+
+
+EMOJI_NAMES = _named(*EMOJI_BLOCKS)
