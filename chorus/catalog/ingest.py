@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chorus.catalog.derive import EVENT_POSTS, event_posts
+from chorus import schema
+from chorus.catalog.derive import EVENT_POSTS, event_posts, lit
 from chorus.catalog.registry import query
 from chorus.functions import jsonmeta
 from chorus.operators import ordering
@@ -252,3 +253,59 @@ FROM documents""")
 def surrogate_key(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "source")
     return ordering.dense_row_ids(docs, ["source", "doc_id"])
+
+
+@query("""WITH e AS (SELECT md5(text) AS post_id, min(doc_id) AS m FROM documents
+    WHERE doc_id % 2 = 0 GROUP BY 1),
+  o AS (SELECT md5(text) AS post_id, min(doc_id) AS m FROM documents
+    WHERE md5(text) NOT IN (SELECT post_id FROM e) GROUP BY 1),
+  stored AS (SELECT row_number() OVER (ORDER BY m) AS id, post_id, m FROM e
+    UNION ALL SELECT (SELECT count(*) FROM e) + row_number() OVER (ORDER BY m), post_id, m FROM o),
+  done AS (SELECT id AS raw_post_id, row_number() OVER (ORDER BY id) AS processed_id FROM stored
+    WHERE id % 3 = 0)
+SELECT id, post_id, m AS doc_id, CAST(0 AS INTEGER) AS likes, id % 3 = 0 AS is_processed, processed_id
+FROM stored LEFT JOIN done ON raw_post_id = id""")
+def append_then_fetch(spark, d):
+    """Create the tables, append twice, process some posts and join both tables."""
+    paths = tables.create_tables(spark, shared_dir(spark, "posts"))
+    docs = load(spark, d, "documents").select(
+        "doc_id", "source", "text", F.md5("text").alias("post_id"),
+        F.col("doc_id").cast("string").alias("location"))
+    posts.append_posts(spark, docs.filter("doc_id % 2 = 0"), paths["raw_posts"], "doc_id")
+    posts.append_posts(spark, docs, paths["raw_posts"], "doc_id")
+    stored = tables.read_table(spark, paths["raw_posts"], schema.RAW_POSTS)
+    pending = posts.unprocessed(stored, stored.count(), ["id"])
+    done = pending.filter("id % 3 = 0").select(
+        F.col("id").alias("raw_post_id"), F.trim("text").alias("cleaned_text"))
+    posts.append_processed(spark, done, paths["processed_posts"])
+    processed = tables.read_table(spark, paths["processed_posts"], schema.PROCESSED_POSTS).select(
+        "raw_post_id", F.col("id").alias("processed_id"))
+    marked = posts.mark_processed(
+        stored, processed.select(F.col("raw_post_id").alias("id")), "id")
+    return marked.join(processed, F.col("id") == F.col("raw_post_id"), "left").select(
+        "id", "post_id", F.col("location").cast("bigint").alias("doc_id"), "likes", "is_processed",
+        "processed_id")
+
+
+_METADATA = ('{"likes":5,"test":true,"n":{"a":[1,2.5]}}', '{"likes":"5","category":""}', "not json", "[1]",
+             '{"category":"kept"}')
+
+
+@query(f"""WITH m AS (SELECT doc_id, ([{', '.join(lit(x) for x in _METADATA)}])[(doc_id % 5 + 1)::INT] AS t
+  FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1) THEN 'new' WHEN doc_id % 5 = 4 THEN 'kept' END AS category,
+  CASE doc_id % 5 WHEN 0 THEN '5' WHEN 1 THEN '"5"' END AS likes,
+  CASE doc_id % 5 WHEN 0 THEN 'true' END AS test, CASE doc_id % 5 WHEN 0 THEN '{{"a":[1,2.5]}}' END AS n,
+  CASE WHEN doc_id % 5 IN (2, 3) THEN t END AS untouched, doc_id % 5 IN (0, 1) AS changed FROM m""")
+def json_backfill_types(spark, d):
+    """Numbers, booleans and nested values keep their type; what is no object stays."""
+    texts = F.array(*[F.lit(x) for x in _METADATA])
+    rows = load(spark, d, "documents").select(
+        "doc_id", F.element_at(texts, (F.col("doc_id") % 5 + 1).cast("int")).alias("metadata"))
+    done = posts.backfill_category(rows, "metadata", "new")
+    typed = F.from_json("metadata", "map<string,variant>")
+    value = lambda k: F.to_json(F.try_element_at(typed, F.lit(k)))
+    return done.select(
+        "doc_id", jsonmeta.field(F.col("metadata"), "category").alias("category"),
+        value("likes").alias("likes"), value("test").alias("test"), value("n").alias("n"),
+        F.when(typed.isNull(), F.col("metadata")).alias("untouched"), "changed")

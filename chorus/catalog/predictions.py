@@ -143,6 +143,15 @@ def error_extremes(spark, d):
     return metrics.error_extremes(matrix(spark, d).drop("type"), ["model"])
 
 
+@query(f"""WITH {PRED}, cells AS (SELECT model, y_true, y_pred, count(*) AS n FROM pred GROUP BY ALL),
+  listed AS (SELECT m.model, a.c AS y_true, b.c AS y_pred FROM models m
+    CROSS JOIN (SELECT unnest(['de', 'en']) AS c) a CROSS JOIN (SELECT unnest(['de', 'en']) AS c) b)
+SELECT model, y_true, y_pred, coalesce(n, 0) AS n FROM listed FULL JOIN cells USING (model, y_true, y_pred)""")
+def confusion_unlisted(spark, d):
+    """Two classes are listed; the rows of the others are counted all the same."""
+    return metrics.confusion(predictions(spark, d), ("de", "en"), ["model"])
+
+
 ROC = """points AS (SELECT model, c AS class, CASE c WHEN 'de' THEN prob_de WHEN 'en' THEN prob_en
     WHEN 'es' THEN prob_es ELSE prob_fr END AS score, y_true = c AS hit FROM pred, classes)"""
 
@@ -161,13 +170,24 @@ def roc_auc(spark, d):
     return metrics.roc_auc(points(spark, d), ["model"])
 
 
+@query(f"""WITH {PRED}, {ROC},
+  ranks AS (SELECT model, class, hit, rank() OVER (PARTITION BY model, class ORDER BY score)
+    + (count(*) OVER (PARTITION BY model, class, score) - 1) / 2.0 AS r FROM points),
+  s AS (SELECT model, class, sum(r) FILTER (hit) AS rs, count(*) FILTER (hit) AS p,
+    count(*) FILTER (NOT hit) AS q FROM ranks GROUP BY ALL)
+SELECT model, round(avg(round((rs - p * (p + 1) / 2.0) / (p * q), 6)), 6) AS roc_auc FROM s GROUP BY model""")
+def macro_roc_auc(spark, d):
+    return metrics.macro_auc(metrics.roc_auc(points(spark, d), ["model"]), ["model"])
+
+
 @query(f"""WITH {PRED}, {ROC},
   s AS (SELECT model, class, score, count(*) FILTER (hit) AS p, count(*) FILTER (NOT hit) AS q
     FROM points GROUP BY ALL)
 SELECT model, class, round(score, 6) AS threshold,
   round(sum(p) OVER w / sum(p) OVER (PARTITION BY model, class), 6) AS tpr,
   round(sum(q) OVER w / sum(q) OVER (PARTITION BY model, class), 6) AS fpr
-FROM s WINDOW w AS (PARTITION BY model, class ORDER BY score DESC)""")
+FROM s WINDOW w AS (PARTITION BY model, class ORDER BY score DESC)
+UNION ALL SELECT DISTINCT model, class, NULL, 0.0, 0.0 FROM points""")
 def roc_curve(spark, d):
     return metrics.roc_curve(points(spark, d), ["model"])
 

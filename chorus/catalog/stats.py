@@ -126,6 +126,16 @@ def score_correlation(spark, d):
         F.round(F.corr("l_discount", "l_tax"), 6).alias("discount_tax"))
 
 
+@query("""WITH v AS (SELECT event_type, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events)
+SELECT event_type, count(v) AS n, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std,
+  round(median(v), 4) AS median FROM v GROUP BY 1""")
+def numeric_summary_nan(spark, d):
+    """Every seventh value is NaN and counts as missing."""
+    events = load(spark, d, "events").withColumn(
+        "value", F.when(F.col("event_id") % 7 == 0, float("nan")).otherwise(F.col("value")))
+    return profile.numeric_summary(events, ["event_type"], "value")
+
+
 @query("""WITH lim AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
   c AS (SELECT CAST(least(floor((value - lo) / (hi - lo) * 50), 49) AS INTEGER) AS bin, count(*) AS n
     FROM events, lim GROUP BY 1)

@@ -151,12 +151,18 @@ def macro_auc(auc: DataFrame, by: Sequence[str] = (), digits: int = 6) -> DataFr
 
 
 def roc_curve(points: DataFrame, by: Sequence[str] = (), digits: int = 6) -> DataFrame:
-    """True and false positive rate at every distinct score, score and above."""
+    """True and false positive rate at every distinct score, score and above.
+
+    The curve starts at (0, 0), with no threshold, and ends at (1, 1).
+    """
     rate = lambda w: F.round(F.try_divide(
         F.col(f"total_{w}") - F.col(f"before_{w}"), F.col(f"total_{w}")), digits)
-    return _ranked(points, by).select(
+    curve = _ranked(points, by).select(
         *by, "class", F.round("score", digits).alias("threshold"),
         rate("pos").alias("tpr"), rate("neg").alias("fpr"))
+    start = points.select(*by, "class").distinct().withColumns({
+        "threshold": F.lit(None).cast("double"), "tpr": F.lit(0.0), "fpr": F.lit(0.0)})
+    return curve.unionByName(start)
 
 
 def confidence_by_correct(pred: DataFrame, by: Sequence[str] = (), digits: int = 6) -> DataFrame:
