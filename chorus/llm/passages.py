@@ -36,60 +36,70 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chorus.llm.common import order_id, stage, tuples, utf8
+from chorus.llm.common import order_id, sieve, stage, tuples, utf8
 
 WINDOW = 50
 GRAM = 8
 HOT = 512
 SHARD_WORDS = 150_000
 LEAST_SHARDS = 64
-REMEMBERED = 300_000
-SPANS_AT_ONCE = 20_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_HASHES = WordHashes()
-
-
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX
     return x ^ (x >> np.uint64(29))
 
 
-def runs_hash(h: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
-    """Hash of every run of ``length`` words, from hashes of runs twice as long each time."""
-    n = len(h) - length + 1
-    if n <= 0:
-        return h[:0]
-    power, run, size = _mixed(h + np.uint64(seed)), None, 0
-    at, width = 0, 1
-    while True:
-        if length & width:
-            part = power[at:at + n]
-            run = part if run is None else _mixed(run * _MIX + part + np.uint64(size))
-            at += width
-            size += width
-        if size == length:
-            return run
-        power = _mixed(power[:len(power) - width] * _MIX + power[width:] + np.uint64(width))
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_POWERS = [np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> np.ndarray:
+    """Powers of an odd number, as many as the longest word seen so far has bytes."""
+    if len(_POWERS[0]) < n:
+        grown = np.full(1 << (n - 1).bit_length(), 0x100000001B3 * 2 + 1, np.uint64)
+        grown[0] = 1
+        _POWERS[0] = np.cumprod(grown, dtype=np.uint64)
+    return _POWERS[0]
+
+
+def hashes_of(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, from its bytes alone."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.r_[False, ~_WHITE[raw], False]
+    start = np.flatnonzero(inside[1:] & ~inside[:-1])
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    length = np.flatnonzero(inside[:-1] & ~inside[1:]) - start
+    place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    letters = raw[inside[1:-1]].astype(np.uint64) + np.uint64(1)
+    sums = np.add.reduceat(_mixed(letters) * _powers(int(length.max()))[place],
+                           np.cumsum(length) - length)
+    return _mixed(_mixed(sums) + length.astype(np.uint64) * _MIX)
+
+
+def runs(h: np.ndarray, most: int, seed: int = 0) -> list[np.ndarray]:
+    """Hashes of all runs of 1, 2, 4, ... words, up to ``most``."""
+    out, width = [_mixed(h + np.uint64(seed))], 1
+    while 2 * width <= most:
+        last = out[-1]
+        out.append(_mixed(last[:max(0, len(last) - width)] * _MIX + last[width:] + np.uint64(width)))
         width *= 2
+    return out
+
+
+def spans_hash(levels: list[np.ndarray], start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of runs of any length, each from the two powers of two that cover it."""
+    out = np.zeros(len(start), np.uint64)
+    level = np.frexp(length.astype(np.float64))[1] - 1
+    for k in np.unique(level).tolist():
+        at = np.flatnonzero(level == k)
+        first, last = start[at], start[at] + length[at] - (1 << k)
+        out[at] = _mixed(levels[k][first] * _MIX + levels[k][last] + length[at].astype(np.uint64))
+    return out
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -105,7 +115,8 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
 
 def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the grams that are the least of some window."""
-    grams = runs_hash(h, gram, 1)
+    n = max(0, len(h) - gram + 1)
+    grams = spans_hash(runs(h, gram, 1), np.arange(n), np.full(n, gram))
     per_window = window - gram + 1
     if len(h) < window:
         return np.zeros(0, np.int64), grams[:0]
@@ -119,50 +130,23 @@ def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.n
 def _passages(window: int, gram: int):
     """Passages around the anchors of each text: hashes and places, no words."""
     def run(batch, _):
-        docs, versions, lines = [], [], {k: [] for k in ("anchor", "p", "p2", "start", "length")}
+        out: dict[str, list] = {k: [] for k in ("doc", "version", "anchor", "p", "start", "length")}
         ids, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for i, text in enumerate(batch.column(2).to_pylist()):
-            words = (text or b"").split()
-            if len(words) < window:
+            h = hashes_of(text or b"")
+            if len(h) < window:
                 continue
-            h = hashes_of(words)
             at, value = anchors(h, window, gram)
             start = np.maximum(at - (window - gram), 0)
-            end = np.minimum(at + window, len(words))
-            p, p2 = _spans_hash(h, start, end, value)
-            for k, x in zip(lines, (value, p, p2, start, end - start)):
-                lines[k].append(x)
-            docs.append(np.full(len(at), ids[i]))
-            versions.append(np.full(len(at), own[i]))
-        if not docs:
-            return None
-        out = {k: np.concatenate(x) for k, x in lines.items()}
-        return {"doc": np.concatenate(docs), "version": np.concatenate(versions),
-                "anchor": out["anchor"].view(np.int64), "p": out["p"].view(np.int64),
-                "p2": out["p2"].view(np.int64), "start": out["start"].astype(np.int32),
-                "length": out["length"].astype(np.int32)}
+            length = np.minimum(at + window, len(h)) - start
+            p = spans_hash(runs(h, int(length.max())), start, length)
+            for k, x in zip(out, (np.full(len(at), ids[i]), np.full(len(at), own[i]),
+                                  value.view(np.int64), p.view(np.int64), start, length)):
+                out[k].append(x)
+        return {k: np.concatenate(x) for k, x in out.items()} if out["doc"] else None
     return run
 
 
-def _spans_hash(h, start, end, salt):
-    """Two 64-bit hashes of the words from start to end, with what is hashed besides."""
-    if len(start) > SPANS_AT_ONCE:
-        parts = [_spans_hash(h, *(x[i:i + SPANS_AT_ONCE] for x in (start, end, salt)))
-                 for i in range(0, len(start), SPANS_AT_ONCE)]
-        return [np.concatenate(x) for x in zip(*parts)]
-    width = int((end - start).max())
-    place = start[:, None] + np.arange(width)[None]
-    inside = place < end[:, None]
-    part = h[np.minimum(place, len(h) - 1)]
-    odd = _mixed(np.arange(1, width + 1, dtype=np.uint64) * _MIX) | np.uint64(1)
-    out = []
-    for seed in (3, 5):
-        each = _mixed(part + np.uint64(seed)) * (odd * np.uint64(2 * seed + 1))[None]
-        total = np.where(inside, each, np.uint64(0)).sum(axis=1, dtype=np.uint64)
-        out.append(_mixed(total + salt + (end - start).astype(np.uint64) * _MIX))
-    return out
-
-
 class Wavelet:
     """Wavelet matrix: per bit of the symbols one packed bit row with block ranks."""
 
@@ -296,110 +280,112 @@ def _runs(passage: np.ndarray, place: np.ndarray):
 
 def _search_shard(window: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("p", "ascending"), ("p2", "ascending")])
-        least = table["least"].to_numpy()
-        index = FMIndex([t.split() for t in table["words"].to_pylist()], least, window)
+        # Rows with equal id and text hold the same passages.
+        table = table.group_by(["anchor", "p"]).aggregate([("least", "min"), ("words", "min")])
+        table = table.sort_by([("anchor", "ascending"), ("p", "ascending")])
+        least = table["least_min"].to_numpy()
+        index = FMIndex([t.split() for t in table["words_min"].to_pylist()], least, window)
         passage, place, owner = index.matches()
         earlier = owner < least[passage]
         passage, place, n = _runs(passage[earlier], place[earlier])
-        return pa.table({"p": pa.array(table["p"].to_numpy()[passage], pa.int64()),
-                         "p2": pa.array(table["p2"].to_numpy()[passage], pa.int64()),
+        return pa.table({"anchor": pa.array(table["anchor"].to_numpy()[passage], pa.int64()),
+                         "p": pa.array(table["p"].to_numpy()[passage], pa.int64()),
                          "place": pa.array(place, pa.int32()),
                          "words": pa.array(n + window - 1, pa.int32())})
     return run
 
 
-def _windows(window: int, gram: int):
+def _windows(window: int):
     """The windows around hot anchors as passages of their own."""
     def run(batch, _):
-        out: dict[str, list] = {k: [] for k in ("doc", "version", "p", "p2", "start")}
-        columns = [c.to_pylist() for c in batch.columns]
-        for doc, version, text, at in zip(*columns):
-            h = hashes_of(text.split())
-            starts = np.unique(np.concatenate([np.arange(s, s + n - window + 1) for s, n in
-                                               ((x["start"], x["length"]) for x in at)]))
-            p, p2 = runs_hash(h, window, 11)[starts], runs_hash(h, window, 13)[starts]
-            for k, x in zip(out, (np.full(len(starts), doc), np.full(len(starts), version),
-                                  p.view(np.int64), p2.view(np.int64), starts)):
+        out: dict[str, list] = {k: [] for k in ("doc", "version", "anchor", "p", "start")}
+        for doc, version, text, at in zip(*(c.to_pylist() for c in batch.columns)):
+            h = hashes_of(text)
+            start = np.unique(np.concatenate([np.arange(x["start"], x["start"] + x["length"] - window + 1)
+                                              for x in at]))
+            size = np.full(len(start), window)
+            for k, x in zip(out, (np.full(len(start), doc), np.full(len(start), version),
+                                  spans_hash(runs(h, window, 11), start, size).view(np.int64),
+                                  spans_hash(runs(h, window, 13), start, size).view(np.int64), start)):
                 out[k].append(x)
         if not out["doc"]:
             return None
         made = {k: np.concatenate(x) for k, x in out.items()}
-        return {**made, "start": made["start"].astype(np.int32),
-                "length": np.full(len(made["start"]), window, np.int32)}
+        return {**made, "length": np.full(len(made["start"]), window)}
     return run
 
 
+_MEMBER = "doc long, version long, anchor long, p long, start int, length int"
+
+
 def _shared_passages(members: DataFrame) -> DataFrame:
-    """(anchor, p, p2, least, place) of distinct passages whose anchor has several documents."""
-    distinct = members.groupBy("anchor", "p", "p2").agg(
+    """(anchor, p, least, place, n) of distinct passages whose anchor has several documents."""
+    distinct = stage(members.groupBy("anchor", "p").agg(
         F.min("doc").alias("least"), F.max("doc").alias("most"),
-        F.min(F.struct("doc", "version", "start", "length")).alias("place"))
-    distinct = stage(distinct, "passages-distinct")
+        F.min(F.struct("doc", "version", "start", "length")).alias("place")), "passages-distinct")
     several = (distinct.groupBy("anchor").agg(F.min("least").alias("a"), F.max("most").alias("z"),
                                               F.count("*").alias("n"))
                .filter("a < z").select("anchor", "n"))
-    return distinct.join(several, "anchor")
+    return stage(distinct.drop("most").join(several, "anchor"), "passages-shared")
 
 
 def _cut_out(batch, _):
     """The words of passages, from the texts they first occur in."""
-    out: dict[str, list] = {k: [] for k in ("anchor", "p", "p2", "least", "words")}
+    out: dict[str, list] = {k: [] for k in ("anchor", "p", "least", "words")}
     for text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
         words = text.split()
         for x in at:
-            for k in ("anchor", "p", "p2", "least"):
+            for k in ("anchor", "p", "least"):
                 out[k].append(x[k])
             out["words"].append(b" ".join(words[x["start"]:x["start"] + x["length"]]))
     return out
 
 
+def _with_texts(rows: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """doc, version, t and the rows ``at`` of each document that has any."""
+    per_doc = stage(rows.groupBy("doc", "version").agg(
+        F.collect_list(F.struct(*columns)).alias("at")), "passages-per-doc")
+    some = docs.filter(sieve(per_doc.select("doc"))(F.col("doc")))
+    return some.join(per_doc, ["doc", "version"])
+
+
 def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                   hot: int = HOT) -> DataFrame:
     """(doc, version, spans) of the documents that lose words; docs has doc, version and t."""
-    members = stage(tuples(docs, _passages(window, gram),
-                           "doc long, version long, anchor long, p long, p2 long, start int, "
-                           "length int"), "passages")
+    every = stage(tuples(docs, _passages(window, gram), _MEMBER), "passages")
+    several = every.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z")
+    members = every.filter(sieve(several.select("anchor"))(F.col("anchor")))
     shared = _shared_passages(members)
-    shared = stage(shared, "passages-shared")
-
-    def wanted(rows: DataFrame, *columns: str) -> DataFrame:
-        return (rows.groupBy("doc", "version")
-                .agg(F.collect_list(F.struct(*columns)).alias("at"))
-                .join(docs, ["doc", "version"]))
-
-    usual = shared.filter(F.col("n") <= hot).drop("n", "most")
-    busy = shared.filter(F.col("n") > hot)
+    usual, busy = shared.filter(F.col("n") <= hot), shared.filter(F.col("n") > hot)
     if not busy.isEmpty():
-        around = (members.join(busy.select("anchor").distinct(), "anchor", "left_semi")
+        anchor = busy.select("anchor").distinct()
+        around = (members.join(anchor, "anchor", "left_semi")
                   .select("doc", "version", "start", "length").distinct())
-        texts = wanted(around, "start", "length").select("doc", "version", "t", "at")
+        texts = _with_texts(around, docs, "start", "length").select("doc", "version", "t", "at")
         # Rows with equal id and text give their windows once.
-        single = stage(tuples(texts, _windows(window, gram), "doc long, version long, p long, "
-                              "p2 long, start int, length int").distinct()
-                       .withColumn("anchor", F.col("p")), "passages-windows")
-        members = members.join(busy.select("anchor").distinct(), "anchor", "left_anti").unionByName(
-            single.select(*members.columns))
-        usual = usual.unionByName(_shared_passages(single).drop("n", "most"))
-
-    reps = usual.select("place.*", "anchor", "p", "p2", "least")
-    texts = wanted(reps, "anchor", "p", "p2", "least", "start", "length").select("t", "at")
-    cut = tuples(texts, _cut_out, "anchor long, p long, p2 long, least long, words binary")
-    # Rows with equal id and text hold the same passage.
-    cut = stage(cut.dropDuplicates(["anchor", "p", "p2"]), "passages-words")
-    shards = max(LEAST_SHARDS, -(-cut.count() * (2 * window - gram) // SHARD_WORDS))
+        single = stage(tuples(texts, _windows(window), _MEMBER).distinct(), "passages-windows")
+        members = members.join(anchor, "anchor", "left_anti").unionByName(single)
+        usual = usual.unionByName(_shared_passages(single))
+
+    reps = usual.select("place.*", "anchor", "p", "least")
+    texts = _with_texts(reps, docs, "anchor", "p", "least", "start", "length").select("t", "at")
+    cut = tuples(texts, _cut_out, "anchor long, p long, least long, words binary")
+    shards = max(LEAST_SHARDS, -(-usual.count() * (2 * window - gram) // SHARD_WORDS))
     found = stage(cut.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
                   .groupBy("shard").applyInArrow(
-                      _search_shard(window), "p long, p2 long, place int, words int"),
+                      _search_shard(window), "anchor long, p long, place int, words int"),
                   "passages-found")
-    mine = members.join(usual.select("p", "p2", "least"), ["p", "p2"])
-    later = (mine.filter((F.col("doc") > F.col("least")) & (F.col("length") >= window))
-             .select("doc", "version", "start", "length"))
-    first = (mine.filter(F.col("doc") == F.col("least")).join(found, ["p", "p2"])
-             .select("doc", "version", (F.col("start") + F.col("place")).alias("start"),
-                     F.col("words").alias("length")))
-    return (later.unionByName(first).groupBy("doc", "version")
-            .agg(F.collect_set(F.struct("start", "length")).alias("spans")))
+    least = usual.select("anchor", "p", "least").join(
+        found.groupBy("anchor", "p").agg(F.collect_list(F.struct("place", "words")).alias("hits")),
+        ["anchor", "p"], "left")
+    whole = F.array(F.struct(F.lit(0).alias("place"), F.col("length").alias("words")))
+    hits = (F.when((F.col("doc") > F.col("least")) & (F.col("length") >= window), whole)
+            .when(F.col("doc") == F.col("least"), F.col("hits")))
+    return (members.join(least, ["anchor", "p"])
+            .select("doc", "version", "start", F.explode(hits).alias("hit"))
+            .select("doc", "version", (F.col("start") + F.col("hit.place")).alias("start"),
+                    F.col("hit.words").alias("length"))
+            .groupBy("doc", "version").agg(F.collect_set(F.struct("start", "length")).alias("spans")))
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -407,10 +393,14 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_words, n_removed, kept_sha256 and the kept text of every row."""
     texts = docs.select(order_id(id_col).alias("doc"), F.xxhash64(text_col).alias("version"),
                         utf8(text_col).alias("t"))
-    spans = removed_spans(texts, window, gram, hot)
+    spans = stage(removed_spans(texts, window, gram, hot), "passages-removed")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), order_id(id_col).alias("doc"),
                        F.xxhash64(text_col).alias("version"), utf8(text_col).alias("t"))
-    joined = rows.join(spans, ["doc", "version"], "left").select("doc_id", "t", "spans")
+    # Documents that lose nothing need not move.
+    loses = sieve(spans.select("doc"))(F.col("doc"))
+    joined = (rows.filter(loses).join(spans, ["doc", "version"], "left").select("doc_id", "t", "spans")
+              .unionByName(rows.filter(~loses).select(
+                  "doc_id", "t", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))))
 
     def run(batch, _):
         sizes, removed, digests, kept_texts = [], [], [], []
