@@ -11,6 +11,8 @@ Only DataFrame functions are used:
 1. equal lines collapse to their first occurrence; hashes and places move, no text;
 2. one edit leaves the first or the last half of the words as it was. Lines that
    share no such half with another line can have no partner and emit nothing;
+   Halves of a single line are sieved out before any line moves, by a bitmap of
+   fixed size;
 3. the others emit their variants, every one-word deletion as a hashed key with
    the place of the deletion, and themselves. Equal keys and places are lines one
    replacement apart, a variant that equals a line is one deletion apart from it.
@@ -34,6 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from chorus.llm.common import order_id, stage
 
 LEAST_WORDS = 5
+SIEVE_BITS = 25
 _BLANKS = "[ \\t\\x0B\\f\\r]+"
 
 
@@ -70,17 +73,49 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.when(n >= LEAST_WORDS, _half_keys(F.col("words"), n)).alias("halves"))
 
 
-def _near(first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, h2) of the lines with an earlier line one word apart, verified."""
+def _marked(df: DataFrame, key: Column, keys: DataFrame, name: str = "_maybe") -> DataFrame:
+    """Add a test that is true for keys among ``keys`` (one long column) and few others.
+
+    A bitmap of ``2 ** SIEVE_BITS`` bits, 4 MB whatever the number of keys, so it may be
+    broadcast. It only spares rows a shuffle whose exact join follows.
+    """
+    place = lambda column: F.pmod(column, F.lit(1 << SIEVE_BITS))
+    bits = (keys.select(place(F.col(keys.columns[0])).alias("_x"))
+            .groupBy(F.bitmap_bucket_number("_x").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_x")).alias("_bits")))
+    placed = df.withColumns({"_bucket": F.bitmap_bucket_number(place(key)),
+                             "_at": F.bitmap_bit_position(place(key))})
+    found = placed.join(F.broadcast(bits), "_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
+    return found.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_bucket", "_at", "_bits")
+
+
+def _maybe(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    return _marked(df, key, keys).filter("_maybe").drop("_maybe")
+
+
+def _document() -> Column:
+    return F.xxhash64("doc", "version")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(order_id(id_col).alias("doc"), F.xxhash64(text_col).alias("version"),
+                       F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
+
+
+def _candidates(first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h, h2, first, words) of the lines that share a half with another line, staged."""
     long = first.filter(F.col("n") >= LEAST_WORDS)
     halves = long.select("h", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1")
-    chosen = (halves.join(shared.select("half"), "half", "left_semi").select("h", "h2").distinct()
-              .join(long.select("h", "h2", "first"), ["h", "h2"]))
-    per_doc = (chosen.groupBy(F.col("first.doc").alias("doc"), F.col("first.version").alias("version"))
-               .agg(F.collect_list(F.col("first.line")).alias("at")))
-    texts = docs.select(order_id(id_col).alias("doc"), F.xxhash64(text_col).alias("version"),
-                        F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
+    shared = stage(halves.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1")
+                   .select("half"), "line-halves")
+    chosen = (_maybe(halves, F.col("half"), shared).join(shared, "half", "left_semi")
+              .select("h", "h2").distinct().join(long.select("h", "h2", "first"), ["h", "h2"]))
+    per_doc = stage(
+        chosen.groupBy(F.col("first.doc").alias("doc"), F.col("first.version").alias("version"))
+        .agg(F.collect_list(F.col("first.line")).alias("at")), "line-wanted")
+    texts = _maybe(_texts(docs, id_col, text_col), _document(), per_doc.select(_document().alias("k")))
     found = (texts.join(per_doc, ["doc", "version"])
              .select("doc", "version", F.split("t", "\n", -1).alias("lines"), "at")
              .select("doc", "version", "lines", F.explode("at").alias("line"))
@@ -89,19 +124,25 @@ def _near(first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Data
              .select("first", "words", F.xxhash64("words").alias("h"),
                      F.xxhash64(F.lit("second"), F.col("words")).alias("h2")))
     # Rows with equal id and text are one document.
-    lines = stage(found.groupBy("h", "h2").agg(F.min("first").alias("first"),
-                                               F.first("words").alias("words")), "line-candidates")
+    return stage(found.groupBy("h", "h2").agg(F.min("first").alias("first"),
+                                              F.first("words").alias("words")), "line-candidates")
+
 
+def _near(lines: DataFrame) -> DataFrame:
+    """(h, h2) of the candidates with an earlier line one word apart, verified."""
     at = F.explode(F.sequence(F.lit(0), F.size("words") - 1))
     variants = (lines.select("h", "h2", "first", "words", at.alias("at"))
                 .select("h", "h2", "first", "at",
                         F.xxhash64(_without(F.col("words"), F.col("at"))).alias("key")))
     itself = lines.select("h", "h2", "first", F.lit(-1).alias("at"), F.col("h").alias("key"))
-    emitted = stage(variants.unionByName(itself), "line-variants")
+    every = variants.unionByName(itself)
+    twice = stage(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"),
+                  "line-keys")
+    emitted = stage(_maybe(every, F.col("key"), twice), "line-variants")
 
     line = F.struct("first", "h", "h2", "at")
     least = stage(emitted.groupBy("key", "at").agg(F.min(line).alias("least"), F.count("*").alias("n")),
-                  "line-keys")
+                  "line-least")
     replaced = (emitted.filter("at >= 0").join(least.filter("n > 1 and at >= 0"), ["key", "at"])
                 .select("h", "h2", "first", "at", "least"))
     whole = least.filter("at < 0").select("key", F.col("least").alias("whole"))
@@ -132,22 +173,33 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = stage(_occurrences(docs, id_col, text_col), "line-places")
     first = stage(places.filter("n > 0").groupBy("h", "h2", "n", "halves")
                   .agg(F.min(F.struct("doc", "version", "line")).alias("first")), "line-first")
-    near = _near(first, docs, id_col, text_col)
-    stay = (first.join(near, ["h", "h2"], "left_anti").select("first.*")
+    near = _near(_candidates(first, docs, id_col, text_col))
+    stay = (first.select("h", "h2", "first").join(near, ["h", "h2"], "left_anti").select("first.*")
             .unionByName(places.filter("n = 0").select("doc", "version", "line")))
-    kept = stay.groupBy("doc", "version").agg(
-        F.array_sort(F.collect_set("line")).alias("kept"))
+    kept = stay.groupBy("doc", "version").agg(F.collect_set("line").alias("kept"))
+    lines = places.groupBy("doc", "version").agg(F.max("line").alias("last"))
+    # Documents that lose no line need not move.
+    changed = stage(lines.join(kept, ["doc", "version"], "left")
+                    .withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
+                    .filter(F.size("kept") <= F.col("last"))
+                    .select("doc", "version", F.array_sort("kept").alias("kept")), "line-changed")
+
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                       order_id(id_col).alias("doc"), F.xxhash64(text_col).alias("version"))
-    joined = row.join(kept, ["doc", "version"], "left").select(
-        "row", F.split(F.col("row").getField(text_col), "\n", -1).alias("lines"),
-        F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
-    text = F.when(F.col("lines").isNotNull(), F.array_join(
+    marked = _marked(row, _document(), changed.select(_document().alias("k")))
+    met = (marked.filter("_maybe").join(changed, ["doc", "version"], "left").select("row", "kept")
+           .unionByName(marked.filter(~F.col("_maybe")).select(
+               "row", F.lit(None).cast("array<int>").alias("kept"))))
+    text = F.col("row").getField(text_col)
+    split = F.split(text, "\n", -1)
+    left = F.when(F.col("kept").isNull() | text.isNull(), text).otherwise(F.array_join(
         F.transform("kept", lambda at: F.element_at("lines", at + 1)), "\n"))
-    out = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c)
+    found = met.select("row", "kept", split.alias("lines"))
+    out = [left.alias(c) if c == text_col else F.col("row").getField(c).alias(c)
            for c in docs.columns]
     if counts:
-        seen = F.coalesce(F.size("lines"), F.lit(0))
-        seen = F.when(F.col("lines").isNull(), 0).otherwise(seen).cast("long")
-        out += [seen.alias(counts[0]), (seen - F.size("kept")).cast("long").alias(counts[1])]
-    return joined.select(*out)
+        seen = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
+        gone = F.when(F.col("kept").isNull() | F.col("lines").isNull(), 0).otherwise(
+            F.size("lines") - F.size("kept")).cast("long")
+        out += [seen.alias(counts[0]), gone.alias(counts[1])]
+    return found.select(*out)
