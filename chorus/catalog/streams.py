@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chorus.catalog.registry import query
-from chorus.catalog.training import features
+from chorus.catalog.training import features, fitted
 from chorus.plans import models
 from chorus.sources.tables import load
 from chorus.streaming import jobs
@@ -89,7 +89,7 @@ def stream_latency(spark, d):
 def stream_score(spark, d):
     """Each micro-batch of conversation turns is scored and written once."""
     f = features(spark, d)
-    model = models.train_bayes(f)
+    model = fitted(spark, d, "naive_bayes")
     turns = jobs.read_stream(spark, d, "conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
         .alias("request_id"), "text")

@@ -1,4 +1,9 @@
-"""Named queries: trained models. Small settings; the library keeps larger defaults."""
+"""Named queries: trained models, all with the defaults of the library.
+
+The feature table and the fitted models of a data folder are made once per Spark
+application and shared by the queries; what is kept are handles on staged tables
+and models of bounded size.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from chorus.catalog.registry import query
-from chorus.config import (BoostConfig, ForestConfig, LogRegConfig, SvmConfig, TfidfConfig,
-                           Word2VecConfig)
+from chorus.config import LogRegConfig
 from chorus.functions import text as tx
 from chorus.operators import compare, quality
 from chorus.plans import models
@@ -15,62 +19,73 @@ from chorus.sources.tables import documents, load
 from chorus.wordlists import STOP_WORDS
 
 CLASSES = ("de", "en", "es", "fr")
-WORDS = TfidfConfig(max_features=500, ngram_max=1)
-LOGREG = LogRegConfig(max_iter=50)
+TRAINERS = {
+    "logistic_regression": models.train_logreg,
+    "random_forest": models.train_forest,
+    "gradient_boosting": models.train_boosting,
+    "naive_bayes": models.train_bayes,
+    "linear_svm": models.train_svm,
+}
+
+_MADE: dict[tuple, object] = {}
+
+
+def _once(spark, d, name, make):
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
 
 
 def features(spark, d):
-    return models.prepare(load(spark, d, "documents"), "doc_id", "text", "lang", CLASSES, WORDS)
+    return _once(spark, d, "features", lambda: models.prepare(
+        load(spark, d, "documents"), "doc_id", "text", "lang", CLASSES))
 
 
-def logreg(f):
-    return models.train_logreg(f, LOGREG)
+def fitted(spark, d, name):
+    return _once(spark, d, name, lambda: TRAINERS[name](features(spark, d)))
 
 
-def _trained(spark, d, name, trainer):
-    return models.train_and_evaluate(features(spark, d), name, trainer)
+def _trained(spark, d, name):
+    return models.train_and_evaluate(features(spark, d), name, lambda f: fitted(spark, d, name))
 
 
 @query()
 def train_logreg(spark, d):
-    return _trained(spark, d, "logistic_regression", logreg)
+    return _trained(spark, d, "logistic_regression")
 
 
 @query()
 def train_forest(spark, d):
-    return _trained(spark, d, "random_forest", lambda f: models.train_forest(
-        f, ForestConfig(trees=20, max_depth=10)))
+    return _trained(spark, d, "random_forest")
 
 
 @query()
 def train_gbt(spark, d):
-    return _trained(spark, d, "gradient_boosting", lambda f: models.train_boosting(
-        f, BoostConfig(rounds=3, max_depth=3)))
+    return _trained(spark, d, "gradient_boosting")
 
 
 @query()
 def train_bayes(spark, d):
-    return _trained(spark, d, "naive_bayes", models.train_bayes)
+    return _trained(spark, d, "naive_bayes")
 
 
 @query()
 def train_svm(spark, d):
-    return _trained(spark, d, "linear_svm", lambda f: models.train_svm(f, SvmConfig(max_iter=20)))
+    return _trained(spark, d, "linear_svm")
 
 
 @query()
 def evaluate_models(spark, d):
-    """Two models on one feature table, ranked by macro F1 on the test rows."""
-    f = features(spark, d)
-    rows = compare.collect_results(models.train_and_evaluate(f, "logistic_regression", logreg),
-                                   models.train_and_evaluate(f, "naive_bayes", models.train_bayes))
+    """All models on one feature table, ranked by macro F1 on the test rows."""
+    rows = compare.collect_results(*[_trained(spark, d, name) for name in TRAINERS])
     return compare.leaderboard(rows.filter(F.col("split") == "test"), "f1_macro")
 
 
 @query()
 def select_on_validation(spark, d):
     f = features(spark, d)
-    grid = [(f"C={c}", lambda f, c=c: models.train_logreg(f, LogRegConfig(c=c, max_iter=20)))
+    grid = [(f"C={c}", lambda f, c=c: models.train_logreg(f, LogRegConfig(c=c)))
             for c in (0.1, 1.0, 10.0)]
     return models.select_on_validation(f, grid)[2]
 
@@ -78,14 +93,14 @@ def select_on_validation(spark, d):
 @query()
 def top_coefficients(spark, d):
     f = features(spark, d)
-    return models.top_coefficients(logreg(f), f, 20)
+    return models.top_coefficients(fitted(spark, d, "logistic_regression"), f, 20)
 
 
 @query()
 def model_roundtrip(spark, d):
     """Rows on which a model and its saved and loaded copy agree."""
     f = features(spark, d)
-    model = models.train_bayes(f)
+    model = fitted(spark, d, "naive_bayes")
     again = models.save_and_load(model, spark)
     first = models.predict(model, f.table, f.classes).select("doc_id", "predicted_class", "confidence")
     second = models.predict(again, f.table, f.classes).select(
@@ -100,7 +115,7 @@ def model_roundtrip(spark, d):
 def score_batch(spark, d):
     """Predicted class, probabilities, confidence and correctness of every document."""
     f = features(spark, d)
-    return models.predict(logreg(f), f.table, f.classes)
+    return models.predict(fitted(spark, d, "logistic_regression"), f.table, f.classes)
 
 
 @query()
@@ -112,7 +127,8 @@ def score_requests(spark, d):
         .alias("request_id"), "text")
     checked = quality.validate_requests(requests)
     valid = checked.filter(F.col("reason").isNull())
-    scored = models.respond(models.score_texts(logreg(f), f, valid, "text", "request_id"), f.classes)
+    model = fitted(spark, d, "logistic_regression")
+    scored = models.respond(models.score_texts(model, f, valid, "text", "request_id"), f.classes)
     answers = scored.select("request_id", F.col("y_pred").alias("sentiment"),
                             F.to_json("confidence_by_class").alias("confidence"))
     refused = checked.filter(F.col("reason").isNotNull()).select("request_id", "reason")
@@ -123,5 +139,5 @@ def score_requests(spark, d):
 def word2vec(spark, d):
     words = documents(spark, d, "doc_id", "text").select(
         tx.without(tx.tokens(F.col("text")), STOP_WORDS).alias("words"))
-    model = models.train_word2vec(words, "words", Word2VecConfig(vector_size=16, epochs=1))
+    model = models.train_word2vec(words, "words")
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
