@@ -248,24 +248,35 @@ def naive_bayes_counts(spark, d):
         "log_prob", F.round("log_prob", 6))
 
 
-@query(f"""WITH {BASE}, means AS (SELECT term, sum(weight) / (SELECT count(DISTINCT doc_id)
-    FROM weighted) AS m FROM weighted GROUP BY term),
+@query(f"""WITH {BASE}, means AS (SELECT term, sum(weight) / (SELECT n_docs FROM size) AS m
+    FROM weighted GROUP BY term),
+  priors AS (SELECT lang, ln(count(*) / (SELECT n_docs FROM size)) AS log_prior FROM documents GROUP BY lang),
+  votes AS (SELECT doc_id, p.lang, round(sum(weight * log_prob) + any_value(log_prior), 9) AS s
+    FROM weighted w JOIN probs p USING (term) JOIN priors r ON r.lang = p.lang GROUP BY doc_id, p.lang),
+  guessed AS (SELECT doc_id, min(lang) AS lang FROM votes
+    WHERE (doc_id, s) IN (SELECT doc_id, max(s) FROM votes GROUP BY doc_id) GROUP BY doc_id),
   shares AS (SELECT lang, term, coefficient * (weight - m) AS contribution
-    FROM weighted JOIN coefs USING (lang, term) JOIN means USING (term)),
+    FROM (SELECT doc_id, term, weight FROM weighted) JOIN guessed USING (doc_id)
+    JOIN coefs USING (lang, term) JOIN means USING (term)),
   agg AS (SELECT lang, term, count(*) AS texts, round(sum(contribution), 6) AS contribution
     FROM shares WHERE contribution > 0.05 GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY contribution DESC, term) AS INTEGER) AS rank
 FROM agg QUALIFY rank <= 15""")
 def token_contributions(spark, d):
-    """Terms that speak most for each language under a naive Bayes linear model."""
+    """Terms that speak most for each predicted language under a naive Bayes linear model."""
     from pyspark.sql import Window
     from chorus.workspace import stage
     vocab, long = term_weights(spark, d)
     long = stage(long, "tfidf-weights")
-    probs = tfidf.class_log_probabilities(long, "lang", LANGS, vocab)
+    docs = load(spark, d, "documents")
+    texts = docs.count()
+    probs = stage(tfidf.class_log_probabilities(long, "lang", LANGS, vocab), "log-probabilities")
+    priors = docs.groupBy("lang").agg(F.ln(F.count(F.lit(1)) / texts).alias("log_prior"))
+    guessed = tfidf.predicted_classes(long, "doc_id", "lang", probs, priors)
+    judged = long.drop("lang").join(guessed, "doc_id")
     coefs = probs.select("lang", "term", (F.col("log_prob") - F.avg("log_prob").over(
         Window.partitionBy("term"))).alias("coefficient"))
-    shares = tfidf.contributions(long, "doc_id", "lang", stage(coefs, "coefficients"))
+    shares = tfidf.contributions(judged, "doc_id", "lang", stage(coefs, "coefficients"), texts)
     sums = shares.groupBy("lang", "term").agg(
         F.count(F.lit(1)).alias("texts"), F.round(F.sum("contribution"), 6).alias("contribution"))
     return keywords.top_per_class(sums, "lang", "term", "contribution", 15)

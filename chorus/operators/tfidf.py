@@ -107,18 +107,32 @@ def class_log_probabilities(long: DataFrame, label: str, classes: Sequence[str],
         (F.col("w") + alpha) / F.sum(F.col("w") + alpha).over(mass)).alias("log_prob"))
 
 
+def predicted_classes(long: DataFrame, id_col: str, label: str, probabilities: DataFrame,
+                      priors: DataFrame) -> DataFrame:
+    """(id, label): the class a multinomial naive Bayes model gives each text with a known term.
+
+    ``probabilities`` has label, term, log_prob and ``priors`` label, log_prior; equal
+    scores go to the smaller class.
+    """
+    scored = (long.select(id_col, "term", "weight").join(probabilities, "term")
+              .groupBy(id_col, label).agg(F.sum(F.col("weight") * F.col("log_prob")).alias("_s"))
+              .join(priors, label).withColumn("_s", F.round(F.col("_s") + F.col("log_prior"), 9)))
+    top = scored.groupBy(id_col).agg(F.max("_s").alias("_top"))
+    return (scored.join(top, id_col).filter(F.col("_s") == F.col("_top"))
+            .groupBy(id_col).agg(F.min(label).alias(label)))
+
+
 def contributions(long: DataFrame, id_col: str, label: str, coefficients: DataFrame,
-                  threshold: float = 0.05) -> DataFrame:
+                  texts: int, threshold: float = 0.05) -> DataFrame:
     """Share of each term in the score of a text's class, above a threshold.
 
     For a linear model this is coefficient x (weight - mean weight); the mean is
-    over all texts of the weights' vocabulary, absent terms counting as zero.
+    over all ``texts``, absent terms counting as zero.
     """
-    means = long.groupBy("term").agg(F.sum("weight").alias("_sum"))
+    means = long.groupBy("term").agg((F.sum("weight") / texts).alias("_mean"))
     joined = (long.join(coefficients, [label, "term"])
               .join(stage(means, "term-means"), "term"))
-    n = long.agg(F.count_distinct(id_col))
     shared = joined.withColumn("contribution", F.col("coefficient") * (
-        F.col("weight") - F.col("_sum") / n.scalar()))
+        F.col("weight") - F.col("_mean")))
     return shared.filter(F.col("contribution") > threshold).select(
         id_col, label, "term", "contribution")
