@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chorus.functions import scripts
 from chorus.operators.rows import unfold
@@ -33,19 +33,23 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(F.concat(F.lit(" "), words, F.lit(" ")), F.lit(TRIGRAM), F.lit(1))
 
 
-def learn_profiles(labelled: DataFrame, text: str, label: str,
-                   classes: Sequence[str]) -> DataFrame:
+def learn_profiles(labelled: DataFrame, text: str, label: str, classes: Sequence[str],
+                   size: int | None = None) -> DataFrame:
     """Log probability of every trigram under each language.
 
     One row per trigram with one column per language; a trigram unseen in a
     language counts as one half. Words are counted first, so that only distinct
-    words are cut into trigrams.
+    words are cut into trigrams. With ``size`` only the most frequent trigrams of
+    each language enter.
     """
     words = unfold(labelled, F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0)), "word",
                    label).groupBy(label, "word").agg(F.count(F.lit(1)).alias("n"))
     counts = (unfold(words, trigrams(F.col("word")), "gram", label, "n")
               .groupBy(label, "gram").agg(F.sum("n").alias("n")))
-    best = stage(counts, "profiles")
+    if size is not None:
+        place = Window.partitionBy(label).orderBy(F.desc("n"), "gram")
+        counts = counts.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= size)
+    best = stage(counts.select(label, "gram", "n"), "profiles")
     totals = best.agg(F.struct(*[
         F.coalesce(F.sum(F.when(F.col(label) == c, F.col("n"))), F.lit(0)).alias(c)
         for c in classes]).alias("t"))

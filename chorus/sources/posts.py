@@ -72,13 +72,14 @@ def ingest_counts(new: DataFrame, inserted: DataFrame, by: Sequence[str]) -> Dat
 def append_posts(spark: SparkSession, new: DataFrame, path: str, order: str) -> DataFrame:
     """Insert new posts into the post table at ``path``; returns what was added.
 
-    Columns that are absent or missing take the defaults of the table; ids go on
-    from the largest stored one.
+    Columns that are absent or missing take the defaults of the table; posts
+    without an id take the ones after the largest stored.
     """
     target = spark.read.schema(schema.RAW_POSTS).parquet(path)
     last = target.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     added = dense_row_ids(insert_if_absent(new, target, "post_id", order), [order], "_row")
-    values = {"id": F.col("_row") + last}
+    own = F.col("id") if "id" in new.columns else F.lit(None)
+    values = {"id": F.coalesce(own, F.col("_row") + last)}
     for f in schema.RAW_POSTS:
         if f.name != "id":
             given = F.col(f.name) if f.name in new.columns else F.lit(None)
