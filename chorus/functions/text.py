@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import html
+import html.entities
 import json
 from collections import OrderedDict
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql import types as T
 
 from chorus.wordlists import CURLY_QUOTES, EMOJI_NAMES, STRAIGHT_QUOTES
 
@@ -29,22 +27,60 @@ REPEATED_STOPS = r"([!?.]){2,}"
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
-# A deterministic Python function would be run again in every filter that the
-# optimizer moves below it; this mark makes Spark evaluate it once per row.
-_unescape = _unescape.asNondeterministic()
+def _numbered(digits: Column, base: int) -> Column:
+    """The character of a numeric reference, as browsers read it."""
+    bare = F.regexp_replace(digits, "^0+", "")
+    most = F.length(bare) <= (7 if base == 10 else 6)
+    n = F.when(most, F.conv(F.concat(F.lit("0"), bare), base, 10).cast("long")).otherwise(1 << 30)
+    special = F.from_json(F.lit(json.dumps({str(n): c for n, c in _SPECIAL.items()})),
+                          "map<string,string>")
+    code = F.unhex(F.lpad(F.hex(n), 8, "0"))
+    return (F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+            .otherwise(F.coalesce(F.try_element_at(special, n.cast("string")),
+                                  F.when(_invalid(n), F.lit("")).otherwise(F.decode(code, "UTF-32")))))
+
+
+# What the HTML standard makes of numbers that are no character of their own.
+_SPECIAL = {0x00: "\ufffd", 0x0D: "\r", **{
+    n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}}
+
+
+def _invalid(n: Column) -> Column:
+    """Control characters and noncharacters, which leave nothing."""
+    return (n.between(0x1, 0x8) | n.between(0xE, 0x1F) | n.between(0x7F, 0x9F) | (n == 0xB)
+            | n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE))
 
 
 def decode_entities(text: Column) -> Column:
-    """Named, decimal and hexadecimal HTML entities to characters.
+    """Named, decimal and hexadecimal HTML references to characters.
 
-    Only rows with an ampersand are sent to Python; the others travel as null.
+    A name without a semicolon counts where the standard allows it; of an unknown
+    name the longest such beginning is taken, else it stays. Only texts with an
+    ampersand are cut into references and the text between them.
     """
-    return F.coalesce(_unescape(F.when(F.contains(text, F.lit("&")), text)), text)
+    names = F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+    short = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    start = f"^({'|'.join(short)})"
+
+    def one(x: Column) -> Column:
+        body = F.substring(x, 2, 100)
+        begin = F.regexp_extract(body, start, 1)
+        named = F.coalesce(
+            F.try_element_at(names, body),
+            F.when(begin != "", F.concat(F.try_element_at(names, begin),
+                                         F.substr(body, F.length(begin) + 1))), x)
+        hexed = F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]+);?$", 1)
+        decimal = F.regexp_extract(x, "^&#([0-9]+);?$", 1)
+        return (F.when(~F.startswith(x, F.lit("&")) | (x == "&"), x)
+                .when(hexed != "", _numbered(hexed, 16))
+                .when(decimal != "", _numbered(decimal, 10)).otherwise(named))
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s){_REFERENCE}|[^&]+|&"), F.lit(0))
+    decoded = F.array_join(F.transform(parts, one), "")
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def remove_emoji(text: Column) -> Column:

@@ -18,9 +18,10 @@ def label_and_split(posts: DataFrame, id_col: str, text: str, detected: Column,
                     lexicon: DataFrame, seed: int = 42) -> DataFrame:
     """All stages up to train, validation and test rows, stratified by sentiment.
 
-    Scores are short rows per text; they are staged, as the split reads them
-    more than once, and joined back by id.
+    The cleaned texts are staged, so that the costly expressions run once. Scores
+    are short rows per text; they are staged too, as the split reads them more than
+    once, and joined back by id.
     """
-    cleaned = clean_and_classify(posts, text, detected)
+    cleaned = stage(clean_and_classify(posts, text, detected), "cleaned")
     scored = stage(lex.label_sentiment(cleaned, id_col, "cleaned_text", lexicon), "scores")
     return cleaned.join(stratified_split(scored, id_col, "sentiment", seed), id_col)

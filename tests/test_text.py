@@ -153,3 +153,22 @@ def test_emoji_names(spark):
     row = spark.createDataFrame([("hi 😀 there",), ("no",)], "t string")
     assert [r[0] for r in row.select(tx.name_emoji(F.col("t"))).collect()] == [
         "hi :grinning_face: there", "no"]
+
+
+def test_entities_like_the_standard_library(spark):
+    import html
+    import html.entities
+    import random
+
+    rng = random.Random(1)
+    names = list(html.entities.html5)
+    texts = ["a &amp; b", "&notit;", "&#65;&#x41;&#X41", "&#128;&#150;&#0;&#13;&#11;&#1114112;&#xD800;",
+             "&#99999999999999;&", "&&amp;;", "&;", "&unknown;", "&amp,foo &ltx", "&copy2024", "&#;&#x;",
+             "&eacute&Eacute;\n&amp\n", "&#xFFFF;&#64976;", "&fjlig;"]
+    kinds = [lambda: "&" + rng.choice(names), lambda: "&" + rng.choice(names).rstrip(";") + "x",
+             lambda: f"&#{rng.randint(0, 70000)};", lambda: f"&#x{rng.randint(0, 0x120000):x}",
+             lambda: rng.choice(" z&é;")]
+    texts += ["".join(rng.choice(kinds)() for _ in range(8)) for _ in range(150)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", tx.decode_entities(F.col("t")).alias("d")).collect()
+    assert {r.t: r.d for r in got} == {t: html.unescape(t) for t in texts}
