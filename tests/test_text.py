@@ -156,9 +156,7 @@ def test_emoji_names(spark):
 
 
 def test_entities_like_the_standard_library(spark):
-    import html
     import html.entities
-    import random
 
     rng = random.Random(1)
     names = list(html.entities.html5)
