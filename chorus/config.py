@@ -25,8 +25,11 @@ class TfidfConfig:
 
 @dataclass(frozen=True)
 class LogRegConfig:
+    """Inverse regularisation, iterations at most, and the gain at which training ends."""
+
     c: float = 1.0
     max_iter: int = 1000
+    tol: float = 1e-4
 
 
 @dataclass(frozen=True)
@@ -49,8 +52,11 @@ class BoostConfig:
 
 @dataclass(frozen=True)
 class SvmConfig:
+    """As for logistic regression."""
+
     c: float = 1.0
     max_iter: int = 1000
+    tol: float = 1e-4
 
 
 @dataclass(frozen=True)

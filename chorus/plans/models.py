@@ -60,7 +60,8 @@ def train_logreg(features: Features, config: LogRegConfig = LogRegConfig()) -> M
     rows = train_rows(features)
     return LogisticRegression(
         family="multinomial", regParam=1.0 / (config.c * max(rows.count(), 1)),
-        elasticNetParam=0.0, standardization=False, maxIter=config.max_iter).fit(rows)
+        elasticNetParam=0.0, standardization=False, maxIter=config.max_iter,
+        tol=config.tol).fit(rows)
 
 
 def train_forest(features: Features, config: ForestConfig = ForestConfig()) -> Model:
@@ -85,7 +86,7 @@ def train_svm(features: Features, config: SvmConfig = SvmConfig()) -> Model:
     """Linear SVM with hinge loss, one model per class; it gives no probabilities."""
     rows = train_rows(features)
     svm = LinearSVC(regParam=1.0 / (config.c * max(rows.count(), 1)), maxIter=config.max_iter,
-                    standardization=False)
+                    tol=config.tol, standardization=False)
     return OneVsRest(classifier=svm, parallelism=len(features.classes)).fit(rows)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +32,15 @@ def local_session(cores: int | str = "*", app: str = "chorus") -> SparkSession:
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Set the runtime SQL settings every job of the library relies on."""
+    """Set the runtime SQL settings every job of the library relies on.
+
+    Python workers import the library from the place the driver has it, where it is
+    not installed for them.
+    """
+    root, known = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *paths])
     for key, value in SESSION_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
