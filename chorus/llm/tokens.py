@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chorus.llm.common import stage, tuples, utf8
 
-HEAD_SHARE = 4e-6
+HEAD_SHARE = 5e-7
 FLUSH = 300_000
 LIMIT = 2048
 
