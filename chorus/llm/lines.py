@@ -95,6 +95,11 @@ def _maybe(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     return _marked(df, key, keys).filter("_maybe").drop("_maybe")
 
 
+def _with_lines(text: Column, use) -> Column:
+    """``use`` of the lines of a text, which are cut once and not per element that is used."""
+    return F.transform(F.array(F.split(text, "\n", -1)), use)[0]
+
+
 def _document() -> Column:
     return F.xxhash64("doc", "version")
 
@@ -116,11 +121,12 @@ def _candidates(first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -
         chosen.groupBy(F.col("first.doc").alias("doc"), F.col("first.version").alias("version"))
         .agg(F.collect_list(F.col("first.line")).alias("at")), "line-wanted")
     texts = _maybe(_texts(docs, id_col, text_col), _document(), per_doc.select(_document().alias("k")))
+    chosen_lines = _with_lines(F.col("t"), lambda lines: F.transform(
+        "at", lambda i: F.struct(i.alias("line"), F.element_at(lines, i + 1).alias("raw"))))
     found = (texts.join(per_doc, ["doc", "version"])
-             .select("doc", "version", F.split("t", "\n", -1).alias("lines"), "at")
-             .select("doc", "version", "lines", F.explode("at").alias("line"))
-             .select(F.struct("doc", "version", "line").alias("first"),
-                     _words(F.element_at("lines", F.col("line") + 1)).alias("words"))
+             .select("doc", "version", F.explode(chosen_lines).alias("x"))
+             .select(F.struct("doc", "version", "x.line").alias("first"),
+                     _words(F.col("x.raw")).alias("words"))
              .select("first", "words", F.xxhash64("words").alias("h"),
                      F.xxhash64(F.lit("second"), F.col("words")).alias("h2")))
     # Rows with equal id and text are one document.
@@ -191,15 +197,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            .unionByName(marked.filter(~F.col("_maybe")).select(
                "row", F.lit(None).cast("array<int>").alias("kept"))))
     text = F.col("row").getField(text_col)
-    split = F.split(text, "\n", -1)
-    left = F.when(F.col("kept").isNull() | text.isNull(), text).otherwise(F.array_join(
-        F.transform("kept", lambda at: F.element_at("lines", at + 1)), "\n"))
-    found = met.select("row", "kept", split.alias("lines"))
+    left = F.when(F.col("kept").isNull() | text.isNull(), text).otherwise(
+        _with_lines(text, lambda lines: F.array_join(
+            F.transform("kept", lambda at: F.element_at(lines, at + 1)), "\n")))
     out = [left.alias(c) if c == text_col else F.col("row").getField(c).alias(c)
            for c in docs.columns]
     if counts:
-        seen = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
-        gone = F.when(F.col("kept").isNull() | F.col("lines").isNull(), 0).otherwise(
-            F.size("lines") - F.size("kept")).cast("long")
-        out += [seen.alias(counts[0]), gone.alias(counts[1])]
-    return found.select(*out)
+        ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+        seen = F.when(text.isNull(), 0).otherwise(ends + 1).cast("long")
+        gone = F.when(F.col("kept").isNull() | text.isNull(), 0).otherwise(seen - F.size("kept"))
+        out += [seen.alias(counts[0]), gone.cast("long").alias(counts[1])]
+    return met.select(*out)
