@@ -36,8 +36,7 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return passages.dedup_passages(load(spark, folder, "documents")).select(
-        "doc_id", "n_words", "n_removed", "kept_sha256")
+    return passages.dedup_passages(load(spark, folder, "documents"), with_text=False)
 
 
 SQL["op2_substring_dedup"] = r"""

@@ -14,6 +14,7 @@ from chorus.workspace import stage  # noqa: F401  re-exported for the operators
 #: The white space of the contracts, ``[\x20\x09-\x0D]``: also what ``bytes.split`` cuts at.
 WHITE = " \t\n\x0b\x0c\r"
 LAST_ID = (1 << 63) - 1
+ROWS = 1024
 
 
 def utf8(column: str = "text") -> Column:
@@ -29,14 +30,15 @@ def order_id(column: str = "doc_id") -> Column:
 def tuples(df: DataFrame, fn: Callable, schema: str, init: Callable | None = None) -> DataFrame:
     """``mapInArrow`` with a function of column lists to a dictionary of columns.
 
-    ``fn(columns, state)`` is called once per Arrow batch and returns a
-    dictionary of output columns, or None. ``init()`` makes the state of a task.
+    ``fn(columns, state)`` is called for at most ``ROWS`` rows of an Arrow batch, which
+    bounds the Python objects alive at once, and returns a dictionary of output columns,
+    or None. ``init()`` makes the state of a task.
     """
     out = _arrow_schema(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]):
         state = init() if init else None
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             made = fn(batch, state)
             if made is not None:
                 yield pa.RecordBatch.from_arrays(

@@ -389,8 +389,9 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and the kept text of every row."""
+                   window: int = WINDOW, gram: int = GRAM, hot: int = HOT,
+                   with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text of every row."""
     texts = docs.select(order_id(id_col).alias("doc"), F.xxhash64(text_col).alias("version"),
                         utf8(text_col).alias("t"))
     spans = stage(removed_spans(texts, window, gram, hot), "passages-removed")
@@ -418,9 +419,10 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             sizes.append(len(words))
             removed.append(len(words) - len(kept))
             digests.append(hashlib.sha256(joined_text).hexdigest())
-            kept_texts.append(joined_text.decode())
+            if with_text:
+                kept_texts.append(joined_text.decode())
         return {"doc_id": batch.column(0), "n_words": sizes, "n_removed": removed,
                 "kept_sha256": digests, "kept_text": kept_texts}
 
-    return tuples(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string, "
-                  "kept_text string")
+    return tuples(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string"
+                  + ", kept_text string" * with_text)
