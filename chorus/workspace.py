@@ -14,6 +14,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Whole texts travel to Python; a batch of the default ten thousand is tens of MB on each side.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
 }
 
 
