@@ -5,15 +5,16 @@ domains. Documents get nonnegative rates, how often a pass over the corpus shoul
 use them, such that the expected tokens per domain, the sum of rate x tokens x
 posterior, match the targets:
 
-    minimise  1/2 |sum_i r_i t_i p_i - b|^2 in the norm W,  r_i >= 0,  from r_i = 1.
+    minimise  1/2 |sum_i r_i t_i p_i - b|^2 in the norm W,  r_i >= 0,  from r_i = 1,
 
-The gradient step is scaled by the inverse of a document's tokens, so the rate
-depends on the posterior alone, and W is the inverse of sum t_i p_i p_i' over the
-rows whose rate is not zero or, once that no longer descends, over all rows, for
-which step length one always does. One iteration is one pass over the staged
-posteriors that sums a vector with one entry per domain. Rates are not stored
-between passes: a document's rate is replayed from the history of steps, which is
-that small vector per iteration.
+with W the inverse of sum t_i p_i p_i' (in the directions the posteriors span). Of rates that match alike those nearest to 1
+count, by a term of weight ``NEARNESS``. Gradients are scaled by the inverse of a
+document's tokens and summed before they are projected, so the rate follows from the
+posterior and one price per domain, r_i = max(0, 1 - p_i x prices). A step divides the
+gradient by the Gram matrix of the rows that are at no bound now. One iteration is one
+pass over the staged posteriors, which sums a small vector for each of the step lengths
+tried; the best of them is taken. The passes end when the projected gradient is below
+``TOLERANCE``; if ``ITERATIONS`` of them do not get there, ``fit_rates`` raises.
 
 The classifier counts word starts, word ends and word shapes in a bounded sample
 of labelled rows (``SAMPLE`` rows a class) and keeps those that one class has far
@@ -46,8 +47,10 @@ SAMPLE = 1600
 LEAST_DOCUMENTS = 4
 LEAST_ODDS = 6.0
 MOST_FEATURES = 60_000
-ITERATIONS = 40
-TOLERANCE = 1e-5
+ITERATIONS = 60
+TOLERANCE = 1e-7  # of the projected gradient, as a share of all tokens
+NEARNESS = 1e-6
+LENGTHS = 4.0 ** -np.arange(8)
 
 _LETTERS = re.compile(rb"[A-Za-z\x80-\xff]")
 
@@ -217,12 +220,9 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id",
                   run, "doc_id long, tokens long, p array<double>")
 
 
-def replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps: projected onto the nonnegative ones after each."""
-    rates = np.ones(len(p))
-    for s in steps:
-        rates = np.maximum(0.0, rates - p @ s)
-    return rates
+def replay(p: np.ndarray, prices: np.ndarray) -> np.ndarray:
+    """Rates at the prices of the domains: projected onto the nonnegative ones."""
+    return np.maximum(0.0, 1.0 - p @ prices)
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -248,47 +248,59 @@ def _sums(rows: DataFrame, fn) -> np.ndarray:
 
 
 def fit_rates(rows: DataFrame, weights: dict[str, float], total: float | None = None,
-              spare: float = 1.0) -> list[np.ndarray]:
-    """Steps of the projected gradient; ``rows`` has tokens and p.
+              spare: float = 1.0) -> np.ndarray:
+    """Prices of the domains at the optimum; ``rows`` has tokens and p.
 
     ``total`` is the token budget of the mixture. Without it the largest domain of
-    ``weights`` keeps its expected tokens, times ``spare``.
+    ``weights`` keeps its expected tokens, times ``spare``. Raises if the optimum is
+    not reached.
     """
     d = len(DOMAINS)
-
-    def state(steps):
-        """Expected tokens per domain after the steps, and the Gram matrix of the rows in use."""
-        def sums(p, t):
-            rates = replay(p, steps)
-            used = p[rates > 0]
-            return np.r_[(t * rates) @ p, ((used * t[rates > 0, None]).T @ used).ravel()]
-
-        found = _sums(rows, sums)
-        return (found[:d], found[d:].reshape(d, d)) if len(found) else (np.zeros(d), np.eye(d))
-
-    steps: list[np.ndarray] = []
-    have, gram = state([])
+    prices = np.zeros(d)
+    found = _sums(rows, lambda p, t: np.r_[t @ p, ((p * t[:, None]).T @ p).ravel()])
+    have = found[:d]
     scale = have.sum()
     if not scale:
-        return steps
+        return prices
     share = np.array([weights.get(x, 0.0) for x in DOMAINS])
     share = share / share.sum()
     largest = int(share.argmax())
-    target = share * (total or spare * have[largest] / share[largest])
-    reached, used, least, careful, slow = have, gram, np.inf, False, 0
+    target = share * (total or spare * have[largest] / share[largest]) / scale
+    near = NEARNESS * found[d:].reshape(d, d) / scale
+    sizes, axes = np.linalg.eigh(near)
+    axes = axes[:, sizes > 1e-9 * sizes.max()]  # no rates move the sums along the others
+
+    def states(tried):
+        """(objective, gradient, Gram matrix of the rows at no bound) at each of some prices."""
+        def sums(p, t):
+            out = []
+            for x in tried:
+                u, rates = p @ x, replay(p, x)
+                free = u <= 1.0
+                used = p[free]
+                # The antiderivative of the rate in u.
+                out.append(np.r_[t @ np.where(free, u * u / 2 - u, -0.5), (t * rates) @ p,
+                                 ((used * t[free, None]).T @ used).ravel()])
+            return np.concatenate(out)
+
+        for x, v in zip(tried, (_sums(rows, sums) / scale).reshape(len(tried), -1)):
+            gram = v[1 + d:].reshape(d, d) + near
+            yield (v[0] + target @ x + x @ near @ x / 2,
+                   axes.T @ (v[1:1 + d] - target - near @ x), axes.T @ gram @ axes)
+
+    _, gradient, gram = next(states([prices]))
     for _ in range(ITERATIONS):
-        gap = (reached - target) / scale
-        size = np.abs(gap).max()
-        # Rows at zero no longer move, so the norm of the others gives longer steps while they pay.
-        careful = careful or size > least
-        slow = slow + 1 if size > 0.99 * least else 0
-        if size < TOLERANCE or slow == 3:
-            break
-        least = min(least, size)
-        norm = np.linalg.inv((gram if careful else used) / scale + 1e-9 * np.eye(d))
-        steps.append(np.round(norm @ gap, 12))
-        reached, used = state(list(steps))
-    return steps
+        if np.abs(gradient).max() < TOLERANCE:
+            return prices
+        step = axes @ np.linalg.solve(gram, gradient)
+        tried = [np.round(prices + x * step, 12) for x in LENGTHS]
+        found = list(states(tried))
+        best = min(range(len(tried)), key=lambda i: found[i][0])
+        prices, (_, gradient, gram) = tried[best], found[best]
+    if np.abs(gradient).max() >= TOLERANCE:
+        raise RuntimeError(f"no optimal rates after {ITERATIONS} passes: projected gradient "
+                           f"{np.abs(gradient).max():.1e} of all tokens")
+    return prices
 
 
 def draws(rate: Column, key: Column) -> Column:
@@ -301,12 +313,12 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: fl
         spare: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, posteriors, rate and copies of every row."""
     rows = stage(posteriors(docs, fit(docs, labels, id_col, text_col), id_col, text_col), "mix-rows")
-    steps = fit_rates(rows, weights, total, spare)
+    prices = fit_rates(rows, weights, total, spare)
 
     def run(batch, _):
         p = _matrix(batch, "p")
         return {"doc_id": batch.column(0), "n_tokens": batch.column(1),
-                **{f"p_{x}": p[:, i] for i, x in enumerate(DOMAINS)}, "rate": replay(p, steps)}
+                **{f"p_{x}": p[:, i] for i, x in enumerate(DOMAINS)}, "rate": replay(p, prices)}
 
     rated = tuples(rows, run, "doc_id long, n_tokens long, "
                    + ", ".join(f"p_{x} double" for x in DOMAINS) + ", rate double")
@@ -318,20 +330,20 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float
                     text_col: str = "text") -> DataFrame:
     """``docs`` with every row as often as its rate says; no row moves between machines.
 
-    The rate of a row follows from its text, the classifier and the steps, so the
+    The rate of a row follows from its text, the classifier and the prices, so the
     texts are scored again where they are read instead of being joined.
     """
     model = fit(docs, labels, id_col, text_col)
     rows = stage(posteriors(docs, model, id_col, text_col).select("tokens", "p"), "mix-rows")
-    steps = fit_rates(rows, weights, total, spare)
-    shared = docs.sparkSession.sparkContext.broadcast((model, steps))
+    prices = fit_rates(rows, weights, total, spare)
+    shared = docs.sparkSession.sparkContext.broadcast((model, prices))
 
     @F.pandas_udf("double")
     def rate(texts):
         import pandas as pd
 
-        own, history = shared.value
-        return pd.Series(replay(own.of_texts(list(texts)), history), dtype="float64")
+        own, found = shared.value
+        return pd.Series(replay(own.of_texts(list(texts)), found), dtype="float64")
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rated = docs.select(row.alias("row"), rate(utf8(text_col)).alias("rate"))

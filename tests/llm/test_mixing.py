@@ -86,3 +86,42 @@ def test_no_labels_and_no_rows(frame, spark):
     assert all(abs(r.rate - 1) < 1e-6 and r.copies >= 0 for r in rows)
     assert mixing.mix(frame([]), labels, {"good": 1.0}).count() == 0
     assert mixing.mixed_documents(frame([]), labels, {"good": 1.0}).count() == 0
+
+
+def posterior_rows(poor, toxic, sharp, n=6000):
+    """Tokens and posteriors of a made corpus, and its classes."""
+    rng = np.random.default_rng(8)
+    y = rng.choice(3, n, p=[1 - poor - toxic, poor, toxic])
+    z = rng.standard_normal((n, 3))
+    z[np.arange(n), y] += sharp
+    return mixing.softmax(z), rng.integers(5, 2000, n).astype(float), y
+
+
+@pytest.mark.parametrize("poor,toxic,sharp", [(0.3, 0.12, 5), (0.6, 0.3, 5), (0.45, 0.2, 2),
+                                              (0.6, 0.3, 2)])
+def test_rates_are_optimal_on_poor_and_toxic_corpora(spark, poor, toxic, sharp):
+    p, t, _ = posterior_rows(poor, toxic, sharp)
+    rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p)],
+                                 "tokens long, p array<double>").repartition(3)
+    weights = {"good": 0.93, "poor": 0.055, "toxic": 0.015}
+    rates = mixing.replay(p, mixing.fit_rates(rows, weights))
+    have, scale = t @ p, t.sum()
+    target = np.array([weights[x] for x in mixing.DOMAINS]) / 0.93 * have[0]
+    norm = np.linalg.inv((p * t[:, None]).T @ p / scale)
+
+    def objective(r):
+        gap = ((t * r) @ p - target) / scale
+        return gap @ norm @ gap
+
+    assert objective(rates) <= objective(solve(p, t, target)) + 1e-5
+    if sharp == 5:
+        assert np.allclose((rates * t) @ p, target, rtol=2e-3)
+
+
+def test_rates_short_of_the_optimum_are_no_result(spark, monkeypatch):
+    p, t, _ = posterior_rows(0.6, 0.3, 2, 500)
+    rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p)],
+                                 "tokens long, p array<double>")
+    monkeypatch.setattr(mixing, "ITERATIONS", 2)
+    with pytest.raises(RuntimeError, match="no optimal rates"):
+        mixing.fit_rates(rows, {"good": 0.93, "poor": 0.055, "toxic": 0.015})
