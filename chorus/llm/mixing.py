@@ -7,7 +7,7 @@ posterior, match the targets:
 
     minimise  1/2 |sum_i r_i t_i p_i - b|^2 in the norm W,  r_i >= 0,  from r_i = 1,
 
-with W the inverse of sum t_i p_i p_i' (in the directions the posteriors span). Of rates that match alike those nearest to 1
+with W the inverse of sum t_i p_i p_i' plus a little in every direction. Of rates that match alike those nearest to 1
 count, by a term of weight ``NEARNESS``. Gradients are scaled by the inverse of a
 document's tokens and summed before they are projected, so the rate follows from the
 posterior and one price per domain, r_i = max(0, 1 - p_i x prices). A step divides the
@@ -16,6 +16,13 @@ pass over the staged posteriors, which sums a small vector for each of the step
 tried; the best of them is taken. The passes end when the projected gradient is below
 ``TOLERANCE``; if ``ITERATIONS`` of them do not get there, ``fit_rates`` raises.
 
+``CLEANING`` instead of weights removes what is not good: its targets come from the
+expected tokens measured in the input. Documents classed good (no domain has a larger
+posterior) have a rate of at least 1, the others of at most 1. Good keeps its tokens.
+Toxic gets what documents classed good carry of it, and poor at most ``MOST_POOR`` times
+the good tokens, but neither less than documents classed good carry when they stand in
+for all good tokens, nor more than there is.
+
 The classifier counts word starts, word ends and word shapes in a bounded sample
 of labelled rows (``SAMPLE`` rows a class) and keeps those that one class has far
 more often than the others. How many of them a text holds per class, and plain
@@ -48,10 +55,14 @@ LEAST_DOCUMENTS = 4
 LEAST_ODDS = 6.0
 MOST_FEATURES = 60_000
 ITERATIONS = 60
-TOLERANCE = 1e-7  # of the projected gradient, as a share of all tokens
+TOLERANCE = 1e-6  # of the projected gradient, as a share of all tokens
 NEARNESS = 1e-6
+LEAST_NORM = 1e-3
 LENGTHS = 4.0 ** -np.arange(8)
 
+CLEANING = "cleaning"
+MOST_POOR = 0.055 / 0.93
+
 _LETTERS = re.compile(rb"[A-Za-z\x80-\xff]")
 
 
@@ -220,9 +231,27 @@ def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id",
                   run, "doc_id long, tokens long, p array<double>")
 
 
-def replay(p: np.ndarray, prices: np.ndarray) -> np.ndarray:
-    """Rates at the prices of the domains: projected onto the nonnegative ones."""
-    return np.maximum(0.0, 1.0 - p @ prices)
+def replay(p: np.ndarray, prices: np.ndarray, cleaning: bool = False) -> np.ndarray:
+    """Rates at the prices of the domains, projected onto their bounds."""
+    return np.clip(1.0 - p @ prices, *bounds(p, cleaning))
+
+
+def bounds(p: np.ndarray, cleaning: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest rate of each row."""
+    if not cleaning:
+        return np.zeros(len(p)), np.full(len(p), np.inf)
+    good = classed_good(p)
+    return good.astype(float), np.where(good, np.inf, 1.0)
+
+
+def classed_good(p: np.ndarray) -> np.ndarray:
+    return p.argmax(axis=1) == 0
+
+
+def cleaning_targets(have: np.ndarray, carried: np.ndarray) -> np.ndarray:
+    """Tokens per domain from those there are and those documents classed good carry."""
+    stand_in = carried * (have[0] / carried[0] if carried[0] else 1.0)
+    return np.minimum(have, np.maximum(stand_in, have[0] * np.array([1.0, MOST_POOR, 0.0])))
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -247,52 +276,57 @@ def _sums(rows: DataFrame, fn) -> np.ndarray:
     return np.array([r["x"] for r in parts])
 
 
-def fit_rates(rows: DataFrame, weights: dict[str, float], total: float | None = None,
+def fit_rates(rows: DataFrame, weights: dict[str, float] | str, total: float | None = None,
               spare: float = 1.0) -> np.ndarray:
     """Prices of the domains at the optimum; ``rows`` has tokens and p.
 
+    ``weights`` are target shares, or ``CLEANING``, which has no budget of its own.
     ``total`` is the token budget of the mixture. Without it the largest domain of
     ``weights`` keeps its expected tokens, times ``spare``. Raises if the optimum is
     not reached.
     """
     d = len(DOMAINS)
     prices = np.zeros(d)
-    found = _sums(rows, lambda p, t: np.r_[t @ p, ((p * t[:, None]).T @ p).ravel()])
-    have = found[:d]
+    found = _sums(rows, lambda p, t: np.r_[t @ p, (t * classed_good(p)) @ p,
+                                           ((p * t[:, None]).T @ p).ravel()])
+    have, carried = found[:d], found[d:2 * d]
     scale = have.sum()
     if not scale:
         return prices
-    share = np.array([weights.get(x, 0.0) for x in DOMAINS])
-    share = share / share.sum()
-    largest = int(share.argmax())
-    target = share * (total or spare * have[largest] / share[largest]) / scale
-    near = NEARNESS * found[d:].reshape(d, d) / scale
-    sizes, axes = np.linalg.eigh(near)
-    axes = axes[:, sizes > 1e-9 * sizes.max()]  # no rates move the sums along the others
+    cleaning = weights == CLEANING
+    if cleaning:
+        target = cleaning_targets(have, carried) / scale
+    else:
+        share = np.array([weights.get(x, 0.0) for x in DOMAINS])
+        share = share / share.sum()
+        largest = int(share.argmax())
+        target = share * (total or spare * have[largest] / share[largest]) / scale
+    near = NEARNESS * (found[2 * d:].reshape(d, d) / scale + LEAST_NORM * np.eye(d))
 
     def states(tried):
         """(objective, gradient, Gram matrix of the rows at no bound) at each of some prices."""
         def sums(p, t):
             out = []
             for x in tried:
-                u, rates = p @ x, replay(p, x)
-                free = u <= 1.0
+                u, rates = p @ x, replay(p, x, cleaning)
+                low, high = bounds(p, cleaning)
+                free = (1.0 - u >= low) & (1.0 - u <= high)
                 used = p[free]
-                # The antiderivative of the rate in u.
-                out.append(np.r_[t @ np.where(free, u * u / 2 - u, -0.5), (t * rates) @ p,
+                # The antiderivative of the negative rate in u.
+                out.append(np.r_[t @ np.where(free, u * u / 2 - u, -rates * u - (1 - rates) ** 2 / 2),
+                                 (t * rates) @ p,
                                  ((used * t[free, None]).T @ used).ravel()])
             return np.concatenate(out)
 
         for x, v in zip(tried, (_sums(rows, sums) / scale).reshape(len(tried), -1)):
-            gram = v[1 + d:].reshape(d, d) + near
-            yield (v[0] + target @ x + x @ near @ x / 2,
-                   axes.T @ (v[1:1 + d] - target - near @ x), axes.T @ gram @ axes)
+            yield (v[0] + target @ x + x @ near @ x / 2, v[1:1 + d] - target - near @ x,
+                   v[1 + d:].reshape(d, d) + near)
 
     _, gradient, gram = next(states([prices]))
     for _ in range(ITERATIONS):
         if np.abs(gradient).max() < TOLERANCE:
             return prices
-        step = axes @ np.linalg.solve(gram, gradient)
+        step = np.linalg.solve(gram, gradient)
         tried = [np.round(prices + x * step, 12) for x in LENGTHS]
         found = list(states(tried))
         best = min(range(len(tried)), key=lambda i: found[i][0])
@@ -309,8 +343,8 @@ def draws(rate: Column, key: Column) -> Column:
     return F.floor(rate + u).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: float | None = None,
-        spare: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | str,
+        total: float | None = None, spare: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, posteriors, rate and copies of every row."""
     rows = stage(posteriors(docs, fit(docs, labels, id_col, text_col), id_col, text_col), "mix-rows")
     prices = fit_rates(rows, weights, total, spare)
@@ -318,14 +352,14 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], total: fl
     def run(batch, _):
         p = _matrix(batch, "p")
         return {"doc_id": batch.column(0), "n_tokens": batch.column(1),
-                **{f"p_{x}": p[:, i] for i, x in enumerate(DOMAINS)}, "rate": replay(p, prices)}
+                **{f"p_{x}": p[:, i] for i, x in enumerate(DOMAINS)}, "rate": replay(p, prices, weights == CLEANING)}
 
     rated = tuples(rows, run, "doc_id long, n_tokens long, "
                    + ", ".join(f"p_{x} double" for x in DOMAINS) + ", rate double")
     return rated.withColumn("copies", draws(F.col("rate"), F.col("doc_id")))
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
+def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | str,
                     total: float | None = None, spare: float = 1.0, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``docs`` with every row as often as its rate says; no row moves between machines.
@@ -343,7 +377,8 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float
         import pandas as pd
 
         own, found = shared.value
-        return pd.Series(replay(own.of_texts(list(texts)), found), dtype="float64")
+        return pd.Series(replay(own.of_texts(list(texts)), found, weights == CLEANING),
+                         dtype="float64")
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rated = docs.select(row.alias("row"), rate(utf8(text_col)).alias("rate"))

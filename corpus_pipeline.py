@@ -2,7 +2,7 @@
 
 Each stage works on all that its predecessor kept: documents of no language go,
 lines that an earlier document has go, one document of each near-duplicate group
-stays, the rest is mixed to target weights, and the mixture is packed. All stages
+stays, toxic documents go and poor ones are thinned, and the mixture is packed. All stages
 but the last return the columns of ``documents``.
 """
 
@@ -14,9 +14,9 @@ from chorus.llm import langid, lines, mixing, packing, simhash
 from chorus.sources.tables import load
 from chorus.workspace import stage
 
-#: Good documents keep their tokens, poor ones are thinned and toxic ones go: what is left of
-#: their weight is the small membership that clean documents have in that domain.
-MIXTURE = {"good": 0.93, "poor": 0.055, "toxic": 0.015}
+#: Good documents keep their tokens, poor ones are thinned and toxic ones go, whatever share of
+#: the corpus they have: the targets are measured in the input of the stage.
+MIXTURE = mixing.CLEANING
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,22 @@ def test_rates_short_of_the_optimum_are_no_result(spark, monkeypatch):
     monkeypatch.setattr(mixing, "ITERATIONS", 2)
     with pytest.raises(RuntimeError, match="no optimal rates"):
         mixing.fit_rates(rows, {"good": 0.93, "poor": 0.055, "toxic": 0.015})
+
+
+@pytest.mark.parametrize("poor,toxic,sharp", [(0.1, 0.002, 9), (0.1, 0.005, 5), (0.1, 0.0, 9),
+                                              (0.0, 0.0, 5), (0.3, 0.3, 5), (0.3, 0.3, 2)])
+def test_cleaning_with_rare_absent_and_frequent_toxic_documents(spark, poor, toxic, sharp):
+    p, t, _ = posterior_rows(poor, toxic, sharp)
+    rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p)],
+                                 "tokens long, p array<double>").repartition(3)
+    rates = mixing.replay(p, mixing.fit_rates(rows, corpus_pipeline.MIXTURE), True)
+    have, got, top = t @ p, (rates * t) @ p, p.argmax(axis=1)
+    carried = (t * (top == 0)) @ p
+    assert (rates[top == 0] >= 1).all() and (rates[top != 0] <= 1).all()
+    assert got[0] >= 0.999 * have[0] and (got[1:] <= 1.001 * have[1:]).all()
+    assert (got[1:] >= 0.999 * carried[1:]).all()
+    assert got[2] <= 1.05 * carried[2] * have[0] / carried[0]
+    if (top == 2).any():
+        assert np.average(rates[top == 2], weights=t[top == 2]) < 0.15
+    if (top == 1).any():
+        assert np.average(rates[top == 1], weights=t[top == 1]) < 0.9
