@@ -155,13 +155,13 @@ class Model:
             total[:, k] = np.bincount(owner, count, len(texts)).astype(np.int64)
         return total
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and bits per symbol of each text."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, bits per symbol and number of symbols of each text."""
         symbols = self.symbols([(t or "").lower() for t in texts])
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        rates = np.full(len(texts), np.nan)
+        rates, sizes = np.full(len(texts), np.nan), np.array([len(s) for s in symbols], np.int64)
         if not self.languages:
-            return names, scores, rates
+            return names, scores, rates, sizes
         at = 0
         while at < len(texts):
             end, held = at, 0
@@ -178,7 +178,7 @@ class Model:
                     scores[i] = 1.0 - row[best] / second
                     rates[i] = row[best] / len(symbols[i])
             at = end
-        return names, scores, rates
+        return names, scores, rates, sizes
 
 
 def known_language(docs: DataFrame, model: Model, text_col: str = "text",
@@ -196,8 +196,8 @@ def known_language(docs: DataFrame, model: Model, text_col: str = "text",
         import pandas as pd
 
         texts = [t if isinstance(t, str) else None for t in texts]
-        names, _, rates = shared.value.predict(texts)
-        odd = (rates > most_bits) & np.array([len(t or "") >= least_symbols for t in texts], bool)
+        names, _, rates, sizes = shared.value.predict(texts)
+        odd = (rates > most_bits) & (sizes >= least_symbols)
         return pd.Series(np.array([n != UNKNOWN for n in names], bool) & ~odd)
 
     return docs.filter(known(F.col(text_col)))
@@ -243,7 +243,7 @@ def languages(docs: DataFrame, model: Model, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch, _):
-        names, scores, rates = shared.value.predict(batch.column(2).to_pylist())
+        names, scores, rates, _ = shared.value.predict(batch.column(2).to_pylist())
         return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": names,
                 "score": scores, "bits": [None if np.isnan(r) else float(r) for r in rates]}
 

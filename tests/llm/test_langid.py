@@ -72,3 +72,16 @@ def test_nothing_to_learn(frame):
     assert langid.languages(docs, langid.fit(docs)).count() == 0
     docs = frame(["some text"]).selectExpr("doc_id", "text", "cast(null as string) lang")
     assert [r.lang_pred for r in langid.languages(docs, langid.fit(docs)).collect()] == ["und"]
+
+
+def test_number_heavy_texts_stay_and_alien_texts_go(frame):
+    rng = np.random.default_rng(6)
+    clean = ["the cat sat on the mat and the rat ran over the old house"] * 30
+    tables = ["\n".join(f"{n / 7:.3f}; {n}-{n % 12 + 1:02d}-01; +{n % 31}%" for n in range(k, k + 60))
+              + f"\n{unit} total" for k, unit in ((100, "kg"), (900, "qx"), (5000, "zł"))]
+    alien = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 400))) for _ in range(3)]
+    docs = frame(clean + tables + alien)
+    model = langid.fit(docs.filter("doc_id < 30"))
+    assert all(len(t) > 400 for t in tables)
+    kept = {r.doc_id for r in langid.known_language(docs, model).collect()}
+    assert kept == set(range(33))
