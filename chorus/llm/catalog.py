@@ -25,7 +25,7 @@ def _tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-#: Target shares of the mixture, of a budget as large as the corpus.
+#: Target shares of the mixture. Its budget is the expected good tokens over 0.8, not the corpus.
 MIXTURE = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
 
 
