@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chorus.llm import (exact, langid, licences, lines, mixing, neighbours, packing, passages,
-                        simhash, tokens)
+from chorus.llm import (exact, langid, licences, lines, merkle, mixing, neighbours, packing,
+                        passages, simhash, tokens, warc, whitening)
 from chorus.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,98 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(load(spark, folder, "documents"), _tokenizer_file("byte_bpe_50k.json"))
+
+
+@_query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of all documents; every fifth is tampered with by lower-casing its text."""
+    docs = load(spark, folder, "documents")
+    return merkle.manifest(docs, merkle.one_in(5), {"text": merkle.lower_ascii("text")}).drop("copies")
+
+
+def _encoded(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+_LEAF = " || ".join(_encoded(c) for c in merkle.FIELDS)
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TAMPERED = " || ".join(_encoded(_LOWERED if c == "text" else c) for c in merkle.FIELDS)
+
+#: CRC-32 bit by bit; levels by recursion, first in each source, then over the sources.
+SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, sha256({_LEAF}) AS leaf, sha256({_TAMPERED}) AS lowered,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS n,
+         xor(list_reduce(list_prepend(4294967295::BIGINT,
+               list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+             lambda s, b: list_reduce(list_prepend(xor(s, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+               lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)),
+           4294967295::BIGINT) AS crc
+  FROM documents),
+up AS (
+  SELECT source, 0 AS lvl, pos, n, leaf AS h FROM d
+  UNION ALL
+  SELECT source, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos))
+  FROM up WHERE n > 1 GROUP BY source, lvl, pos // 16, n),
+sub AS (
+  SELECT source, h, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos,
+         count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, pos, n, h FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos))
+  FROM top WHERE n > 1 GROUP BY lvl, pos // 16, n),
+beside AS (
+  SELECT a.source, a.lvl, a.pos,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM up a JOIN up b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl
+                     AND a.pos // 16 = b.pos // 16
+  WHERE a.n > 1 GROUP BY ALL),
+topside AS (
+  SELECT a.lvl, a.pos,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM top a JOIN top b ON a.lvl = b.lvl AND a.pos // 16 = b.pos // 16
+  WHERE a.n > 1 GROUP BY ALL),
+fold AS (
+  SELECT doc_id, source, 0 AS lvl, pos, n,
+         CASE WHEN crc % 5 = 0 THEN lowered ELSE leaf END AS h, '' AS proof FROM d
+  UNION ALL
+  SELECT doc_id, f.source, f.lvl + 1, f.pos // 16, (n + 15) // 16, sha256(l || h || r),
+         proof || l || r
+  FROM fold f JOIN beside b ON f.source IS NOT DISTINCT FROM b.source AND f.lvl = b.lvl
+                           AND f.pos = b.pos WHERE n > 1),
+topfold AS (
+  SELECT doc_id, 0 AS lvl, s.pos, s.n, f.h, proof
+  FROM fold f JOIN sub s ON f.source IS NOT DISTINCT FROM s.source WHERE f.n = 1
+  UNION ALL
+  SELECT doc_id, f.lvl + 1, f.pos // 16, (n + 15) // 16, sha256(l || h || r), proof || l || r
+  FROM topfold f JOIN topside b ON f.lvl = b.lvl AND f.pos = b.pos WHERE n > 1)
+SELECT d.doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(proof) AS proof_sha256,
+       topfold.h AS folded_root, topfold.h = top.h AS verified
+FROM d JOIN sub ON d.source IS NOT DISTINCT FROM sub.source JOIN top ON top.n = 1
+JOIN topfold ON topfold.doc_id = d.doc_id AND topfold.n = 1
+"""
+
+
+@_query
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(load(spark, folder, "pages"))
+
+
+SQL["op12_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT *, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS last FROM p),
+r AS (SELECT *, n >= 1000 AND page_id <> last AS again FROM q)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN last END AS refers_to
+FROM r
+"""
+
+
+@_query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(load(spark, folder, "embeddings"))

@@ -27,10 +27,11 @@ def order_id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))
 
 
-def tuples(df: DataFrame, fn: Callable, schema: str, init: Callable | None = None) -> DataFrame:
+def tuples(df: DataFrame, fn: Callable, schema: str, init: Callable | None = None,
+           rows: int = ROWS) -> DataFrame:
     """``mapInArrow`` with a function of column lists to a dictionary of columns.
 
-    ``fn(columns, state)`` is called for at most ``ROWS`` rows of an Arrow batch, which
+    ``fn(columns, state)`` is called for at most ``rows`` rows of an Arrow batch, which
     bounds the Python objects alive at once, and returns a dictionary of output columns,
     or None. ``init()`` makes the state of a task.
     """
@@ -38,7 +39,7 @@ def tuples(df: DataFrame, fn: Callable, schema: str, init: Callable | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]):
         state = init() if init else None
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
             made = fn(batch, state)
             if made is not None:
                 yield pa.RecordBatch.from_arrays(

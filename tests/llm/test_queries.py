@@ -28,5 +28,5 @@ def test_one_row_per_document(spark, data, name):
 def test_entry_has_the_operators():
     import __spark_entry__ as entry
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names}
+    assert {f"op{n}" for n in range(1, 14)} <= {x.split("_")[0] for x in names}
     assert "pipeline" in names
