@@ -31,8 +31,7 @@ HEADLINE = (
 def training_times(spark, folder: str) -> dict[str, float]:
     """Feature preparation once, then each trainer and batch scoring on its own.
 
-    All trainers run the defaults of the library. A hundred rounds of boosting for each
-    class are measured on sf0.01, which lies beside the folder, and named so.
+    All trainers run the defaults of the library.
     """
     from chorus.catalog import training as t
     from chorus.plans import models
@@ -51,10 +50,7 @@ def training_times(spark, folder: str) -> dict[str, float]:
     timed("fit_svm", lambda: t.fitted(spark, folder, "linear_svm"))
     timed("fit_bayes", lambda: t.fitted(spark, folder, "naive_bayes"))
     timed("fit_forest", lambda: t.fitted(spark, folder, "random_forest"))
-    small = Path(folder).parent / "sf0.01"
-    if small.exists():
-        few = t.features(spark, str(small))
-        timed("fit_gbt_sf0.01", lambda: models.train_boosting(few))
+    timed("fit_gbt", lambda: t.fitted(spark, folder, "gradient_boosting"))
     scored = models.predict(model, f.table, f.classes)
     timed("score_all", lambda: scored.write.format("noop").mode("overwrite").save())
     timed("evaluate", lambda: models.evaluate(scored, f.classes).collect())

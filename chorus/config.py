@@ -44,10 +44,14 @@ class ForestConfig:
 
 @dataclass(frozen=True)
 class BoostConfig:
+    """Nodes of fewer than ``min_split`` rows stay leaves; at most ``bins`` edges a feature."""
+
     rounds: int = 100
     step: float = 0.1
     max_depth: int = 5
-    seed: int = 42
+    min_split: int = 10
+    min_leaf: int = 1
+    bins: int = 32
 
 
 @dataclass(frozen=True)

@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Model
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml import Model, PipelineModel
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from chorus.config import (BoostConfig, ForestConfig, LogRegConfig, SvmConfig, TfidfConfig,
                            Word2VecConfig)
 from chorus.functions import scores
 from chorus.operators import labels, metrics, tfidf
 from chorus.operators.split import stratified_split
+from chorus.plans import stages
+from chorus.plans.boosting import SoftmaxBoosting
+from chorus.plans.svm import SquaredHingeSvm
 from chorus.workspace import shared_dir, stage
 
 
@@ -71,11 +72,8 @@ def train_forest(features: Features, config: ForestConfig = ForestConfig()) -> M
 
 
 def train_boosting(features: Features, config: BoostConfig = BoostConfig()) -> Model:
-    """Boosted trees, one model per class: Spark's booster is binary."""
-    booster = GBTClassifier(maxIter=config.rounds, stepSize=config.step,
-                            maxDepth=config.max_depth, seed=config.seed)
-    return OneVsRest(classifier=booster, parallelism=len(features.classes)).fit(
-        train_rows(features))
+    """Softmax boosting: a tree per class and round on shared residuals."""
+    return SoftmaxBoosting(len(features.classes), features.id_col, config).fit(train_rows(features))
 
 
 def train_bayes(features: Features, alpha: float = 1.0) -> Model:
@@ -83,11 +81,8 @@ def train_bayes(features: Features, alpha: float = 1.0) -> Model:
 
 
 def train_svm(features: Features, config: SvmConfig = SvmConfig()) -> Model:
-    """Linear SVM with hinge loss, one model per class; it gives no probabilities."""
-    rows = train_rows(features)
-    svm = LinearSVC(regParam=1.0 / (config.c * max(rows.count(), 1)), maxIter=config.max_iter,
-                    tol=config.tol, standardization=False)
-    return OneVsRest(classifier=svm, parallelism=len(features.classes)).fit(rows)
+    """Linear SVM with squared hinge loss, one per class; it gives no probabilities."""
+    return SquaredHingeSvm(len(features.classes), features.id_col, config).fit(train_rows(features))
 
 
 def train_word2vec(rows: DataFrame, words: str, config: Word2VecConfig = Word2VecConfig()) -> Model:
@@ -101,15 +96,8 @@ def train_word2vec(rows: DataFrame, words: str, config: Word2VecConfig = Word2Ve
 def predict(model: Model, rows: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Predicted class, and where the model has them probabilities and confidence."""
     out = model.transform(rows)
-    names = F.array(*[F.lit(c) for c in classes])
-    cols: list[Column] = [F.col("prediction").cast("int").alias("predicted_class"),
-                          F.get(names, F.col("prediction").cast("int")).alias("y_pred")]
-    if "probability" in out.columns:
-        p = vector_to_array("probability")
-        cols += [p[i].alias(f"prob_{c}") for i, c in enumerate(classes)]
-        cols += [F.array_max(p).alias("confidence")]
     kept = [c for c in rows.columns if c not in ("features", "label")]
-    scored = out.select(*kept, *cols)
+    scored = out.select(*kept, *stages.named_columns(out, list(classes)))
     return scored.withColumn("correct", F.col("y_true") == F.col("y_pred")) \
         if "y_true" in kept else scored
 
@@ -154,6 +142,14 @@ def select_on_validation(features: Features, candidates: Sequence[tuple[str, Cal
     return best_name, best_model, table.withColumn("best", F.col("candidate") == best_name)
 
 
+def linear_weights(model: Model, spark) -> DataFrame:
+    """(class, feature, weight) of a fitted logistic regression, the intercept after the last."""
+    matrix = model.coefficientMatrix.toArray()
+    rows = [(int(k), int(f), float(matrix[k, f])) for k, f in zip(*matrix.nonzero())]
+    rows += [(k, matrix.shape[1], float(b)) for k, b in enumerate(model.interceptVector)]
+    return stage(spark.createDataFrame(rows, "class int, feature int, weight double"), "weights")
+
+
 def top_coefficients(model: Model, features: Features, k: int = 20) -> DataFrame:
     """The terms with the largest absolute coefficients per class."""
     matrix = model.coefficientMatrix.toArray()
@@ -171,6 +167,17 @@ def save_and_load(model: Model, spark) -> Model:
     return type(model).load(path)
 
 
+def scoring_pipeline(model: Model, features: Features, text: str) -> PipelineModel:
+    """Vocabulary, class mapping and model as one pipeline from raw text to class names.
+
+    It can be saved, loaded and used without anything else.
+    """
+    return PipelineModel([
+        stages.ClassMappingModel(inputCol="class", outputCol="label", classes=list(features.classes)),
+        stages.vectorizer(features.vocab, features.size, features.config, text, features.id_col),
+        model, stages.ClassNames(classes=list(features.classes))])
+
+
 def score_texts(model: Model, features: Features, texts: DataFrame, text: str,
                 id_col: str) -> DataFrame:
     """Class, class id, probability per class and confidence of new texts."""
