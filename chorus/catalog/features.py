@@ -13,8 +13,9 @@ from chorus.operators import keywords, language, lexicon, tfidf
 from chorus.operators.rows import unfold
 from chorus.plans import pipeline
 from chorus.sources.tables import documents, load
-from chorus.wordlists import (CATEGORY_KEYWORDS, CLASS_KEYWORDS, EMPLOYMENT_KEYWORDS,
-                              UNEMPLOYMENT_KEYWORDS)
+from chorus.wordlists import (BOOSTERS, CATEGORY_KEYWORDS, CLASS_KEYWORDS, DAMPENERS,
+                              EMPLOYMENT_KEYWORDS, NEGATIONS, UNEMPLOYMENT_KEYWORDS)
+from chorus.workspace import stage
 
 LANGS = ("de", "en", "es", "fr")
 
@@ -67,30 +68,69 @@ LEARNT = f"""voted AS (SELECT toxic = 0 AND quality = 1 AS up, list_distinct({TO
 tot AS (SELECT count(*) FILTER (up) AS u, count(*) FILTER (NOT up) AS n FROM voted),
 words AS (SELECT word, count(*) FILTER (up) AS up, count(*) FILTER (NOT up) AS down
   FROM (SELECT up, unnest(w) AS word FROM voted) GROUP BY word HAVING count(*) >= 5),
-valued AS (SELECT word, up + down AS df, greatest(least(CAST(round(100 * (ln((up + 1) / (u + 2))
-  - ln((down + 1) / (n + 2)))) AS BIGINT), 400), -400) AS valence FROM words, tot),
-lexicon AS (SELECT word, valence FROM valued)"""
+shares AS (SELECT word, up + down AS df, (up + 1) / (u + 2) AS a, (down + 1) / (n + 2) AS b FROM words, tot),
+valued AS (SELECT word, df, greatest(least(CAST(round(100 * (ln(a) - ln(b))) AS BIGINT), 400), -400)
+  AS valence, CAST(round(abs(a - b) / (a + b) * 100) AS BIGINT) AS subjectivity FROM shares),
+lexicon AS (SELECT word, valence, subjectivity FROM valued)"""
+
+_CAPITALS = "(regexp_matches(x, '^[\\p{Lu}\\p{N}_]+$') AND regexp_matches(x, '\\p{Lu}'))"
+
+
+def _words(words) -> str:
+    return "(" + ", ".join(lit(w) for w in words) + ")"
+
+
+def _before(distance: int) -> str:
+    """Kind of the word so many places before word i; nothing stands before the first."""
+    return f"(CASE WHEN i > {distance} THEN k[i - {distance}] ELSE 0 END)"
+
+
+def _boost(distance: int) -> str:
+    k, b, c = _before(distance), lexicon.BOOST[distance - 1], lexicon.CAPITALS[distance - 1]
+    return f"(CASE {k} WHEN 1 THEN {b} WHEN 2 THEN {b + c} WHEN -1 THEN {-b} WHEN -2 THEN {-b - c} ELSE 0 END)"
 
 
 def sql_scores(table: str, text: str) -> str:
-    """Scores of every row of a table under the learnt lexicon."""
-    return f"""toks AS (SELECT doc_id, unnest(regexp_extract_all(lower({text}), {lit(tx.WORD)})) AS word
-  FROM {table}),
-sums AS (SELECT doc_id, coalesce(sum(valence), 0) AS total, count(*) FILTER (valence <> 0) AS matched,
-  coalesce(sum(valence + 100) FILTER (valence > 0), 0) AS up,
-  coalesce(sum(100 - valence) FILTER (valence < 0), 0) AS down,
-  count(*) FILTER (word IS NOT NULL AND coalesce(valence, 0) = 0) AS neutral,
-  coalesce(sum(least(abs(valence), 200)) FILTER (valence IS NOT NULL), 0) AS subjective
-  FROM {table} LEFT JOIN toks USING (doc_id) LEFT JOIN lexicon USING (word) GROUP BY doc_id),
-scored AS (SELECT doc_id,
-  round((total / 100.0::DOUBLE) / sqrt((total / 100.0::DOUBLE) * (total / 100.0::DOUBLE) + 15), 4)
-    AS vader_compound,
-  round(coalesce(up::DOUBLE / nullif(up + down + neutral * 100, 0), 0.0), 3) AS vader_positive,
-  round(coalesce(down::DOUBLE / nullif(up + down + neutral * 100, 0), 0.0), 3) AS vader_negative,
-  round(coalesce(neutral * 100.0::DOUBLE / nullif(up + down + neutral * 100, 0), 1.0), 3)
-    AS vader_neutral,
-  coalesce(total / 400.0::DOUBLE / nullif(matched, 0), 0.0) AS textblob_polarity,
-  coalesce(subjective / 200.0::DOUBLE / nullif(matched, 0), 0.0) AS textblob_subjectivity
+    """Scores of every row of a table under the learnt lexicon, by the rules of context."""
+    asked = f"(len({text}) - len(replace({text}, '?', '')))"
+    return f"""cut AS (SELECT doc_id, regexp_extract_all({text}, {lit(tx.WORD)}) AS w,
+  least(len({text}) - len(replace({text}, '!', '')), {lexicon.MOST_EXCLAMATIONS}) * {lexicon.EXCLAMATION}
+  + CASE WHEN {asked} > 3 THEN {lexicon.MANY_QUESTIONS} WHEN {asked} > 1 THEN {asked} * {lexicon.QUESTION}
+    ELSE 0 END AS marks FROM {table}),
+heard AS (SELECT *, len(list_filter(w, lambda x: {_CAPITALS})) BETWEEN 1 AND len(w) - 1 AS mixed,
+  coalesce(list_position(list_transform(w, lambda x: lower(x)), 'but'), 0) AS but FROM cut),
+kinds AS (SELECT *, list_transform(w, lambda x: CASE WHEN lower(x) IN {_words(NEGATIONS)} THEN 9
+  WHEN lower(x) IN {_words(BOOSTERS)} THEN CASE WHEN mixed AND {_CAPITALS} THEN 2 ELSE 1 END
+  WHEN lower(x) IN {_words(DAMPENERS)} THEN CASE WHEN mixed AND {_CAPITALS} THEN -2 ELSE -1 END
+  ELSE 0 END) AS k FROM heard),
+placed AS (SELECT doc_id, mixed, but, k, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM kinds),
+toks AS (SELECT doc_id, lower(x) AS word, {_boost(1)} + {_boost(2)} + {_boost(3)} AS boost,
+  mixed AND {_CAPITALS} AS loud, 9 IN ({_before(1)}, {_before(2)}, {_before(3)}) AS turned,
+  CASE WHEN {_before(1)} IN (1, 2) THEN 13 WHEN {_before(1)} < 0 THEN 7 ELSE 10 END AS near,
+  CASE WHEN but = 0 OR i = but THEN 10 WHEN i < but THEN {lexicon.BEFORE_BUT}
+    ELSE {lexicon.AFTER_BUT} END AS side FROM placed),
+felt AS (SELECT doc_id, word, valence, (valence * 10000 + sign(valence) * (CASE WHEN loud
+    THEN {lexicon.CAPITALS[0]} ELSE 0 END + boost))
+    * (CASE WHEN turned THEN {lexicon.TURNED} ELSE 100 END) * side AS f,
+  CASE WHEN valence IS NOT NULL THEN greatest(least(valence * 2 * near
+    * (CASE WHEN turned THEN -1 ELSE 2 END), 16000), -16000) END AS p,
+  CASE WHEN valence IS NOT NULL THEN least(subjectivity * near, 1000) END AS subject FROM toks LEFT JOIN lexicon USING (word)),
+summed AS (SELECT doc_id, coalesce(sum(f), 0)::BIGINT AS total, count(*) FILTER (valence <> 0) AS matched,
+  coalesce(sum(f + 1000000000) FILTER (f > 0), 0)::BIGINT AS ups,
+  coalesce(sum(1000000000 - f) FILTER (f < 0), 0)::BIGINT AS downs,
+  count(*) FILTER (word IS NOT NULL AND coalesce(f, 0) = 0) AS neutral,
+  coalesce(sum(p), 0)::BIGINT AS polar, coalesce(sum(subject), 0)::BIGINT AS subjective,
+  count(valence) AS known FROM cut LEFT JOIN felt USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, matched, polar, subjective, known, neutral * 1000000000 AS neutral,
+  (total + sign(total) * marks)::DOUBLE / 1000000000 AS s,
+  ups + CASE WHEN ups > downs THEN marks ELSE 0 END AS up,
+  downs + CASE WHEN downs > ups THEN marks ELSE 0 END AS down FROM summed JOIN cut USING (doc_id)),
+scored AS (SELECT doc_id, round(s / sqrt(s * s + 15), 4) AS vader_compound,
+  round(coalesce(up::DOUBLE / nullif(up + down + neutral, 0), 0.0), 3) AS vader_positive,
+  round(coalesce(down::DOUBLE / nullif(up + down + neutral, 0), 0.0), 3) AS vader_negative,
+  round(coalesce(neutral::DOUBLE / nullif(up + down + neutral, 0), 1.0), 3) AS vader_neutral,
+  coalesce(polar / 16000.0::DOUBLE / nullif(matched, 0), 0.0) AS textblob_polarity,
+  coalesce(subjective / 1000.0::DOUBLE / nullif(known, 0), 0.0) AS textblob_subjectivity
   FROM sums)"""
 
 
@@ -122,6 +162,30 @@ def sentiment_label(spark, d):
                                    learnt_lexicon(spark, d))
 
 
+#: Openings whose rules are known, in front of every document, and the words they are made of.
+OPENINGS = ("good", "not good", "VERY good!!!", "very good", "slightly good", "good but bad", "GOOD day",
+            "never was really bad??", "GOOD BAD!", "the idea is not so very good", "?????", "")
+OPENING_WORDS = (("good", 190, 60), ("bad", -250, 67), ("idea", 0, 10), ("but", 0, 0))
+_OPENED = (f"opened AS (SELECT doc_id, ([{', '.join(lit(o) for o in OPENINGS)}])[(doc_id % {len(OPENINGS)}"
+           " + 1)::INT] || '. ' || text AS text FROM documents),\n")
+_WITH_WORDS = LEARNT.replace("lexicon AS (SELECT", f"""given AS (SELECT * FROM (VALUES {', '.join(
+    f"({lit(w)}, {v}::BIGINT, {s}::BIGINT)" for w, v, s in OPENING_WORDS)}) AS g(word, valence, subjectivity)),
+lexicon AS (SELECT * FROM given UNION ALL SELECT""").replace("FROM valued)", """FROM valued
+  WHERE word NOT IN (SELECT word FROM given))""")
+
+
+@query(f"WITH {_OPENED}{_WITH_WORDS}, {sql_scores('opened', 'text')} SELECT * FROM scored")
+def sentiment_rules(spark, d):
+    """All scores of documents that open with negated, strengthened and contrasted words."""
+    opening = F.element_at(F.array(*[F.lit(o) for o in OPENINGS]),
+                           (F.col("doc_id") % len(OPENINGS) + 1).cast("int"))
+    texts = documents(spark, d, "doc_id", "text").select(
+        "doc_id", F.concat(opening, F.lit(". "), "text").alias("text"))
+    given = spark.createDataFrame(OPENING_WORDS, "word string, valence bigint, subjectivity bigint")
+    words = given.unionByName(learnt_lexicon(spark, d).join(given, "word", "left_anti"))
+    return lexicon.label_sentiment(texts, "doc_id", "text", stage(words, "lexicon")).drop("sentiment")
+
+
 LABELLED = f"""{LEXICON}, labelled AS (SELECT doc_id, text, lower(text) AS t,
   CASE WHEN vader_compound >= 0.05 THEN 'Positive' WHEN vader_compound <= -0.05 THEN 'Negative'
   ELSE 'Neutral' END AS sentiment FROM documents JOIN scored USING (doc_id)),
@@ -265,7 +329,6 @@ FROM agg QUALIFY rank <= 15""")
 def token_contributions(spark, d):
     """Terms that speak most for each predicted language under a naive Bayes linear model."""
     from pyspark.sql import Window
-    from chorus.workspace import stage
     vocab, long = term_weights(spark, d)
     long = stage(long, "tfidf-weights")
     docs = load(spark, d, "documents")

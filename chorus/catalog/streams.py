@@ -8,8 +8,8 @@ from chorus.catalog.registry import query
 from chorus.catalog.training import features, fitted
 from chorus.plans import models
 from chorus.sources.tables import load
-from chorus.streaming import jobs
-from chorus.workspace import shared_dir
+from chorus.streaming import alarms, jobs
+from chorus.workspace import shared_dir, stage
 
 DELAY = "31 days"
 
@@ -68,6 +68,43 @@ def stalled_sources(spark, d):
     return jobs.stalled(table, load(spark, d, "events"), "event_type", "ts", 5)
 
 
+_SILENCES = """SELECT event_type AS source, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS silent_since FROM (
+  SELECT event_type, ts, lead(ts) OVER (PARTITION BY event_type ORDER BY ts) AS following,
+    max(ts) OVER () AS newest FROM (SELECT DISTINCT event_type, date_trunc('milliseconds', ts) AS ts FROM events))
+WHERE (following IS NULL OR following > ts + INTERVAL 5 MINUTE)
+  AND ts + INTERVAL 5 MINUTE < newest - INTERVAL 1 MINUTE"""
+
+
+@query(_SILENCES)
+def stream_silences(spark, d):
+    """Entries that no other one of their source followed within five minutes, by timers."""
+    events = jobs.read_stream(spark, d, "events", "ts")
+    found = jobs.run_to_table(alarms.silences(events, "event_type", "ts", 5, "1 minute"), "stream-silences")
+    return found.select("source", F.date_format("silent_since", "yyyy-MM-dd HH:mm:ss.SSS")
+                        .alias("silent_since"))
+
+
+@query("""SELECT event_type, count(*) AS requests, round(avg(value), 6) AS mean, true AS p95_near,
+  true AS p99_near, true AS people_near FROM events GROUP BY event_type""")
+def stream_figures(spark, d):
+    """Running mean, percentiles and distinct people from mergeable sketches, held to exact ones.
+
+    Percentiles must have a rank within one percent, distinct counts lie within five percent.
+    """
+    figures = jobs.run_to_summary(jobs.read_stream(spark, d, "events"), "stream-figures",
+                                  ["event_type"], "value", "user_id")
+    exact = load(spark, d, "events").join(stage(figures, "stream-figures"), "event_type").groupBy(
+        "event_type", "requests", "mean", "people").agg(
+        *[F.avg((F.col("value") <= F.col(p)).cast("int")).alias(f"upto_{p}") for p in ("p95", "p99")],
+        *[F.avg((F.col("value") < F.col(p)).cast("int")).alias(f"below_{p}") for p in ("p95", "p99")],
+        F.count_distinct("user_id").alias("exact_people"))
+    near = lambda p, share: ((F.col(f"upto_{p}") >= share - 0.01) & (F.col(f"below_{p}") <= share + 0.01))
+    return exact.select("event_type", "requests", F.round("mean", 6).alias("mean"),
+                        near("p95", 0.95).alias("p95_near"), near("p99", 0.99).alias("p99_near"),
+                        (F.abs(F.col("people") - F.col("exact_people")) <= 0.05 * F.col("exact_people"))
+                        .alias("people_near"))
+
+
 @query("""SELECT event_id, user_id FROM events WHERE user_id NOT IN
 (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100)""")
 def stream_unseen(spark, d):

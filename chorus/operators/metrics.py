@@ -120,13 +120,18 @@ def error_extremes(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def one_vs_rest(pred: DataFrame, probabilities: Mapping[str, str], by: Sequence[str] = (),
                 truth: str = "y_true") -> DataFrame:
-    """Positives and negatives per group, class and distinct score."""
+    """Positives and negatives per group, class and distinct score.
+
+    Rows without a score, or with NaN, count neither as positive nor as negative; a class
+    that has no other rows keeps one row of zeros, so that its area is undefined.
+    """
     rows = pred.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("class"), F.col(p).alias("score"),
+        F.struct(F.lit(c).alias("class"), F.when(~F.isnan(p), F.col(p)).alias("score"),
                  (F.col(truth) == c).alias("hit")) for c, p in probabilities.items()
     ])).alias("r")).select(*by, "r.*")
+    there = F.col("score").isNotNull()
     return rows.groupBy(*by, "class", "score").agg(
-        F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
+        F.count_if(there & F.col("hit")).alias("pos"), F.count_if(there & ~F.col("hit")).alias("neg"))
 
 
 def _ranked(points: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -157,7 +162,7 @@ def roc_curve(points: DataFrame, by: Sequence[str] = (), digits: int = 6) -> Dat
     """
     rate = lambda w: F.round(F.try_divide(
         F.col(f"total_{w}") - F.col(f"before_{w}"), F.col(f"total_{w}")), digits)
-    curve = _ranked(points, by).select(
+    curve = _ranked(points.filter(F.col("score").isNotNull()), by).select(
         *by, "class", F.round("score", digits).alias("threshold"),
         rate("pos").alias("tpr"), rate("neg").alias("fpr"))
     start = points.select(*by, "class").distinct().withColumns({

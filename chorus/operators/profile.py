@@ -49,9 +49,14 @@ def null_profile(df: DataFrame) -> DataFrame:
         for c in df.columns])).alias("r")).select("r.*")
 
 
+def _present(value: str) -> Column:
+    """The value, null if it is NaN."""
+    return F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
+
+
 def numeric_summary(df: DataFrame, by: Sequence[str], value: str, digits: int = 4) -> DataFrame:
     """Size, mean, median and sample deviation per group; NaN counts as missing."""
-    there = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
+    there = _present(value)
     base = df.groupBy(*by).agg(F.round(F.avg(there), digits).alias("mean"),
                                F.round(F.stddev_samp(there), digits).alias("std"))
     middle = linear_percentiles(value_counts(df, by, value), by, value, {"median": 50})
@@ -65,9 +70,9 @@ def month(ts: str) -> Column:
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Counts of equal-width bins from the minimum to the maximum, all bins listed.
 
-    The last bin is closed on the right.
+    The last bin is closed on the right. Missing values and NaN are in no bin.
     """
-    spark = df.sparkSession
+    spark, df = df.sparkSession, df.select(_present(value).alias(value))
     limits = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("r"))
     with_limits = df.filter(F.col(value).isNotNull()).withColumn("_r", limits.scalar())
     lo, hi = F.col("_r.lo"), F.col("_r.hi")
@@ -97,7 +102,11 @@ def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def binned_trend(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
-    """Mean of ``y`` over equal-width bins of ``x``: the trend of one on the other."""
+    """Mean of ``y`` over equal-width bins of ``x``: the trend of one on the other.
+
+    Rows in which one of the two is missing or NaN take no part.
+    """
+    df = df.select(_present(x).alias(x), _present(y).alias(y))
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     limits = both.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("r"))
     lo, hi = F.col("_r.lo"), F.col("_r.hi")

@@ -32,10 +32,14 @@ def key_digest(key: Column) -> Column:
     return F.sha2(key.cast("string"), 256)
 
 
-def _winners(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """(_digest, order) of the first row of each key; rows without a key have their own."""
-    digest = F.coalesce(key_digest(key), F.concat(F.lit("row "), F.col(order).cast("string")))
-    return df.groupBy(digest.alias("_digest")).agg(F.min(order).alias(order))
+#: How the digest of a row without a key begins.
+KEYLESS = "row "
+
+
+def winners(df: DataFrame, key: Column, order: str) -> DataFrame:
+    """(digest, order) of the first row of each key; rows without a key have their own."""
+    digest = F.coalesce(key_digest(key), F.concat(F.lit(KEYLESS), F.col(order).cast("string")))
+    return df.groupBy(digest.alias("digest")).agg(F.min(order).alias(order))
 
 
 def first_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
@@ -45,7 +49,7 @@ def first_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
     column are aggregated, and copies collapse before the shuffle, so a key
     held by a large share of the rows costs no more than any other.
     """
-    return df.join(_winners(df, key, order).select(order), order, "left_semi")
+    return df.join(winners(df, key, order).select(order), order, "left_semi")
 
 
 def insert_if_absent(new: DataFrame, target: DataFrame, key: str, order: str) -> DataFrame:
@@ -54,9 +58,9 @@ def insert_if_absent(new: DataFrame, target: DataFrame, key: str, order: str) ->
     Digests of the new keys meet digests of the stored ones; the rows themselves
     are joined once, with the order values that stay.
     """
-    stored = target.select(key_digest(F.col(key)).alias("_digest"))
-    fresh = _winners(new, F.col(key), order).join(
-        stored.filter(F.col("_digest").isNotNull()).distinct(), "_digest", "left_anti")
+    stored = target.select(key_digest(F.col(key)).alias("digest"))
+    fresh = winners(new, F.col(key), order).join(
+        stored.filter(F.col("digest").isNotNull()).distinct(), "digest", "left_anti")
     return new.join(fresh.select(order), order, "left_semi")
 
 

@@ -10,10 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from chorus.sources import posts
-from chorus.workspace import apply_settings, shared_dir
+from chorus.streaming import keystore
+from chorus.workspace import apply_settings, shared_dir, stage
+
+SKETCH = 800  # of the quantiles: ranks within half a percent
+HLL_BITS = 14  # of the distinct counts: within some two percent
 
 # Keyed state on disk instead of in executor memory.
 STATE_STORE = {
@@ -58,26 +62,44 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def insert_stream(stream: DataFrame, path: str, checkpoint: str, key: str, order: str) -> None:
+def insert_stream(stream: DataFrame, path: str, checkpoint: str, key: str, order: str,
+                  buckets: int = keystore.BUCKETS, merge_every: int = keystore.MERGE_EVERY) -> None:
     """Insert posts whose key the table does not hold yet, the first writer wins.
 
     The whole table is the memory: no watermark, no row is ever too late. Copies
-    inside a batch collapse before the shuffle. A repeated batch ignores and
-    overwrites what its first attempt wrote.
+    inside a batch collapse before the shuffle. What the table holds is looked up in
+    an index of its keys next to it, in the buckets the keys of the batch fall into.
+    A repeated batch ignores and overwrites what its first attempt wrote.
     """
-    spark = stream.sparkSession
+    index = keystore.KeyIndex(stream.sparkSession, f"{path}-keys", buckets, merge_every)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = spark.read.schema(f"{key} {batch.schema[key].dataType.simpleString()}, batch bigint")
-        fresh = posts.insert_if_absent(
-            batch, target.parquet(path).filter(F.col("batch") != batch_id), key, order)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
+        index.log.merge(batch_id)
+        new = stage(posts.winners(batch, F.col(key), order), "stream-keys")
+        keyed = new.filter(~F.startswith("digest", F.lit(posts.KEYLESS)))
+        known = index.known(keyed, batch_id)
+        fresh = stage(new.join(known, "digest", "left_anti"), "stream-fresh")
+        batch.join(fresh.select(order), order, "left_semi").write.mode("overwrite").parquet(
+            f"{path}/batch={batch_id}")
+        index.add(fresh.filter(~F.startswith("digest", F.lit(posts.KEYLESS))), batch_id)
+
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(
+        f"{path}/batch=-1")
     (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
 
 
+def write_changes(stream: DataFrame, log: keystore.BatchLog, checkpoint: str, mode: str = "update",
+                  work: Callable[[DataFrame, int], DataFrame] = lambda df, batch_id: df) -> None:
+    """Write each micro-batch, after ``work``, to a log that is merged as it grows."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        log.merge(batch_id)
+        log.write(work(batch, batch_id), batch_id)
+
+    (stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
 def latest(spark: SparkSession, path: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Current value per key of a change log written in update mode."""
     changes = spark.read.parquet(path)
@@ -92,12 +114,66 @@ def run_to_table(stream: DataFrame, purpose: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def change_log(spark: SparkSession, path: str, columns: T.StructType, keys: Sequence[str],
+               values: Sequence[str], merge_every: int = keystore.MERGE_EVERY) -> keystore.BatchLog:
+    """Log of the values of keys; merging keeps the newest of each key."""
+    kinds = T.StructType([*[columns[c] for c in [*keys, *values]], T.StructField("version", T.LongType())])
+    return keystore.BatchLog(spark, path, kinds, keystore.latest_of(keys, values), merge_every=merge_every)
+
+
 def run_to_latest(stream: DataFrame, purpose: str, keys: Sequence[str],
                   values: Sequence[str]) -> DataFrame:
+    """Run a stream in update mode and return the newest values of each key."""
     spark = stream.sparkSession
-    path = shared_dir(spark, purpose)
-    write_batches(stream, path, shared_dir(spark, f"{purpose}-checkpoint"), mode="update")
-    return latest(spark, path, keys, values)
+    log = change_log(spark, shared_dir(spark, purpose), stream.schema, keys, values)
+    write_changes(stream, log, shared_dir(spark, f"{purpose}-checkpoint"),
+                  work=lambda batch, batch_id: batch.withColumn("version", F.lit(batch_id)))
+    return log.combine(log.read()).drop("version")
+
+
+def summaries(keys: Sequence[str]) -> tuple[str, Callable[[DataFrame], DataFrame]]:
+    """Columns and merging of running statistics with sketches, see :func:`summarised`."""
+    columns = ", ".join([*[f"{k} string" for k in keys],
+                         "requests bigint, total double, times binary, people binary"])
+
+    def combine(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(
+            F.sum("requests").alias("requests"), F.sum("total").alias("total"),
+            F.kll_merge_agg_double("times", SKETCH).alias("times"),
+            F.hll_union_agg("people").alias("people"))
+
+    return columns, combine
+
+
+def summarised(batch: DataFrame, keys: Sequence[str], latency: str, person: str) -> DataFrame:
+    """Count, sum, and mergeable sketches of the latencies and of the distinct people, per key."""
+    value = F.col(latency).cast("double")
+    return batch.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("requests"), F.sum(value).alias("total"),
+        F.kll_sketch_agg_double(F.when(~F.isnan(value), value), SKETCH).alias("times"),
+        F.hll_sketch_agg(F.col(person).cast("string"), HLL_BITS).alias("people"))
+
+
+def running_figures(summary: DataFrame, keys: Sequence[str],
+                    percents: Sequence[int] = (50, 95, 99)) -> DataFrame:
+    """Requests, mean, percentiles and distinct people from merged summaries."""
+    return summary.select(
+        *keys, "requests", mean_latency(F.col("total"), F.col("requests")).alias("mean"),
+        *[F.when(F.kll_sketch_get_n_double("times") > 0,
+                 F.kll_sketch_get_quantile_double("times", F.lit(p / 100.0))).alias(f"p{p}")
+          for p in percents],
+        F.hll_sketch_estimate("people").alias("people"))
+
+
+def run_to_summary(stream: DataFrame, purpose: str, keys: Sequence[str], latency: str, person: str,
+                   merge_every: int = keystore.MERGE_EVERY) -> DataFrame:
+    """Running figures of a whole stream; each micro-batch only adds its own summary."""
+    spark = stream.sparkSession
+    columns, combine = summaries(keys)
+    log = keystore.BatchLog(spark, shared_dir(spark, purpose), columns, combine, merge_every=merge_every)
+    write_changes(stream, log, shared_dir(spark, f"{purpose}-checkpoint"), "append",
+                  lambda batch, _: summarised(batch, keys, latency, person))
+    return running_figures(combine(log.read()), keys)
 
 
 def deduplicate(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:

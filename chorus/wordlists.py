@@ -122,3 +122,22 @@ def _named(*blocks: tuple[int, int]) -> dict[str, str]:
 
 
 EMOJI_NAMES = _named(*EMOJI_BLOCKS)
+
+# Words that turn, strengthen or weaken the sentiment of the words after them.
+NEGATIONS = (
+    "ain", "aren", "cannot", "couldn", "daren", "didn", "doesn", "don", "dont", "hadn", "hasn",
+    "haven", "isn", "mightn", "mustn", "needn", "neither", "never", "no", "nobody", "none", "nope",
+    "nor", "not", "nothing", "nowhere", "oughtn", "rarely", "seldom", "shan", "shouldn", "wasn",
+    "weren", "without", "won", "wouldn",
+)
+BOOSTERS = (
+    "absolutely", "amazingly", "awfully", "completely", "considerably", "decidedly", "deeply",
+    "enormously", "entirely", "especially", "exceptionally", "extremely", "fully", "greatly",
+    "highly", "hugely", "incredibly", "intensely", "majorly", "more", "most", "particularly",
+    "purely", "quite", "really", "remarkably", "so", "substantially", "thoroughly", "totally",
+    "tremendously", "unbelievably", "unusually", "utterly", "very",
+)
+DAMPENERS = (
+    "almost", "barely", "hardly", "kinda", "less", "little", "marginally", "occasionally", "partly",
+    "scarcely", "slightly", "somewhat", "sorta",
+)

@@ -19,6 +19,10 @@ SESSION_SETTINGS = {
 }
 
 
+#: Folders made for local applications that name none; the setting itself is fixed at their start.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def local_session(cores: int | str = "*", app: str = "chorus") -> SparkSession:
     """A local session for tests and measurements."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -54,12 +58,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
     A machine-local folder is only used on a local master with no setting.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="chorus-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if context.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="chorus-")
+        root = _LOCAL_FOLDERS[context.applicationId]
     return f"{root.rstrip('/')}/chorus/{purpose}-{uuid.uuid4().hex}"
 
 

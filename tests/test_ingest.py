@@ -102,3 +102,17 @@ def test_csv_keeps_every_text(spark):
     tables.write_csv(rows, path)
     back = tables.read_csv(spark, path, rows.schema)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+@pytest.mark.parametrize("meta, want", [
+    (None, '{"k":"v"}'), ("{}", '{"k":"v"}'), ('{"a":1,"a":2}', '{"a":1,"a":2,"k":"v"}'),
+    ('{"k": "", "a": 1e400}', '{"k":"v", "a": 1e400}'),
+    ('{"a": 12345678901234567890123456789012345678901234, "k" : null }',
+     '{"a": 12345678901234567890123456789012345678901234, "k" :"v"}'),
+    ('{"a": 1.0, "b": {"k": ""}, "c": ["k", {"k": 1}]}',
+     '{"a": 1.0, "b": {"k": ""}, "c": ["k", {"k": 1}],"k":"v"}'),
+    ('{"x": "k", "k": {"deep": [1, {"k": 2}]}, "y": "a\\"b,}"}', '{"x": "k", "k":"v", "y": "a\\"b,}"}'),
+    ('{"k":"","b":2,"k":""}', '{"k":"v","b":2,"k":"v"}'), ("[1]", "[1]"), ("no json", "no json"), ("", "")])
+def test_only_the_value_of_the_key_is_replaced(spark, meta, want):
+    row = spark.createDataFrame([(meta,)], "m string")
+    assert row.select(jsonmeta.set_field(F.col("m"), "k", "v")).first()[0] == want

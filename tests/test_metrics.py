@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chorus.operators import compare, metrics
+from chorus.operators import compare, metrics, profile
 
 CLASSES = ("Negative", "Neutral", "Positive")
 
@@ -127,3 +127,24 @@ def test_golden_types(results):
         (t["Classical ML"].accuracy_mean, t["Classical ML"].f1_macro_mean) == (0.8791, 0.8587)
     assert t["Ensemble"].accuracy_mean in (0.7429, 0.7430) and t["Ensemble"].f1_macro_mean == 0.6985
     assert t["Transformer"].accuracy_std is None
+
+
+def test_scores_that_are_missing_or_nan_take_no_part(spark):
+    nan = float("nan")
+    rows = [("a", 0.9, 0.1), ("a", nan, 0.4), ("b", 0.2, None), ("b", 0.6, 0.7), ("a", None, nan)]
+    pred = spark.createDataFrame(rows, "y_true string, pa double, pb double")
+    points = metrics.one_vs_rest(pred, {"a": "pa", "b": "pb"})
+    auc = {r["class"]: r.auc for r in metrics.roc_auc(points).collect()}
+    assert auc == {"a": 1.0, "b": 1.0}
+    assert all(r.tpr is not None for r in metrics.roc_curve(points).collect())
+    none = metrics.one_vs_rest(pred.withColumn("pa", F.lit(nan)), {"a": "pa", "b": "pb"})
+    assert metrics.macro_auc(metrics.roc_auc(none)).first()[0] is None
+
+
+def test_nan_is_in_no_bin_and_no_trend(spark):
+    nan = float("nan")
+    rows = [(float(i), 2.0 * i) for i in range(10)] + [(nan, 1.0), (3.0, nan), (None, 2.0)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    bins = {r.bin: (r.n, r.low) for r in profile.histogram(df, "x", 3).collect()}
+    assert bins == {0: (3, 0.0), 1: (4, 3.0), 2: (4, 6.0)}
+    assert sum(r.n for r in profile.binned_trend(df, "x", "y", 3).collect()) == 10
