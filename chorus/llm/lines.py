@@ -110,7 +110,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _candidates(first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, h2, first, words) of the lines that share a half with another line, staged."""
+    """(h, h2, first, words, keys) of the lines that share a half with another line, staged.
+
+    ``keys`` are the hash of the line and those of its variants, one word less each.
+    """
     long = first.filter(F.col("n") >= LEAST_WORDS)
     halves = long.select("h", "h2", F.explode("halves").alias("half"))
     shared = stage(halves.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1")
@@ -130,18 +133,16 @@ def _candidates(first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -
              .select("first", "words", F.xxhash64("words").alias("h"),
                      F.xxhash64(F.lit("second"), F.col("words")).alias("h2")))
     # Rows with equal id and text are one document.
-    return stage(found.groupBy("h", "h2").agg(F.min("first").alias("first"),
-                                              F.first("words").alias("words")), "line-candidates")
+    lines = found.groupBy("h", "h2").agg(F.min("first").alias("first"), F.first("words").alias("words"))
+    keys = F.transform(F.sequence(F.lit(0), F.size("words") - 1),
+                       lambda at: F.xxhash64(_without(F.col("words"), at)))
+    return stage(lines.withColumn("keys", F.concat(F.array("h"), keys)), "line-candidates")
 
 
 def _near(lines: DataFrame) -> DataFrame:
     """(h, h2) of the candidates with an earlier line one word apart, verified."""
-    at = F.explode(F.sequence(F.lit(0), F.size("words") - 1))
-    variants = (lines.select("h", "h2", "first", "words", at.alias("at"))
-                .select("h", "h2", "first", "at",
-                        F.xxhash64(_without(F.col("words"), F.col("at"))).alias("key")))
-    itself = lines.select("h", "h2", "first", F.lit(-1).alias("at"), F.col("h").alias("key"))
-    every = variants.unionByName(itself)
+    every = (lines.select("h", "h2", "first", F.posexplode("keys").alias("at", "key"))
+             .select("h", "h2", "first", (F.col("at") - 1).alias("at"), "key"))  # -1: the line itself
     twice = stage(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"),
                   "line-keys")
     emitted = stage(_maybe(every, F.col("key"), twice), "line-variants")
