@@ -215,7 +215,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Only labelled rows outside the test fold are used. The share of rows taken
     follows from the count of each language, so the sample is bounded at any
-    size; the driver receives at most ``2 * rows * chars`` characters a language.
+    size; the driver receives some ``2 * rows * chars`` characters a language. Of a longer
+    text a window of ``chars`` characters is read, at a place chosen by a hash over the
+    whole text; equal windows count once.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
                            & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -228,12 +230,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         share = F.lit(0.0)
         for lang, n in counts.items():
             share = F.when(F.col("lang") == lang, float(1.5 * rows / n)).otherwise(share)
+        places = F.greatest(F.length("t") - chars, F.lit(0)) + 1
+        start = F.pmod(F.xxhash64(F.lit("window"), "u"), places) + 1
         chosen = (labelled.filter(F.col("u") < share)
-                  .select("lang", "u", F.substring("t", 1, chars).alias("t")))
+                  .select("lang", "u", F.substring("t", start.cast("int"), chars).alias("t")))
         taken: dict[str, list] = {}
         for r in chosen.toLocalIterator():
             taken.setdefault(r["lang"], []).append((r["u"], r["t"]))
-        samples = {lang: [t for _, t in sorted(x)[:rows]] for lang, x in taken.items()}
+        samples = {lang: list(dict.fromkeys(t for _, t in sorted(x)))[:rows]
+                   for lang, x in taken.items()}
     return Model(samples)
 
 

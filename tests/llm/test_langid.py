@@ -85,3 +85,14 @@ def test_number_heavy_texts_stay_and_alien_texts_go(frame):
     assert all(len(t) > 400 for t in tables)
     kept = {r.doc_id for r in langid.known_language(docs, model).collect()}
     assert kept == set(range(33))
+
+
+def test_a_shared_opening_does_not_fill_the_sample(frame, prose):
+    """Texts that all open alike are learnt from their whole length."""
+    opening = "shared notice in another tongue " * 20
+    docs = frame([opening + prose(400, i) for i in range(60)])
+    fitted = langid.fit(docs, rows=40, chars=300)
+    text = prose(60, 999)
+    plain = langid.Model({"en": [opening]})
+    rate = lambda model: model.predict([text])[2][0]
+    assert rate(fitted) < 0.8 * rate(plain)
