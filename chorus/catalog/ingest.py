@@ -56,8 +56,7 @@ SELECT source, count(*) AS received, count(*) FILTER (rn = 1) AS inserted,
   count(*) FILTER (rn > 1) AS duplicates FROM fresh GROUP BY source""")
 def ingest_counts(spark, d):
     new = load(spark, d, "documents").select("doc_id", "source", "text")
-    kept = posts.first_per_key(new, F.col("text"), "doc_id")
-    return posts.ingest_counts(new, kept, ["source"])
+    return posts.count_ingest(new, F.col("text"), "doc_id", "source")
 
 
 @query("""SELECT c.conv_id, c.turn, c.role AS emotion, CAST(length(c.text) AS VARCHAR) AS strength,
@@ -167,14 +166,21 @@ def recent_entries(spark, d):
 @query("""SELECT 'youtube_' || conv_id || '_' || turn AS post_id, left(text, 1000) AS text,
   coalesce(nullif(role, 'system'), 'Unknown') AS author,
   'https://www.youtube.com/watch?v=' || conv_id AS url, 'India' AS location,
-  '{"video_id":"' || conv_id || '","category":"' || role || '"}' AS metadata
+  '{"video_id":"' || conv_id || '","category":"' || role || '"}' AS metadata, 'youtube' AS source,
+  strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id % 1000 AS INTEGER))
+    + to_seconds(CAST(turn % 60 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS created_date,
+  CAST(turn % 7 AS INTEGER) AS likes, 0 AS comments_count, 0 AS shares
 FROM conversations WHERE length(text) >= 20""")
 def comment_normalize(spark, d):
-    return collector.shape_comments(
+    shaped = collector.shape_comments(
         load(spark, d, "conversations"),
         F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")),
         F.col("conv_id"), F.nullif(F.col("role"), F.lit("system")),
-        {"video_id": F.col("conv_id").cast("string"), "category": F.col("role")})
+        {"video_id": F.col("conv_id").cast("string"), "category": F.col("role")},
+        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") % 1000 * 60 + F.col("turn") % 60),
+        F.col("turn") % 7)
+    return shaped.withColumnRenamed("platform_metadata", "metadata").withColumn(
+        "created_date", F.date_format("created_date", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("""WITH videos AS (SELECT conv_id, count(*) FILTER (role = 'user') AS comment_count

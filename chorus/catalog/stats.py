@@ -8,10 +8,12 @@ from chorus.catalog.derive import EVENT_POSTS, SQL_SPACES, event_posts
 from chorus.catalog.features import LEXICON, learnt_lexicon
 from chorus.catalog.ingest import PROCESSED, flagged_documents
 from chorus.catalog.registry import query
+from chorus.catalog.text import TOKENS
 from chorus.functions import jsonmeta
-from chorus.operators import lexicon, ordering, profile, quality, requestlog, split
+from chorus.operators import lexicon, ordering, profile, quality, requestlog, sequences, split
 from chorus.sources import posts
-from chorus.sources.tables import load
+from chorus.sources.tables import load, write_splits
+from chorus.workspace import shared_dir
 
 LANGS = ("de", "en", "es", "fr")
 KINDS = ("click", "error", "purchase", "signup", "view")
@@ -199,9 +201,10 @@ def split_quality(spark, d):
 @query(f"""WITH {SPLIT} SELECT split, count(*) AS n, count(DISTINCT parts.lang) AS classes,
   CAST(sum(n_chars) AS BIGINT) AS chars FROM parts JOIN documents USING (doc_id) GROUP BY split""")
 def split_union(spark, d):
-    """Three split frames put together again, each with its name."""
-    parts = split_documents(spark, d, "n_chars")
-    named = [parts.filter(F.col("split") == s).drop("split").withColumn("split", F.lit(s))
+    """The three written split folders put together again, each with its name."""
+    path = shared_dir(spark, "split-folders")
+    write_splits(split_documents(spark, d, "n_chars"), path)
+    named = [spark.read.parquet(f"{path}/split={s}").withColumn("split", F.lit(s))
              for s in ("train", "val", "test")]
     both = named[0].unionByName(named[1]).unionByName(named[2])
     return both.groupBy("split").agg(
@@ -209,6 +212,26 @@ def split_union(spark, d):
         F.sum("n_chars").alias("chars"))
 
 
+@query(f"""WITH {SPLIT}, t AS (SELECT doc_id, {TOKENS} AS w FROM documents),
+  known AS (SELECT count(DISTINCT word) AS words FROM (SELECT unnest(w) AS word FROM t))
+SELECT split, count(*) AS n, CAST(sum(least(len(w), 128)) AS BIGINT) AS tokens, 128 AS width,
+  any_value(words) AS words FROM parts JOIN t USING (doc_id), known GROUP BY split""")
+def seq_dataset(spark, d):
+    """Encoded documents of each split and their vocabulary, written and read back."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    vocab = sequences.vocabulary(docs, "text")
+    coded = sequences.encode(docs, "doc_id", "text", vocab, length=128)
+    path = shared_dir(spark, "encoded-dataset")
+    sequences.save_dataset(coded.join(split_documents(spark, d).select("doc_id", "split"), "doc_id"),
+                           vocab, path)
+    rows, words = sequences.load_dataset(spark, path)
+    kept = F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b)
+    return rows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(kept).cast("bigint").alias("tokens"),
+        F.max(F.size("input_ids")).alias("width")).withColumn(
+        "words", words.agg(F.count(F.lit(1))).scalar())
+
+
 @query("""SELECT doc_id, source, n_chars FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50""")
 def seeded_sample(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "source", "n_chars")
@@ -245,6 +268,15 @@ def index_percentile(spark, d):
                                         {"p50": 50, "p95": 95, "p99": 99})
 
 
+@query("""SELECT conv_id % 40 AS batch, count(*) AS size, count(*) BETWEEN 1 AND 100 AS valid
+FROM conversations GROUP BY ALL""")
+def batch_validity(spark, d):
+    """Turns in batches by conversation: whether a batch holds an allowed number of texts."""
+    batches = load(spark, d, "conversations").groupBy((F.col("conv_id") % 40).alias("batch")).agg(
+        F.count(F.lit(1)).alias("size"))
+    return batches.withColumn("valid", quality.valid_batches(batches, "size"))
+
+
 @query(f"""WITH v AS (SELECT conv_id, turn, CASE WHEN text IS NULL THEN 'missing'
     WHEN text = '' THEN 'empty' WHEN length(text) > 5000 THEN 'too long'
     WHEN regexp_replace(text, '[{SQL_SPACES}]+', '', 'g') = '' THEN 'blank' END AS reason FROM (

@@ -116,6 +116,23 @@ def model_roundtrip(spark, d):
                    & (F.abs(F.col("confidence") - F.col("confidence_again")) < 1e-9)).alias("equal"))
 
 
+@query("SELECT count(*) AS rows, count(*) AS equal, true AS best FROM documents")
+def best_model(spark, d):
+    """The best of all trainers on the test rows is saved, loaded and scores raw texts alike."""
+    f = features(spark, d)
+    results = stage(compare.collect_results(*[_trained(spark, d, name) for name in TRAINERS]), "results")
+    path = shared_dir(spark, "best-model")
+    name = models.keep_best(results, {n: fitted(spark, d, n) for n in TRAINERS}, f, "text", path)
+    texts = load(spark, d, "documents").select("doc_id", "text")
+    again = PipelineModel.load(f"{path}/{name}").transform(texts).select("doc_id", F.col("y_pred").alias("again"))
+    first = models.predict(fitted(spark, d, name), f.table, f.classes).select("doc_id", "y_pred")
+    test = results.filter(F.col("split") == "test")
+    top = test.filter(F.col("model") == name).agg(F.max("f1_macro")).scalar()
+    return texts.select("doc_id").join(first, "doc_id").join(again, "doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("y_pred") == F.col("again")).alias("equal")
+    ).withColumn("best", top == test.agg(F.max("f1_macro")).scalar())
+
+
 SPLIT = """ranked AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang
     ORDER BY md5('42:' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents),
 parted AS (SELECT doc_id, lang, text, CASE WHEN rn <= (n * 80) // 100 THEN 'train'

@@ -2,16 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-
-@dataclass(frozen=True)
-class SplitConfig:
-    """Shares of the stratified split, in whole percent, and its seed."""
-
-    train_pct: int = 80
-    val_pct: int = 10
-    seed: int = 42
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -86,25 +77,8 @@ class CommentConfig:
 
     min_chars: int = 20
     max_chars: int = 1000
+    source: str = "youtube"
     key_prefix: str = "youtube_"
     location: str = "India"
     default_author: str = "Unknown"
     url_prefix: str = "https://www.youtube.com/watch?v="
-
-
-@dataclass(frozen=True)
-class Config:
-    split: SplitConfig = field(default_factory=SplitConfig)
-    tfidf: TfidfConfig = field(default_factory=TfidfConfig)
-    logreg: LogRegConfig = field(default_factory=LogRegConfig)
-    forest: ForestConfig = field(default_factory=ForestConfig)
-    boost: BoostConfig = field(default_factory=BoostConfig)
-    svm: SvmConfig = field(default_factory=SvmConfig)
-    word2vec: Word2VecConfig = field(default_factory=Word2VecConfig)
-    requests: RequestConfig = field(default_factory=RequestConfig)
-    comments: CommentConfig = field(default_factory=CommentConfig)
-    sequence_length: int = 512
-    top_errors: int = 10
-
-
-DEFAULTS = Config()

@@ -59,7 +59,8 @@ def numeric_summary(df: DataFrame, by: Sequence[str], value: str, digits: int =
     there = _present(value)
     base = df.groupBy(*by).agg(F.round(F.avg(there), digits).alias("mean"),
                                F.round(F.stddev_samp(there), digits).alias("std"))
-    middle = linear_percentiles(value_counts(df, by, value), by, value, {"median": 50})
+    counts = stage(value_counts(df, by, value), "value-counts")
+    middle = linear_percentiles(counts, by, value, {"median": 50})
     return null_safe_join(base, middle, by).withColumn("median", F.round("median", digits))
 
 
@@ -88,7 +89,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers within 1.5 quartile ranges, and rows outside them."""
-    counts = value_counts(df, by, value)
+    counts = stage(value_counts(df, by, value), "value-counts")
     box = linear_percentiles(counts, by, value, {"q1": 25, "median": 50, "q3": 75})
     spread = F.col("q3") - F.col("q1")
     fences = stage(box.withColumns({"_low": F.col("q1") - 1.5 * spread,

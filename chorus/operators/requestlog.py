@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chorus.operators.ordering import null_safe_join, order_statistics, value_counts
+from chorus.workspace import stage
 
 
 def index_position(percent: int) -> Column:
@@ -17,7 +18,7 @@ def index_position(percent: int) -> Column:
 def index_percentiles(df: DataFrame, by: Sequence[str], value: str,
                       percents: Mapping[str, int]) -> DataFrame:
     """The value at the percentile's place in sorted order, per group."""
-    return order_statistics(value_counts(df, by, value), by, value,
+    return order_statistics(stage(value_counts(df, by, value), "value-counts"), by, value,
                             {name: index_position(p) for name, p in percents.items()})
 
 
@@ -38,7 +39,8 @@ def latency_stats(log: DataFrame, by: Sequence[str], latency: str, failed: Colum
         F.round(F.coalesce(F.try_divide(F.sum("_ok"), F.count("_ok")), F.lit(0.0)), 4).alias("mean"),
         F.min("_ok").alias("min"), F.max("_ok").alias("max"))
     n = F.col("n")
-    places = order_statistics(value_counts(marked, by, "_ok"), by, "_ok", {
+    counts = stage(value_counts(marked, by, "_ok"), "value-counts")
+    places = order_statistics(counts, by, "_ok", {
         "_m1": F.floor((n - 1) / 2), "_m2": F.floor(n / 2),
         "p95": index_position(95), "p99": index_position(99)})
     return null_safe_join(base, places.drop("n"), by, "left").withColumn(

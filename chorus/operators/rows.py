@@ -27,15 +27,11 @@ def drop_where(df: DataFrame, column: str, unwanted: Column) -> DataFrame:
     return once.filter(~unwanted).select(*df.columns)
 
 
-def place(df: DataFrame, key: str, bytes_per_part: int = 4 << 20) -> DataFrame:
+def place(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition on a key before rows are multiplied.
 
-    Between one partition per core and ``spark.sql.shuffle.partitions``, by the
-    size of the scanned files: adaptive execution would size the partitions by
-    what is shuffled and not by what each row grows to afterwards.
+    Into ``spark.sql.shuffle.partitions`` parts: adaptive execution would size them by what
+    is shuffled and not by what each row grows to afterwards.
     """
-    spark = df.sparkSession
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    wanted = max(spark.sparkContext.defaultParallelism, scanned // bytes_per_part)
-    return df.repartition(min(wanted, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chorus.functions import text as tx
 from chorus.operators.ordering import dense_row_ids, value_counts
@@ -36,6 +36,17 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
     return stage(numbered.select("word", F.col("id").cast("int").alias("id")), "vocabulary")
 
 
+def save_dataset(encoded: DataFrame, vocab: DataFrame, path: str, split: str = "split") -> None:
+    """Write an encoded dataset, a folder per split, with the vocabulary it was encoded by."""
+    encoded.write.partitionBy(split).parquet(f"{path}/rows")
+    vocab.write.parquet(f"{path}/vocabulary")
+
+
+def load_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The encoded rows with their split, and the vocabulary."""
+    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/vocabulary")
+
+
 def encode(df: DataFrame, id_col: str, text: str, vocab: DataFrame, length: int,
            unknown_id: int = 0) -> DataFrame:
     """Id sequence and attention mask of exactly ``length`` places per row."""

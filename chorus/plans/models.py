@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model, PipelineModel
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from chorus.config import (BoostConfig, ForestConfig, LogRegConfig, SvmConfig, TfidfConfig,
                            Word2VecConfig)
 from chorus.functions import scores
-from chorus.operators import labels, metrics, tfidf
+from chorus.operators import compare, labels, metrics, tfidf
 from chorus.operators.split import stratified_split
 from chorus.plans import stages
 from chorus.plans.boosting import SoftmaxBoosting
@@ -178,6 +178,15 @@ def scoring_pipeline(model: Model, features: Features, text: str) -> PipelineMod
         model, stages.ClassNames(classes=list(features.classes))])
 
 
+def keep_best(results: DataFrame, fitted: Mapping[str, Model], features: Features, text: str,
+              path: str, metric: str = "f1_macro") -> str:
+    """Save the scoring pipeline of the model with the best test figure; returns its name."""
+    tested = results.filter(F.col("split") == "test")
+    best = compare.leaderboard(tested, metric).filter("rank = 1").first()["model"]
+    scoring_pipeline(fitted[best], features, text).write().overwrite().save(f"{path}/{best}")
+    return best
+
+
 def score_texts(model: Model, features: Features, texts: DataFrame, text: str,
                 id_col: str) -> DataFrame:
     """Class, class id, probability per class and confidence of new texts."""

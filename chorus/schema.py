@@ -1,12 +1,9 @@
-"""Table schemas and the class names used across the library."""
+"""Table schemas used across the library."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-SENTIMENT_CLASSES = ("Negative", "Neutral", "Positive")
-LANGUAGE_CLASSES = ("Code-Mixed", "English", "Hindi", "Unknown")
-
 
 def _fields(*specs: tuple[str, T.DataType, bool]) -> T.StructType:
     return T.StructType([T.StructField(n, t, nullable) for n, t, nullable in specs])
@@ -36,11 +33,3 @@ COLLECTION_STATS = _fields(
     ("source", _S, True), ("collection_date", _DATE, True), ("posts_collected", _L, True),
     ("errors_count", _L, True), ("collection_duration_seconds", _D, True), ("notes", _S, True),
 )
-
-EXPORT_COLUMNS = (
-    "id", "post_id", "text", "author", "created_date", "url", "likes",
-    "comments_count", "collected_date",
-)
-
-SCORING_REQUEST = _fields(("request_id", _L, False), ("text", _S, True),
-                          ("return_confidence", _B, True))

@@ -23,16 +23,22 @@ def video_candidates(videos: DataFrame, seen: DataFrame, key: str, comments: str
 
 
 def shape_comments(comments: DataFrame, comment_id: Column, video_id: Column, author: Column,
-                   meta: Mapping[str, Column],
+                   meta: Mapping[str, Column], created: Column, likes: Column,
                    config: CommentConfig = CommentConfig()) -> DataFrame:
-    """Comments long enough to keep, in the shape of a post."""
+    """Comments long enough to keep, as the records that :func:`chorus.sources.posts.append_posts` takes.
+
+    A comment has no comments or shares of its own.
+    """
     return comments.filter(F.length("text") >= config.min_chars).select(
         F.concat(F.lit(config.key_prefix), comment_id).alias("post_id"),
         F.substring("text", 1, config.max_chars).alias("text"),
         F.coalesce(author, F.lit(config.default_author)).alias("author"),
         F.concat(F.lit(config.url_prefix), video_id.cast("string")).alias("url"),
         F.lit(config.location).alias("location"),
-        F.to_json(F.struct(*[c.alias(n) for n, c in meta.items()])).alias("metadata"))
+        F.to_json(F.struct(*[c.alias(n) for n, c in meta.items()])).alias("platform_metadata"),
+        F.lit(config.source).alias("source"), created.alias("created_date"),
+        F.coalesce(likes, F.lit(0)).cast("int").alias("likes"),
+        F.lit(0).alias("comments_count"), F.lit(0).alias("shares"))
 
 
 def take_until(items: DataFrame, by: Sequence[str], order: Sequence[str], size: str,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from chorus import schema
 from chorus.functions import jsonmeta
@@ -73,6 +73,22 @@ def ingest_counts(new: DataFrame, inserted: DataFrame, by: Sequence[str]) -> Dat
         (F.col("received") - F.coalesce("inserted", F.lit(0))).alias("duplicates"))
 
 
+def count_ingest(new: DataFrame, key: Column, order: str, by: str) -> DataFrame:
+    """Received, inserted and duplicate rows per group of ``by``, in one scan.
+
+    Rows are counted per key and group before they are shuffled; the first writer of a key
+    is then the group with its lowest ``order``. Rows without a key are all inserted.
+    """
+    digest = F.coalesce(key_digest(key), F.concat(F.lit(KEYLESS), F.col(order).cast("string")))
+    counts = new.groupBy(digest.alias("_digest"), by).agg(
+        F.count(F.lit(1)).alias("received"), F.min(order).alias("_first"))
+    writers = Window.partitionBy("_digest")
+    won = (F.col("_first") == F.min("_first").over(writers)).cast("bigint")
+    return counts.withColumn("inserted", won).groupBy(by).agg(
+        F.sum("received").alias("received"), F.sum("inserted").alias("inserted"),
+        (F.sum("received") - F.sum("inserted")).alias("duplicates"))
+
+
 def append_posts(spark: SparkSession, new: DataFrame, path: str, order: str) -> DataFrame:
     """Insert new posts into the post table at ``path``; returns what was added.
 

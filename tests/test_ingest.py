@@ -64,11 +64,40 @@ def test_comment_shape(spark):
          ("c3", "v2", "exactly twenty chars", "me")], "cid string, vid string, text string, who string")
     got = {r.post_id: r for r in collector.shape_comments(
         rows, F.col("cid"), F.col("vid"), F.col("who"),
-        {"video_id": F.col("vid"), "category": F.lit("employment")}).collect()}
+        {"video_id": F.col("vid"), "category": F.lit("employment")},
+        F.to_timestamp(F.lit("2024-05-01 10:00:00")), F.when(F.col("who") == "me", 3)).collect()}
     assert set(got) == {"youtube_c2", "youtube_c3"}
     assert len(got["youtube_c2"].text) == 1000 and got["youtube_c2"].author == "Unknown"
     assert got["youtube_c3"].url.endswith("watch?v=v2") and got["youtube_c3"].author == "me"
-    assert got["youtube_c3"].metadata == '{"video_id":"v2","category":"employment"}'
+    assert got["youtube_c3"].platform_metadata == '{"video_id":"v2","category":"employment"}'
+    assert [(r.source, r.likes, r.comments_count, r.shares) for r in
+            (got["youtube_c2"], got["youtube_c3"])] == [("youtube", 0, 0, 0), ("youtube", 3, 0, 0)]
+
+
+def test_shaped_comments_enter_the_post_table(spark):
+    rows = spark.createDataFrame([(i, "v", f"a comment with words {i % 3}", "me") for i in range(9)],
+                                 "cid int, vid string, text string, who string")
+    shaped = collector.shape_comments(
+        rows, F.col("cid").cast("string"), F.col("vid"), F.col("who"), {"video_id": F.col("vid")},
+        F.to_timestamp(F.lit("2024-05-01 10:00:00")), F.lit(1)).withColumn("n", F.col("post_id"))
+    path = tables.create_tables(spark, shared_dir(spark, "shaped"))["raw_posts"]
+    added = posts.append_posts(spark, shaped, path, "n").collect()
+    assert len(added) == 9 and {r.source for r in added} == {"youtube"}
+    assert {r.created_date.day for r in added} == {1} and {r.likes for r in added} == {1}
+    assert posts.append_posts(spark, shaped, path, "n").count() == 0
+
+
+def test_ingest_is_counted_in_one_scan(spark):
+    rows = spark.createDataFrame([(1, "a", "k"), (2, "b", "k"), (3, "a", "k"), (4, "b", "m"), (5, "b", "m"),
+                                  (6, None, "m"), (7, "a", None), (8, "a", None)],
+                                 "id int, source string, key string")
+    counted = posts.count_ingest(rows, F.col("key"), "id", "source")
+    got = {r.source: (r.received, r.inserted, r.duplicates) for r in counted.collect()}
+    assert got == {"a": (4, 3, 1), "b": (3, 1, 2), None: (1, 0, 1)}
+    kept = posts.first_per_key(rows, F.col("key"), "id")
+    again = posts.ingest_counts(rows.fillna("-", ["source"]), kept.fillna("-", ["source"]), ["source"])
+    assert {(r.source, r.received, r.inserted) for r in again.collect()} == {
+        (s or "-", n, i) for s, (n, i, _) in got.items()}
 
 
 def test_requests(spark):
