@@ -11,7 +11,7 @@ from chorus.catalog.registry import query
 from chorus.functions import jsonmeta
 from chorus.operators import ordering
 from chorus.operators.split import stratified_split
-from chorus.sources import collector, posts, tables
+from chorus.sources import collector, csvsplit, posts, tables
 from chorus.sources.tables import load
 from chorus.workspace import shared_dir
 
@@ -39,6 +39,15 @@ def csv_roundtrip(spark, d):
     return tables.read_csv(spark, path, docs.schema)
 
 
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_split_roundtrip(spark, d):
+    """Documents written as CSV and read by tasks that see only a part of a file each."""
+    docs = load(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    path = shared_dir(spark, "csv")
+    tables.write_csv(docs, path)
+    return csvsplit.read_csv(spark, path, docs.schema)
+
+
 @query("""WITH fresh AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn
   FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.text = d.text))

@@ -10,7 +10,7 @@ from chorus.catalog.ingest import PROCESSED, flagged_documents
 from chorus.catalog.registry import query
 from chorus.catalog.text import TOKENS
 from chorus.functions import jsonmeta
-from chorus.operators import lexicon, ordering, profile, quality, requestlog, sequences, split
+from chorus.operators import lexicon, ordering, profile, quality, requestlog, sequences, split, trend
 from chorus.sources import posts
 from chorus.sources.tables import load, write_splits
 from chorus.workspace import shared_dir
@@ -172,6 +172,32 @@ def length_trend(spark, d):
     return profile.binned_trend(both, "n_chars", "vader_compound", 20)
 
 
+@query(f"""WITH j AS (SELECT CAST(n_chars AS DOUBLE) AS x,
+    CAST(len(text) - len(replace(text, ' ', '')) AS DOUBLE) AS y FROM documents),
+  lim AS (SELECT min(x) AS lo, max(x) AS hi FROM j),
+  m AS (SELECT CAST(least(floor((x - lo) / (hi - lo) * {trend.FINE}), {trend.FINE - 1}) AS INTEGER) AS bin,
+    count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy
+    FROM j, lim WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+  e AS (SELECT min(sx / n) AS lo, max(sx / n) AS hi, CAST(sum(n) AS DOUBLE) AS all_n FROM m),
+  near AS (SELECT point, lo + (hi - lo) * point / 19 AS x0, abs(sx / n - (lo + (hi - lo) * point / 19)) AS d,
+    m.*, all_n FROM (SELECT unnest(range(20)) AS point), e, m),
+  placed AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY point ORDER BY d, bin
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < ceil(all_n * (2 / 3)) AS inside FROM near),
+  reach AS (SELECT *, max(CASE WHEN inside THEN d END) OVER (PARTITION BY point) * 1.0000001 AS h FROM placed),
+  w AS (SELECT *, CASE WHEN inside THEN pow(1 - pow(least(coalesce(d / nullif(h, 0), 0), 1), 3), 3)
+    ELSE 0 END AS w FROM reach),
+  s AS (SELECT point, x0, sum(w * n) AS w, sum(w * sx) AS x, sum(w * sy) AS y, sum(w * sxx) AS xx,
+    sum(w * sxy) AS xy FROM w GROUP BY point, x0)
+SELECT CAST(point AS INTEGER) AS point, round(x0, 3) AS "at",
+  round(y / w + (xy / w - x / w * y / w) / (xx / w - x / w * x / w) * (x0 - x / w), 3) AS fitted FROM s""")
+def length_trend_local(spark, d):
+    """Local regression of the number of blanks on the length, over all documents."""
+    docs = load(spark, d, "documents").select(
+        "n_chars", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("blanks"))
+    fitted = trend.local_trend(docs, "n_chars", "blanks")
+    return fitted.select("point", F.round("at", 3).alias("at"), F.round("fitted", 3).alias("fitted"))
+
+
 SPLIT = """ranked AS (SELECT doc_id, lang,
     row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS rn,
     count(*) OVER (PARTITION BY lang) AS n FROM documents),
