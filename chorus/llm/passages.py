@@ -54,6 +54,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTERS = _mixed(np.arange(1, 257, dtype=np.uint64))
 _POWERS = [np.ones(1, np.uint64)]
 
 
@@ -66,19 +67,31 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[0]
 
 
-def hashes_of(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text, from its bytes alone."""
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text and the bytes they start at, from its bytes alone."""
     raw = np.frombuffer(text, np.uint8)
     inside = np.r_[False, ~_WHITE[raw], False]
     start = np.flatnonzero(inside[1:] & ~inside[:-1])
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), start
     length = np.flatnonzero(inside[:-1] & ~inside[1:]) - start
-    place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    letters = raw[inside[1:-1]].astype(np.uint64) + np.uint64(1)
-    sums = np.add.reduceat(_mixed(letters) * _powers(int(length.max()))[place],
-                           np.cumsum(length) - length)
-    return _mixed(_mixed(sums) + length.astype(np.uint64) * _MIX)
+    first = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(first, length)
+    letters = _LETTERS[raw[inside[1:-1]]]
+    sums = np.add.reduceat(letters * _powers(int(length.max()))[place], first)
+    return _mixed(_mixed(sums) + length.astype(np.uint64) * _MIX), start
+
+
+def bundles(texts: list[bytes], most: int = 1 << 18):
+    """Ranges of neighbouring texts of about ``most`` bytes; a longer text is a range of its own."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > most:
+            yield first, i
+            first, size = i, 0
+        size += len(text)
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def runs(h: np.ndarray, most: int, seed: int = 0) -> list[np.ndarray]:
@@ -113,14 +126,24 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return x
 
 
-def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that are the least of some window."""
+def anchors(h: np.ndarray, edges: np.ndarray, window: int = WINDOW,
+            gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the grams that are the least of some window.
+
+    ``edges`` are the words at which texts begin, and the end of the last: a window lies
+    in one text.
+    """
     n = max(0, len(h) - gram + 1)
     grams = spans_hash(runs(h, gram, 1), np.arange(n), np.full(n, gram))
     per_window = window - gram + 1
     if len(h) < window:
         return np.zeros(0, np.int64), grams[:0]
     least = _sliding(grams, per_window, True)
+    across = np.zeros(len(least) + 1, np.int64)
+    inner = edges[1:-1]
+    np.add.at(across, np.clip(inner - window + 1, 0, len(least)), 1)
+    np.add.at(across, np.minimum(inner, len(least)), -1)
+    least[np.cumsum(across[:-1]) > 0] = 0
     fill = np.zeros(per_window - 1, np.uint64)
     most = _sliding(np.concatenate([fill, least, fill]), per_window, False)
     at = np.flatnonzero(most == grams)
@@ -128,20 +151,27 @@ def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.n
 
 
 def _passages(window: int, gram: int):
-    """Passages around the anchors of each text: hashes and places, no words."""
+    """Passages around the anchors of each text: hashes and places, no words.
+
+    Short texts are taken many at a time, so that array steps are not paid for each.
+    """
     def run(batch, _):
         out: dict[str, list] = {k: [] for k in ("doc", "version", "anchor", "p", "start", "length")}
         ids, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            h = hashes_of(text or b"")
-            if len(h) < window:
+        texts = [t or b"" for t in batch.column(2).to_pylist()]
+        for a, z in bundles(texts):
+            h, byte = words_of(b" ".join(texts[a:z]))
+            sizes = np.array([len(t) + 1 for t in texts[a:z]])
+            edges = np.searchsorted(byte, np.r_[0, np.cumsum(sizes)])
+            at, value = anchors(h, edges, window, gram)
+            if not len(at):
                 continue
-            at, value = anchors(h, window, gram)
-            start = np.maximum(at - (window - gram), 0)
-            length = np.minimum(at + window, len(h)) - start
+            text = np.searchsorted(edges, at, side="right") - 1
+            start = np.maximum(at - (window - gram), edges[text])
+            length = np.minimum(at + window, edges[text + 1]) - start
             p = spans_hash(runs(h, int(length.max())), start, length)
-            for k, x in zip(out, (np.full(len(at), ids[i]), np.full(len(at), own[i]),
-                                  value.view(np.int64), p.view(np.int64), start, length)):
+            for k, x in zip(out, (ids[a + text], own[a + text], value.view(np.int64),
+                                  p.view(np.int64), start - edges[text], length)):
                 out[k].append(x)
         return {k: np.concatenate(x) for k, x in out.items()} if out["doc"] else None
     return run
@@ -153,6 +183,7 @@ class Wavelet:
     def __init__(self, symbols: np.ndarray, n_symbols: int):
         self.n, self.levels = len(symbols), max(1, int(n_symbols - 1).bit_length())
         self.words, self.ranks, self.zeros = [], [], []
+        every, base = np.arange(n_symbols), np.zeros(n_symbols, np.int64)
         for level in range(self.levels - 1, -1, -1):
             bit = ((symbols >> level) & 1).astype(bool)
             padded = np.zeros((self.n // 64 + 1) * 64, bool)
@@ -162,7 +193,11 @@ class Wavelet:
             self.ranks.append(np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]
                               .astype(np.int32))
             self.zeros.append(int(self.n - bit.sum()))
+            # Where the run of each symbol begins, one level further down.
+            ones = self._ones(-1, base)
+            base = np.where((every >> level) & 1, self.zeros[-1] + ones, base - ones)
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
+        self.base = base
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         block = at >> 6
@@ -171,14 +206,12 @@ class Wavelet:
 
     def rank(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray):
         """Occurrences of symbols before ``low`` and before ``high``."""
-        base = np.zeros(len(symbol), np.int64)
         for row, level in enumerate(range(self.levels - 1, -1, -1)):
             one = ((symbol >> level) & 1).astype(bool)
-            b, a, z = (self._ones(row, x) for x in (base, low, high))
-            base = np.where(one, self.zeros[row] + b, base - b)
+            a, z = self._ones(row, low), self._ones(row, high)
             low = np.where(one, self.zeros[row] + a, low - a)
             high = np.where(one, self.zeros[row] + z, high - z)
-        return low - base, high - base
+        return low - self.base[symbol], high - self.base[symbol]
 
 
 class FMIndex:
@@ -300,7 +333,7 @@ def _windows(window: int):
     def run(batch, _):
         out: dict[str, list] = {k: [] for k in ("doc", "version", "anchor", "p", "start")}
         for doc, version, text, at in zip(*(c.to_pylist() for c in batch.columns)):
-            h = hashes_of(text)
+            h, _ = words_of(text)
             start = np.unique(np.concatenate([np.arange(x["start"], x["start"] + x["length"] - window + 1)
                                               for x in at]))
             size = np.full(len(start), window)
