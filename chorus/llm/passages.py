@@ -8,18 +8,21 @@ that can hold a match:
 1. anchors: the ``GRAM``-word sequences with the least hash of some window. Equal
    windows have equal anchors, so a match lies inside the passages around a shared
    anchor: ``WINDOW - GRAM`` words to either side;
-2. equal passages collapse, inside each task first, to one with its smallest id.
-   Anchors of a single document go;
-3. an anchor with more than ``HOT`` different passages is replaced by the windows
-   around it, each a passage of its own that meets only equal windows, so the
-   passages of an anchor in a third of all documents spread over all shards;
+2. equal texts, and then equal passages, collapse to one with its smallest id.
+   Anchors of a single document go, and those with one passage need no search;
+3. an anchor with more than ``HOT`` different passages is replaced by two longer ones
+   about each of its places, of which every window around it holds one; those that still
+   have more are halved again. Each has a part of the passage, most of them of one document
+   only, so the passages of an anchor in a third of all documents spread over all shards;
 4. each shard builds a compressed FM-index of its passages: suffix order, the
    Burrows-Wheeler transform in a wavelet matrix with packed bits and block ranks,
    and one bit per suffix that starts a new group of equal windows. Every passage
    is streamed backwards through the index. A step narrows the interval of the
    suffix; the group bit widens it to all suffixes that share ``WINDOW`` words, the
    matching statistics cut at the threshold. The smallest id of the group decides;
-5. intervals go back to the documents whose passages they are, by document.
+5. intervals go back from parts to passages and from those to their documents. Passages
+   that hold a large share of all places are few and broadcast, so no key of that join is
+   large.
 
 Windows are judged on the input. Defined results: a null text has no words and an
 empty kept text; a missing id counts as larger than any other; rows with equal id
@@ -43,6 +46,9 @@ GRAM = 8
 HOT = 512
 SHARD_WORDS = 150_000
 LEAST_SHARDS = 64
+CROWDED = 1024
+#: Length of the span of a text that goes whole, if it has a window.
+ALL = (1 << 31) - 1
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -328,33 +334,75 @@ def _search_shard(window: int):
     return run
 
 
-def _windows(window: int):
-    """The windows around hot anchors as passages of their own."""
+def _halves(h: np.ndarray, at: int, size: int, window: int):
+    """The two longer grams that every window around a gram has one of, with their passages.
+
+    The windows of the passage ``h`` that hold the gram of ``size`` words at ``at`` start in
+    ``[at + size - window, at]``. Those of the first half share the words from the middle
+    to the end of the gram, the others those from its beginning to a window past the middle.
+    Yields place and size of the longer gram, start and length of the passage around it.
+    """
+    low, high = at + size - window, at
+    middle = (low + high) // 2
+    for first, last in ((low, middle), (middle + 1, high)):
+        a, z = max(first, 0), min(last, len(h) - window)
+        if first <= last and a <= z:
+            yield last, first + window - last, a, z + window - a
+
+
+def _split(window: int, gram: int):
+    """Passages of hot anchors to the passages around their halves, with the words' hashes.
+
+    A passage comes with its words, and is split at every place of its anchor, or with the
+    hashes of its words and the one place of a longer anchor.
+    """
     def run(batch, _):
-        out: dict[str, list] = {k: [] for k in ("doc", "version", "anchor", "p", "start")}
-        for doc, version, text, at in zip(*(c.to_pylist() for c in batch.columns)):
-            h, _ = words_of(text)
-            start = np.unique(np.concatenate([np.arange(x["start"], x["start"] + x["length"] - window + 1)
-                                              for x in at]))
-            size = np.full(len(start), window)
-            for k, x in zip(out, (np.full(len(start), doc), np.full(len(start), version),
-                                  spans_hash(runs(h, window, 11), start, size).view(np.int64),
-                                  spans_hash(runs(h, window, 13), start, size).view(np.int64), start)):
+        out: dict[str, list] = {f.split()[0]: [] for f in _PART.split(", ")}
+        for row in batch.to_pylist():
+            if "t" in row:
+                words = row["t"].split()
+                for x in row["at"]:
+                    h, _ = words_of(b" ".join(words[x["start"]:x["start"] + x["length"]]))
+                    n = len(h) - gram + 1
+                    grams = spans_hash(runs(h, gram, 1), np.arange(n), np.full(n, gram))
+                    here = np.flatnonzero(grams.view(np.int64) == x["anchor"])
+                    add(out, x["anchor"], x["p"], x["least"], row["version"], x["start"], h,
+                        [(int(i), gram) for i in here], 0)
+            else:
+                add(out, row["root"], row["whole"], row["doc"], row["version"],
+                    row["start"] - row["place"], np.array(row["h"], np.int64).view(np.uint64),
+                    [(row["gram"], row["size"])], row["place"])
+        return out if out["doc"] else None
+
+    def add(out, root, whole, doc, version, base, h, grams, place):
+        found = sorted({x for at, size in grams for x in _halves(h, at, size, window)})
+        if not found:
+            return
+        at, size, start, length = (np.array(x, np.int64) for x in zip(*found))
+        # The place of the gram is part of a passage, the number of its words of both.
+        shape = (size * 128 + at - start).astype(np.uint64) * _MIX
+        anchor = _mixed(spans_hash(runs(h, window, 11), at, size) + size.astype(np.uint64) * _MIX)
+        p = _mixed(spans_hash(runs(h, len(h), 13), start, length) + shape)
+        for i in range(len(found)):
+            a, n = int(start[i]), int(length[i])
+            for k, x in zip(out, (root, whole, doc, version, int(anchor.view(np.int64)[i]),
+                                  int(p.view(np.int64)[i]), base + place + a, n, place + a,
+                                  int(at[i]) - a, int(size[i]), h[a:a + n].view(np.int64))):
                 out[k].append(x)
-        if not out["doc"]:
-            return None
-        made = {k: np.concatenate(x) for k, x in out.items()}
-        return {**made, "length": np.full(len(made["start"]), window)}
     return run
 
 
 _MEMBER = "doc long, version long, anchor long, p long, start int, length int"
+#: A part of the passage (root, whole), which lies at ``place`` in it: the gram of ``size``
+#: words is at ``gram`` in the part, whose words have the hashes ``h``.
+_PART = ("root long, whole long, doc long, version long, anchor long, p long, start int, "
+         "length int, place int, gram int, size int, h array<bigint>")
 
 
 def _shared_passages(members: DataFrame) -> DataFrame:
-    """(anchor, p, least, place, n) of distinct passages whose anchor has several documents."""
+    """(anchor, p, least, place, times, n) of distinct passages whose anchor has several documents."""
     distinct = stage(members.groupBy("anchor", "p").agg(
-        F.min("doc").alias("least"), F.max("doc").alias("most"),
+        F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("times"),
         F.min(F.struct("doc", "version", "start", "length")).alias("place")), "passages-distinct")
     several = (distinct.groupBy("anchor").agg(F.min("least").alias("a"), F.max("most").alias("z"),
                                               F.count("*").alias("n"))
@@ -382,43 +430,108 @@ def _with_texts(rows: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
     return some.join(per_doc, ["doc", "version"])
 
 
+def _later_copies(docs: DataFrame) -> DataFrame:
+    """(doc, version) of the rows whose whole text a document with a smaller id has."""
+    ids = stage(docs.select("doc", "version", F.xxhash64(F.lit(1), "t").alias("again")), "passages-ids")
+    first = (ids.groupBy("version", "again").agg(F.min("doc").alias("a"), F.max("doc").alias("z"))
+             .filter("a < z").select("version", "again", "a"))
+    return stage(ids.join(first, ["version", "again"]).filter("doc > a")
+                 .select("doc", "version").distinct(), "passages-copies")
+
+
+def _verdicts(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """anchor, p, least, times and the hits of distinct passages."""
+    return shared.select("anchor", "p", "least", "times").join(
+        found.groupBy("anchor", "p").agg(F.collect_list(F.struct("place", "words")).alias("hits")),
+        ["anchor", "p"], "left")
+
+
+def _hits(members: DataFrame, verdicts: DataFrame, window: int, *columns: str) -> DataFrame:
+    """The columns of members with one ``hit`` (place, words) in the passage a row.
+
+    A passage that equals one of a smaller document goes whole, the first one loses its hits.
+    Passages with over ``1 / CROWDED`` of all members, at most ``CROWDED`` and hence
+    broadcast, leave the others' join without a large key.
+    """
+    most = members.count() / CROWDED
+    crowded = F.broadcast(verdicts.filter(F.col("times") > most))
+    marked = members.join(crowded, ["anchor", "p"], "left")
+    rest = marked.filter("least IS NULL").select(members.columns).join(
+        verdicts.filter(F.col("times") <= most), ["anchor", "p"])
+    whole = F.array(F.struct(F.lit(0).alias("place"), F.col("length").alias("words")))
+    hits = (F.when((F.col("doc") > F.col("least")) & (F.col("length") >= window), whole)
+            .when(F.col("doc") == F.col("least"), F.col("hits")))
+    return marked.filter("least IS NOT NULL").unionByName(rest).select(*columns, F.explode(hits).alias("hit"))
+
+
+def _halved(busy: DataFrame, docs: DataFrame, window: int, gram: int, hot: int):
+    """Members and shared passages of the parts that hot anchors are split into.
+
+    Each round splits the passages of anchors that still are hot; an anchor as long as a
+    window has one passage.
+    """
+    roots = busy.select("place.*", "anchor", "p", "least")
+    texts = _with_texts(roots, docs, "anchor", "p", "least", "start", "length")
+    parts = texts.select("version", "t", "at")
+    members = shared = None
+    while True:
+        part = stage(tuples(parts, _split(window, gram), _PART), "passages-parts")
+        found = _shared_passages(part)
+        still = found.filter(F.col("n") > hot).select("anchor").distinct()
+        cold, own = found.filter(F.col("n") <= hot), part.drop("gram", "size", "h")
+        own = own.join(cold.select("anchor").distinct(), "anchor", "left_semi")
+        members = own if members is None else members.unionByName(own)
+        shared = cold if shared is None else shared.unionByName(cold)
+        if still.isEmpty():
+            return stage(members, "passages-part-members"), shared
+        parts = part.join(still, "anchor", "left_semi")
+
+
 def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                   hot: int = HOT) -> DataFrame:
     """(doc, version, spans) of the documents that lose words; docs has doc, version and t."""
-    every = stage(tuples(docs, _passages(window, gram), _MEMBER), "passages")
+    copies = _later_copies(docs)
+    copied = sieve(copies.select("doc"))(F.col("doc"))
+    # Of equal texts the first decides for the others, which need no search.
+    firsts = docs.filter(~copied).unionByName(
+        docs.filter(copied).join(copies, ["doc", "version"], "left_anti"))
+    every = stage(tuples(firsts, _passages(window, gram), _MEMBER), "passages")
     several = every.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z")
-    members = every.filter(sieve(several.select("anchor"))(F.col("anchor")))
+    members = stage(every.filter(sieve(several.select("anchor"))(F.col("anchor"))), "passages-members")
     shared = _shared_passages(members)
-    usual, busy = shared.filter(F.col("n") <= hot), shared.filter(F.col("n") > hot)
+    busy, parts = shared.filter(F.col("n") > hot), None
+    search = usual = shared.filter(F.col("n") <= hot)
     if not busy.isEmpty():
-        anchor = busy.select("anchor").distinct()
-        around = (members.join(anchor, "anchor", "left_semi")
-                  .select("doc", "version", "start", "length").distinct())
-        texts = _with_texts(around, docs, "start", "length").select("doc", "version", "t", "at")
-        # Rows with equal id and text give their windows once.
-        single = stage(tuples(texts, _windows(window), _MEMBER).distinct(), "passages-windows")
-        members = members.join(anchor, "anchor", "left_anti").unionByName(single)
-        usual = usual.unionByName(_shared_passages(single))
-
-    reps = usual.select("place.*", "anchor", "p", "least")
+        parts, halves = _halved(busy, docs, window, gram, hot)
+        search = usual.unionByName(halves)
+
+    # The windows of an anchor's only passage equal nothing but that passage.
+    search = search.filter("n > 1")
+    reps = search.select("place.*", "anchor", "p", "least")
     texts = _with_texts(reps, docs, "anchor", "p", "least", "start", "length").select("t", "at")
     cut = tuples(texts, _cut_out, "anchor long, p long, least long, words binary")
-    shards = max(LEAST_SHARDS, -(-usual.count() * (2 * window - gram) // SHARD_WORDS))
+    shards = max(LEAST_SHARDS, -(-search.count() * (2 * window - gram) // SHARD_WORDS))
     found = stage(cut.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
                   .groupBy("shard").applyInArrow(
                       _search_shard(window), "anchor long, p long, place int, words int"),
                   "passages-found")
-    least = usual.select("anchor", "p", "least").join(
-        found.groupBy("anchor", "p").agg(F.collect_list(F.struct("place", "words")).alias("hits")),
-        ["anchor", "p"], "left")
-    whole = F.array(F.struct(F.lit(0).alias("place"), F.col("length").alias("words")))
-    hits = (F.when((F.col("doc") > F.col("least")) & (F.col("length") >= window), whole)
-            .when(F.col("doc") == F.col("least"), F.col("hits")))
-    return (members.join(least, ["anchor", "p"])
-            .select("doc", "version", "start", F.explode(hits).alias("hit"))
-            .select("doc", "version", (F.col("start") + F.col("hit.place")).alias("start"),
-                    F.col("hit.words").alias("length"))
-            .groupBy("doc", "version").agg(F.collect_set(F.struct("start", "length")).alias("spans")))
+    verdicts = _verdicts(usual, found)
+    if parts is not None:
+        hits = _hits(parts, stage(_verdicts(halves, found), "passages-part-verdicts"), window,
+                     "root", "whole", "place")
+        own = stage(hits.select(F.col("root").alias("anchor"), F.col("whole").alias("p"), F.struct(
+            (F.col("place") + F.col("hit.place")).alias("place"), F.col("hit.words").alias("words"))
+            .alias("hit")).groupBy("anchor", "p").agg(F.collect_set("hit").alias("hits")),
+            "passages-part-hits")
+        verdicts = verdicts.unionByName(busy.select("anchor", "p", "least", "times")
+                                        .join(own, ["anchor", "p"], "left"))
+    spans = (_hits(members, stage(verdicts, "passages-verdicts"), window, "doc", "version", "start")
+             .select("doc", "version", F.struct(
+                 (F.col("start") + F.col("hit.place")).alias("start"),
+                 F.col("hit.words").alias("length")).alias("span"))
+             .groupBy("doc", "version").agg(F.collect_set("span").alias("spans")))
+    return spans.unionByName(copies.select("doc", "version", F.array(F.struct(
+        F.lit(0).alias("start"), F.lit(ALL).alias("length"))).alias("spans")))
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -440,10 +553,10 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sizes, removed, digests, kept_texts = [], [], [], []
         for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             words = (text or b"").split()
-            if at:
+            if at and len(words) >= window:
                 change = np.zeros(len(words) + 1, np.int64)
                 np.add.at(change, [x["start"] for x in at], 1)
-                np.add.at(change, [x["start"] + x["length"] for x in at], -1)
+                np.add.at(change, [min(x["start"] + x["length"], len(words)) for x in at], -1)
                 stays = np.cumsum(change[:-1]) == 0
                 kept = [words[i] for i in np.flatnonzero(stays).tolist()]
             else:

@@ -105,3 +105,44 @@ def test_repeated_rows_missing_ids_and_empty_table(frame, prose):
     assert sorted((repr(r.doc_id), r.n_words, r.n_removed) for r in rows) == [
         ("2", 80, 0), ("2", 80, 0), ("5", 0, 0), ("9", 81, 80), ("None", 80, 80)]
     assert passages.dedup_passages(frame([])).count() == 0
+
+
+@pytest.mark.parametrize(("length", "at"), [(23, 11), (17, 5), (12, 0), (14, 9)])
+def test_halves_hold_every_window_once(length, at):
+    window, gram = 12, 3
+    h = np.arange(length, dtype=np.uint64)
+    seen, parts = [], [(0, h, at, gram)]
+    while parts:
+        base, words, place, size = parts.pop()
+        for g, n, a, k in passages._halves(words, place, size, window):
+            assert a <= g and g + n <= a + k
+            if n == window:
+                seen.append(base + a)
+                assert k == window
+            else:
+                parts.append((base + a, words[a:a + k], g - a, n))
+    assert sorted(seen) == [s for s in range(length - window + 1) if s <= at and at + gram <= s + window]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_hot_anchors_in_repetitive_short_texts(frame, words, seed):
+    """Anchors that occur several times in a passage, cut off at both ends of a text."""
+    rng = random.Random(seed)
+    base = [rng.choice(words[:2]) for _ in range(40)]
+    texts = []
+    for _ in range(60):
+        a = rng.randrange(20)
+        w = base[a:a + rng.randint(8, 22)]
+        if rng.random() < 0.5:
+            w[rng.randrange(len(w))] = rng.choice(words[:3])
+        texts.append(" ".join(w))
+    texts += texts[:10]
+    ids = rng.sample(range(500), len(texts))
+    got = passages.dedup_passages(frame(texts, ids), window=8, gram=2, hot=1)
+    assert result(got) == brute(zip(ids, texts), 8)
+
+
+def test_copies_of_a_text_need_no_search(frame, prose):
+    texts = [prose(60, 1), prose(60, 1), prose(49, 2), prose(49, 2), prose(60, 1).replace(" ", "  "), None, None]
+    got = passages.dedup_passages(frame(texts, [9, 4, 5, 6, 7, 1, 2]))
+    assert result(got) == brute(zip([9, 4, 5, 6, 7, 1, 2], texts), 50)
