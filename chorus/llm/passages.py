@@ -10,19 +10,18 @@ that can hold a match:
    anchor: ``WINDOW - GRAM`` words to either side;
 2. equal texts, and then equal passages, collapse to one with its smallest id.
    Anchors of a single document go, and those with one passage need no search;
-3. an anchor with more than ``HOT`` different passages is replaced by two longer ones
-   about each of its places, of which every window around it holds one; those that still
-   have more are halved again. Each has a part of the passage, most of them of one document
-   only, so the passages of an anchor in a third of all documents spread over all shards;
+3. an anchor with more than ``HOT`` different passages is replaced by longer ones about its
+   place, each with a part of the windows and a narrower passage, and those that are still
+   hot again. Most narrower passages are of one document only and go, so the passages of
+   an anchor in a third of all documents spread over all shards;
 4. each shard builds a compressed FM-index of its passages: suffix order, the
    Burrows-Wheeler transform in a wavelet matrix with packed bits and block ranks,
    and one bit per suffix that starts a new group of equal windows. Every passage
    is streamed backwards through the index. A step narrows the interval of the
    suffix; the group bit widens it to all suffixes that share ``WINDOW`` words, the
    matching statistics cut at the threshold. The smallest id of the group decides;
-5. intervals go back from parts to passages and from those to their documents. Passages
-   that hold a large share of all places are few and broadcast, so no key of that join is
-   large.
+5. intervals go back to the documents whose passages they are. Passages that hold a large
+   share of all places are few and broadcast, so no key of that join is large.
 
 Windows are judged on the input. Defined results: a null text has no words and an
 empty kept text; a missing id counts as larger than any other; rows with equal id
@@ -34,6 +33,7 @@ id and text are not read.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,8 @@ HOT = 512
 SHARD_WORDS = 150_000
 LEAST_SHARDS = 64
 CROWDED = 1024
+#: Narrower passages that one of a hot anchor is cut into.
+WAYS = 4
 #: Length of the span of a text that goes whole, if it has a window.
 ALL = (1 << 31) - 1
 
@@ -156,13 +158,18 @@ def anchors(h: np.ndarray, edges: np.ndarray, window: int = WINDOW,
     return at, grams[at]
 
 
+def _placed(p: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Hashes of passages and of the place of the gram in them."""
+    return _mixed(p + gram.astype(np.uint64) * _MIX)
+
+
 def _passages(window: int, gram: int):
     """Passages around the anchors of each text: hashes and places, no words.
 
     Short texts are taken many at a time, so that array steps are not paid for each.
     """
     def run(batch, _):
-        out: dict[str, list] = {k: [] for k in ("doc", "version", "anchor", "p", "start", "length")}
+        out: dict[str, list] = {f.split()[0]: [] for f in _MEMBER.split(", ")}
         ids, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         texts = [t or b"" for t in batch.column(2).to_pylist()]
         for a, z in bundles(texts):
@@ -175,9 +182,10 @@ def _passages(window: int, gram: int):
             text = np.searchsorted(edges, at, side="right") - 1
             start = np.maximum(at - (window - gram), edges[text])
             length = np.minimum(at + window, edges[text + 1]) - start
-            p = spans_hash(runs(h, int(length.max())), start, length)
+            p = _placed(spans_hash(runs(h, int(length.max())), start, length), at - start)
             for k, x in zip(out, (ids[a + text], own[a + text], value.view(np.int64),
-                                  p.view(np.int64), start - edges[text], length)):
+                                  p.view(np.int64), start - edges[text], length, at - start,
+                                  np.full(len(at), gram))):
                 out[k].append(x)
         return {k: np.concatenate(x) for k, x in out.items()} if out["doc"] else None
     return run
@@ -334,69 +342,46 @@ def _search_shard(window: int):
     return run
 
 
-def _halves(h: np.ndarray, at: int, size: int, window: int):
-    """The two longer grams that every window around a gram has one of, with their passages.
-
-    The windows of the passage ``h`` that hold the gram of ``size`` words at ``at`` start in
-    ``[at + size - window, at]``. Those of the first half share the words from the middle
-    to the end of the gram, the others those from its beginning to a window past the middle.
-    Yields place and size of the longer gram, start and length of the passage around it.
-    """
-    low, high = at + size - window, at
-    middle = (low + high) // 2
-    for first, last in ((low, middle), (middle + 1, high)):
-        a, z = max(first, 0), min(last, len(h) - window)
-        if first <= last and a <= z:
-            yield last, first + window - last, a, z + window - a
-
-
-def _split(window: int, gram: int):
-    """Passages of hot anchors to the passages around their halves, with the words' hashes.
+def narrower(place: np.ndarray, size: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Longer grams and smaller passages for grams of ``size`` words at ``place`` of ``n``.
 
-    A passage comes with its words, and is split at every place of its anchor, or with the
-    hashes of its words and the one place of a longer anchor.
+    The windows that hold a gram start in ``[place + size - window, place]``. This range is cut
+    into ``WAYS``; the windows of each share the words from its last start to the end of its
+    first window. Gives rows of gram, its size, start and length of the passage around it.
     """
+    low, count = place + size - window, window - size + 1
+    found = []
+    for k in range(WAYS):
+        first, last = low + k * count // WAYS, low + (k + 1) * count // WAYS - 1
+        a, z = np.maximum(first, 0), np.minimum(last, n - window)
+        found.append(np.stack([last, first + window - last, a, z + window - a], 1)
+                     [(first <= last) & (a <= z)])
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _split(window: int):
+    """The narrower passages of hot anchors, from the texts and the places of their grams."""
     def run(batch, _):
-        out: dict[str, list] = {f.split()[0]: [] for f in _PART.split(", ")}
-        for row in batch.to_pylist():
-            if "t" in row:
-                words = row["t"].split()
-                for x in row["at"]:
-                    h, _ = words_of(b" ".join(words[x["start"]:x["start"] + x["length"]]))
-                    n = len(h) - gram + 1
-                    grams = spans_hash(runs(h, gram, 1), np.arange(n), np.full(n, gram))
-                    here = np.flatnonzero(grams.view(np.int64) == x["anchor"])
-                    add(out, x["anchor"], x["p"], x["least"], row["version"], x["start"], h,
-                        [(int(i), gram) for i in here], 0)
-            else:
-                add(out, row["root"], row["whole"], row["doc"], row["version"],
-                    row["start"] - row["place"], np.array(row["h"], np.int64).view(np.uint64),
-                    [(row["gram"], row["size"])], row["place"])
-        return out if out["doc"] else None
-
-    def add(out, root, whole, doc, version, base, h, grams, place):
-        found = sorted({x for at, size in grams for x in _halves(h, at, size, window)})
-        if not found:
-            return
-        at, size, start, length = (np.array(x, np.int64) for x in zip(*found))
-        # The place of the gram is part of a passage, the number of its words of both.
-        shape = (size * 128 + at - start).astype(np.uint64) * _MIX
-        anchor = _mixed(spans_hash(runs(h, window, 11), at, size) + size.astype(np.uint64) * _MIX)
-        p = _mixed(spans_hash(runs(h, len(h), 13), start, length) + shape)
-        for i in range(len(found)):
-            a, n = int(start[i]), int(length[i])
-            for k, x in zip(out, (root, whole, doc, version, int(anchor.view(np.int64)[i]),
-                                  int(p.view(np.int64)[i]), base + place + a, n, place + a,
-                                  int(at[i]) - a, int(size[i]), h[a:a + n].view(np.int64))):
+        out: dict[str, list] = {f.split()[0]: [] for f in _MEMBER.split(", ")}
+        for doc, version, text, at in zip(*(c.to_pylist() for c in batch.columns)):
+            h, _ = words_of(text)
+            place, size, start, length = narrower(
+                np.array([x["start"] + x["gram"] for x in at]), np.array([x["size"] for x in at]),
+                len(h), window).T
+            long = size.astype(np.uint64) * _MIX
+            anchor = _mixed(spans_hash(runs(h, window, 11), place, size) + long)
+            p = _placed(spans_hash(runs(h, 2 * window, 13), start, length) + long, place - start)
+            for k, x in zip(out, (np.full(len(place), doc), np.full(len(place), version),
+                                  anchor.view(np.int64), p.view(np.int64), start, length,
+                                  place - start, size)):
                 out[k].append(x)
+        return {k: np.concatenate(x) for k, x in out.items()} if out["doc"] else None
     return run
 
 
-_MEMBER = "doc long, version long, anchor long, p long, start int, length int"
-#: A part of the passage (root, whole), which lies at ``place`` in it: the gram of ``size``
-#: words is at ``gram`` in the part, whose words have the hashes ``h``.
-_PART = ("root long, whole long, doc long, version long, anchor long, p long, start int, "
-         "length int, place int, gram int, size int, h array<bigint>")
+#: A passage of a document, with place and size of the gram that is its anchor.
+_MEMBER = ("doc long, version long, anchor long, p long, start int, length int, gram int, "
+           "size int")
 
 
 def _shared_passages(members: DataFrame) -> DataFrame:
@@ -446,8 +431,8 @@ def _verdicts(shared: DataFrame, found: DataFrame) -> DataFrame:
         ["anchor", "p"], "left")
 
 
-def _hits(members: DataFrame, verdicts: DataFrame, window: int, *columns: str) -> DataFrame:
-    """The columns of members with one ``hit`` (place, words) in the passage a row.
+def _hits(members: DataFrame, verdicts: DataFrame, window: int) -> DataFrame:
+    """doc, version, start and a ``hit`` (place, words) in the passage there, one a row.
 
     A passage that equals one of a smaller document goes whole, the first one loses its hits.
     Passages with over ``1 / CROWDED`` of all members, at most ``CROWDED`` and hence
@@ -461,30 +446,25 @@ def _hits(members: DataFrame, verdicts: DataFrame, window: int, *columns: str) -
     whole = F.array(F.struct(F.lit(0).alias("place"), F.col("length").alias("words")))
     hits = (F.when((F.col("doc") > F.col("least")) & (F.col("length") >= window), whole)
             .when(F.col("doc") == F.col("least"), F.col("hits")))
-    return marked.filter("least IS NOT NULL").unionByName(rest).select(*columns, F.explode(hits).alias("hit"))
+    return marked.filter("least IS NOT NULL").unionByName(rest).select(
+        "doc", "version", "start", F.explode(hits).alias("hit"))
 
 
-def _halved(busy: DataFrame, docs: DataFrame, window: int, gram: int, hot: int):
-    """Members and shared passages of the parts that hot anchors are split into.
+def _narrowed(members: DataFrame, shared: DataFrame, docs: DataFrame, window: int, hot: int):
+    """Members and shared passages with those of the narrower passages of hot anchors.
 
-    Each round splits the passages of anchors that still are hot; an anchor as long as a
-    window has one passage.
+    Only the first document of a passage is cut up, as the others lose it whole. Rounds go on
+    while an anchor is hot; one as long as a window has one passage.
     """
-    roots = busy.select("place.*", "anchor", "p", "least")
-    texts = _with_texts(roots, docs, "anchor", "p", "least", "start", "length")
-    parts = texts.select("version", "t", "at")
-    members = shared = None
+    members_of, shared_of = [members], [shared]
     while True:
-        part = stage(tuples(parts, _split(window, gram), _PART), "passages-parts")
-        found = _shared_passages(part)
-        still = found.filter(F.col("n") > hot).select("anchor").distinct()
-        cold, own = found.filter(F.col("n") <= hot), part.drop("gram", "size", "h")
-        own = own.join(cold.select("anchor").distinct(), "anchor", "left_semi")
-        members = own if members is None else members.unionByName(own)
-        shared = cold if shared is None else shared.unionByName(cold)
-        if still.isEmpty():
-            return stage(members, "passages-part-members"), shared
-        parts = part.join(still, "anchor", "left_semi")
+        busy = shared_of[-1].filter(F.col("n") > hot).select("anchor", "p", F.col("least").alias("doc"))
+        if busy.isEmpty():
+            return (reduce(DataFrame.unionByName, frames) for frames in (members_of, shared_of))
+        own = members_of[-1].join(busy, ["anchor", "p", "doc"], "left_semi")
+        texts = _with_texts(own, docs, "start", "gram", "size").select("doc", "version", "t", "at")
+        members_of.append(stage(tuples(texts, _split(window), _MEMBER), "passages-narrower"))
+        shared_of.append(_shared_passages(members_of[-1]))
 
 
 def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
@@ -498,15 +478,9 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     every = stage(tuples(firsts, _passages(window, gram), _MEMBER), "passages")
     several = every.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z")
     members = stage(every.filter(sieve(several.select("anchor"))(F.col("anchor"))), "passages-members")
-    shared = _shared_passages(members)
-    busy, parts = shared.filter(F.col("n") > hot), None
-    search = usual = shared.filter(F.col("n") <= hot)
-    if not busy.isEmpty():
-        parts, halves = _halved(busy, docs, window, gram, hot)
-        search = usual.unionByName(halves)
-
+    members, shared = _narrowed(members, _shared_passages(members), docs, window, hot)
     # The windows of an anchor's only passage equal nothing but that passage.
-    search = search.filter("n > 1")
+    search = shared.filter((F.col("n") > 1) & (F.col("n") <= hot))
     reps = search.select("place.*", "anchor", "p", "least")
     texts = _with_texts(reps, docs, "anchor", "p", "least", "start", "length").select("t", "at")
     cut = tuples(texts, _cut_out, "anchor long, p long, least long, words binary")
@@ -515,17 +489,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                   .groupBy("shard").applyInArrow(
                       _search_shard(window), "anchor long, p long, place int, words int"),
                   "passages-found")
-    verdicts = _verdicts(usual, found)
-    if parts is not None:
-        hits = _hits(parts, stage(_verdicts(halves, found), "passages-part-verdicts"), window,
-                     "root", "whole", "place")
-        own = stage(hits.select(F.col("root").alias("anchor"), F.col("whole").alias("p"), F.struct(
-            (F.col("place") + F.col("hit.place")).alias("place"), F.col("hit.words").alias("words"))
-            .alias("hit")).groupBy("anchor", "p").agg(F.collect_set("hit").alias("hits")),
-            "passages-part-hits")
-        verdicts = verdicts.unionByName(busy.select("anchor", "p", "least", "times")
-                                        .join(own, ["anchor", "p"], "left"))
-    spans = (_hits(members, stage(verdicts, "passages-verdicts"), window, "doc", "version", "start")
+    verdicts = stage(_verdicts(shared, found), "passages-verdicts")
+    spans = (_hits(members, verdicts, window)
              .select("doc", "version", F.struct(
                  (F.col("start") + F.col("hit.place")).alias("start"),
                  F.col("hit.words").alias("length")).alias("span"))

@@ -107,21 +107,19 @@ def test_repeated_rows_missing_ids_and_empty_table(frame, prose):
     assert passages.dedup_passages(frame([])).count() == 0
 
 
-@pytest.mark.parametrize(("length", "at"), [(23, 11), (17, 5), (12, 0), (14, 9)])
-def test_halves_hold_every_window_once(length, at):
-    window, gram = 12, 3
-    h = np.arange(length, dtype=np.uint64)
-    seen, parts = [], [(0, h, at, gram)]
-    while parts:
-        base, words, place, size = parts.pop()
-        for g, n, a, k in passages._halves(words, place, size, window):
-            assert a <= g and g + n <= a + k
-            if n == window:
-                seen.append(base + a)
-                assert k == window
-            else:
-                parts.append((base + a, words[a:a + k], g - a, n))
-    assert sorted(seen) == [s for s in range(length - window + 1) if s <= at and at + gram <= s + window]
+@pytest.mark.parametrize(("n", "at"), [(40, 20), (23, 11), (17, 5), (12, 0), (14, 9)])
+def test_narrower_passages_hold_every_window_of_a_gram_once(n, at):
+    window, gram, seen = 12, 3, []
+    grams = [(at, gram)]
+    while grams:
+        made = passages.narrower(*np.array(grams).T, n, window).tolist()
+        grams = [(g, size) for g, size, _, _ in made if size < window]
+        for g, size, start, length in made:
+            assert start <= g and g + size <= start + length <= n
+            if size == window:
+                assert (start, length) == (g, window)
+                seen.append(start)
+    assert sorted(seen) == [s for s in range(n - window + 1) if s <= at and at + gram <= s + window]
 
 
 @pytest.mark.parametrize("seed", [3, 4])
