@@ -384,15 +384,28 @@ _MEMBER = ("doc long, version long, anchor long, p long, start int, length int,
            "size int")
 
 
+def _uneven_join(rows: DataFrame, lookup: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """Inner join with a lookup whose keys have ``times`` rows each.
+
+    Keys of over ``1 / CROWDED`` of the rows, fewer than ``CROWDED`` and hence broadcast, leave
+    the join of the others without a large key.
+    """
+    most = rows.count() / CROWDED
+    marked = rows.join(F.broadcast(lookup.filter(F.col(times) > most)), keys, "left")
+    rest = marked.filter(F.col(times).isNull()).select(rows.columns)
+    return marked.filter(F.col(times).isNotNull()).unionByName(
+        rest.join(lookup.filter(F.col(times) <= most), keys))
+
+
 def _shared_passages(members: DataFrame) -> DataFrame:
     """(anchor, p, least, place, times, n) of distinct passages whose anchor has several documents."""
     distinct = stage(members.groupBy("anchor", "p").agg(
         F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("times"),
         F.min(F.struct("doc", "version", "start", "length")).alias("place")), "passages-distinct")
-    several = (distinct.groupBy("anchor").agg(F.min("least").alias("a"), F.max("most").alias("z"),
-                                              F.count("*").alias("n"))
-               .filter("a < z").select("anchor", "n"))
-    return stage(distinct.drop("most").join(several, "anchor"), "passages-shared")
+    several = stage(distinct.groupBy("anchor").agg(F.min("least").alias("a"), F.max("most").alias("z"),
+                                                   F.count("*").alias("n"))
+                    .filter("a < z").select("anchor", "n"), "passages-anchors")
+    return stage(_uneven_join(distinct.drop("most"), several, ["anchor"], "n"), "passages-shared")
 
 
 def _cut_out(batch, _):
@@ -435,19 +448,12 @@ def _hits(members: DataFrame, verdicts: DataFrame, window: int) -> DataFrame:
     """doc, version, start and a ``hit`` (place, words) in the passage there, one a row.
 
     A passage that equals one of a smaller document goes whole, the first one loses its hits.
-    Passages with over ``1 / CROWDED`` of all members, at most ``CROWDED`` and hence
-    broadcast, leave the others' join without a large key.
     """
-    most = members.count() / CROWDED
-    crowded = F.broadcast(verdicts.filter(F.col("times") > most))
-    marked = members.join(crowded, ["anchor", "p"], "left")
-    rest = marked.filter("least IS NULL").select(members.columns).join(
-        verdicts.filter(F.col("times") <= most), ["anchor", "p"])
     whole = F.array(F.struct(F.lit(0).alias("place"), F.col("length").alias("words")))
     hits = (F.when((F.col("doc") > F.col("least")) & (F.col("length") >= window), whole)
             .when(F.col("doc") == F.col("least"), F.col("hits")))
-    return marked.filter("least IS NOT NULL").unionByName(rest).select(
-        "doc", "version", "start", F.explode(hits).alias("hit"))
+    return (_uneven_join(members, verdicts, ["anchor", "p"], "times")
+            .select("doc", "version", "start", F.explode(hits).alias("hit")))
 
 
 def _narrowed(members: DataFrame, shared: DataFrame, docs: DataFrame, window: int, hot: int):
