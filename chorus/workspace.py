@@ -16,6 +16,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Whole texts travel to Python; a batch of the default ten thousand is tens of MB on each side.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    # Rows picked for their long texts would otherwise fill batches of 64 MB.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608b",
 }
 
 

@@ -22,3 +22,14 @@ def test_a_local_session_without_settings_stages_tables(tmp_path):
            "PYTHONPATH": str(Path(__file__).resolve().parent.parent)}
     done = subprocess.run([sys.executable, "-c", CODE], env=env, capture_output=True, text=True, timeout=180)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    rows = spark.range(0, 40, 1, 1).selectExpr("repeat('x', 1000000) AS t")
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) <= 9
