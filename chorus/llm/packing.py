@@ -5,13 +5,14 @@ are cut into pieces of ``capacity``; the first piece takes the remainder. Full
 pieces are sequences of their own. The others are items:
 
 1. each task packs its items best-fit, largest first, into bins;
-2. bins that are nearly full are emitted, the underfull ones become items;
+2. bins with less room than the least filled of all bins uses are as full as they can
+   get and are emitted, the underfull ones become items;
 3. rounds deal the underfull bins to fewer groups and pack them again, until one
-   group holds the rest or a round no longer merges any.
+   group holds the rest, where no two bins fit together any more.
 
-A group never holds more than ``GROUP`` bins, so no task grows with the corpus:
-if bins that cannot merge are left, a round without gain ends the work and they
-are emitted as they are. A bin carries its members and their offsets, so nothing
+A group holds ``GROUP`` bins with ``MEMBERS`` pieces on average, so no task grows with the corpus. Where that
+takes several groups, rounds deal the bins anew to as many, and end when ``STILL`` of
+them in a row merge nothing. A bin carries its members and their offsets, so nothing
 has to be joined afterwards.
 
 Texts of Latin characters are encoded by a byte-pair encoder made from the tokenizer
@@ -41,8 +42,9 @@ from chorus.llm.tokens import tokenizer
 
 CAPACITY = 1024
 END_ID = 2
-NEARLY_FULL = 16  # a bin with at most so much room is emitted
-GROUP = 40_000
+GROUP = 40_000  # bins
+MEMBERS = 400_000  # pieces in the bins of a group
+STILL = 3  # rounds in a row without a merge that end the work
 FLUSH = 100_000
 
 MEMBER = ("struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,"
@@ -214,26 +216,36 @@ def _repack(capacity: int):
     return run
 
 
+def _parted(bins: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """Underfull bins, bins that no other fits into, and the bins and members of the first."""
+    uses = bins.groupBy("used").agg(F.count("*"), F.sum(F.size("members"))).collect()
+    most = capacity - min((used for used, _, _ in uses), default=0)
+    rest = [(n, members) for used, n, members in uses if used <= most]
+    return (bins.filter(F.col("used") <= most), bins.filter(F.col("used") > most),
+            sum(n for n, _ in rest), sum(members for _, members in rest))
+
+
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
          id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8,
-         group: int = GROUP) -> DataFrame:
+         group: int = GROUP, most_members: int = MEMBERS) -> DataFrame:
     """One row per piece with its sequence and its offset there."""
-    open_at_most = capacity - NEARLY_FULL
-    bins = stage(local_bins(docs, tokenizer_path, capacity, id_col, text_col), "packing-0")
+    rest = stage(local_bins(docs, tokenizer_path, capacity, id_col, text_col), "packing-0")
     tasks = max(1, docs.sparkSession.sparkContext.defaultParallelism)
-    done, rest, level = [], bins, 0
+    done, level, still, before = [], 0, 0, None
     while True:
-        level += 1
-        done.append(rest.filter(F.col("used") > open_at_most))
-        rest = rest.filter(F.col("used") <= open_at_most)
-        left = rest.count()
+        rest, full, left, members = _parted(rest, capacity)
+        done.append(full)
         if left <= 1:
             break
-        least = -(-left // group)
-        groups = max(least, tasks // fan_in ** (level - 1), 1)
+        least = max(-(-left // group), -(-members // most_members))
+        groups = max(least, tasks // fan_in ** level, 1)
+        still = still + 1 if before == (left, groups) else 0
+        if still == STILL:
+            break
+        before, level = (left, groups), level + 1
         dealt = rest.withColumn("g", F.pmod(F.xxhash64("bin", F.lit(level)), F.lit(groups)))
         rest = stage(dealt.groupBy("g").applyInArrow(_repack(capacity), BIN), f"packing-{level}")
-        if groups == 1 or (groups == least and rest.count() > 0.98 * left):
+        if groups == 1:
             break
     done.append(rest)
     out = done[0]

@@ -57,6 +57,42 @@ def test_rounds_over_many_partitions(frame, prose):
     assert used <= 1.1 * least + 1
 
 
+def bins_of(rows):
+    """Filled places of every sequence."""
+    used = defaultdict(int)
+    for r in rows:
+        used[r.sequence_id] += r.length
+    return sorted(used.values())
+
+
+def test_bins_dealt_to_several_groups_end_where_nothing_fits(frame, prose):
+    """More underfull bins than a group holds: rounds go on until none merge any more."""
+    texts = [prose(n % 23, n) for n in range(400)]
+    df = frame(texts).repartition(16)
+    rows = packing.pack(df, FILE, capacity=100, group=3).collect()
+    used, least = check(rows, dict(enumerate(texts)), 100)
+    fewest, _ = check(packing.pack(df, FILE, capacity=100).collect(), dict(enumerate(texts)), 100)
+    assert used <= 1.02 * fewest + 2
+
+
+def test_a_small_item_fills_a_nearly_full_bin(frame):
+    """No two sequences of a single group fit together, however little room they have."""
+    texts = ["a b c d e f g h i"] * 30 + ["a"] * 7 + [""] * 20
+    df = frame(texts).repartition(12)
+    rows = packing.pack(df, FILE, capacity=11).collect()
+    check(rows, dict(enumerate(texts)), 11)
+    small, second = bins_of(rows)[:2]
+    assert small + second > 11
+
+
+def test_rounds_end_with_one_bin_a_group(frame):
+    """Groups so small that bins which fit seldom meet: the rounds end, nothing is lost."""
+    texts = ["a b c d e"] * 40 + ["a b c d"]
+    used, _ = check(packing.pack(frame(texts).repartition(8), FILE, capacity=11, group=1).collect(),
+                    dict(enumerate(texts)), 11)
+    assert used in (40, 41)
+
+
 def test_small_capacity_cuts_the_remainder_first():
     ids = np.arange(10, dtype="<u4").tobytes()
     assert [x[:3] for x in packing.pieces(ids, 4)] == [(0, 0, 2), (1, 2, 4), (2, 6, 4)]
