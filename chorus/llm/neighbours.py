@@ -13,14 +13,17 @@ with probability 0.68 and so passes the threshold with probability 0.97 or more,
 which is what the recall rests on; the tests measure it against brute force.
 
 Every valid row is indexed. Shards are dealt by a hash of the id, so equal vectors
-spread. Queries go to the shards in blocks of at most ``BLOCK`` vectors, the only
-data that is broadcast. Results are cut to k inside each task before they move.
+spread. Queries are a frame too, dealt to blocks of some ``BLOCK`` vectors; a task
+takes one shard and one block, so neither side passes the driver or is broadcast.
+Results are cut to k inside each task before they move.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, neither as query nor as candidate; neither do rows
 without an id. Vectors are compared with those of their own dimension only. A row
-is no candidate for queries with its own id. Ties go to the smaller id. An empty
-table gives an empty result. Other columns are not read.
+is no candidate for queries with its own id. Ties go to the smaller id. If rows repeat
+a query id, each of its different vectors is a query with ranks of its own, told apart
+by ``query_key``, a hash of the vector; equal rows are one query. Repeated rows are a
+candidate each. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +40,11 @@ WIDEN = 1.25
 FIRST_SHARE = 0.02  # share of a shard inside the first windows
 SHARD = 16_384
 BLOCK = 4_096
+LEAST_BLOCKS = 4  # so that few shards still make many tasks
 SEED = 7
+SALTS = 32
+FOUND = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()),
+                   ("score", pa.float64()), ("salt", pa.int32())])
 
 
 def lines(dimension: int) -> np.ndarray:
@@ -77,9 +84,11 @@ class Shard:
             counts, verified = np.zeros(n, np.int32), np.zeros(n, bool)
             numbers, distances, radius = [], [], first
             while True:
-                half = min(radius, edge)
-                new_low = np.clip(np.searchsorted(flat, centre - half, "left"), starts, low)
-                new_high = np.clip(np.searchsorted(flat, centre + half, "right"), high, ends)
+                if radius < spread:
+                    new_low = np.clip(np.searchsorted(flat, centre - radius, "left"), starts, low)
+                    new_high = np.clip(np.searchsorted(flat, centre + radius, "right"), high, ends)
+                else:  # as wide as a line is, however far off the query
+                    new_low, new_high = starts, ends
                 added = [order[a:b] for a, b in zip(new_low.tolist(), low.tolist()) if b > a]
                 added += [order[a:b] for a, b in zip(high.tolist(), new_high.tolist()) if b > a]
                 low, high = new_low, new_high
@@ -121,6 +130,7 @@ def _build(table: pa.Table) -> pa.Table:
     flat = pa.concat_arrays([c.flatten() for c in table["vector"].chunks]).to_numpy()
     shard = Shard(ids, flat.reshape(len(ids), -1))
     return pa.table({
+        "shard": pa.array([table["shard"][0].as_py()], pa.int32()),
         "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
         "vectors": pa.array([shard.vectors.astype("<f8").tobytes()], pa.binary()),
         "order": pa.array([shard.order.astype("<i4").tobytes()], pa.binary()),
@@ -142,35 +152,41 @@ def build_index(vectors: DataFrame) -> DataFrame:
     shards = max(8, -(-vectors.count() // SHARD))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     return stage(dealt.groupBy("shard").applyInArrow(
-        _build, "ids binary, vectors binary, order binary, sorted binary"), "neighbour-index")
+        _build, "shard int, ids binary, vectors binary, order binary, sorted binary"), "neighbour-index")
 
 
-def search(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """Up to k neighbours per query and task, for one block of queries."""
-    shared = index.sparkSession.sparkContext.broadcast((query_ids, queries))
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        ids, block = shared.value
-        best: list = []
-        for batch in batches:
-            for row in batch.to_pylist():
+def _search(k: int):
+    def run(shards: pa.Table, queries: pa.Table) -> pa.Table:
+        keys, best = queries["key"].to_numpy(), []
+        if queries.num_rows:
+            ids = queries["id"].to_numpy()
+            flat = pa.concat_arrays([c.flatten() for c in queries["vector"].chunks]).to_numpy()
+            block = flat.reshape(len(ids), -1)
+            for row in shards.to_pylist():
                 shard = _load(row)
                 q, at, distance = shard.nearest(ids, block, k)
-                best.append((q, shard.ids[at], distance))
-        if best:
-            q, found, distance = (np.concatenate(x) for x in zip(*best))
-            order = np.lexsort((found, distance, q))
-            q, found, distance = q[order], found[order], distance[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            q, found, distance = (x[place < k] for x in (q, found, distance))
-            yield pa.RecordBatch.from_pydict({
-                "query_id": pa.array(ids[q], pa.int64()), "vec_id": pa.array(found, pa.int64()),
-                "score": pa.array(distance, pa.float64()),
-                "salt": pa.array(np.full(len(q), TaskContext.get().partitionId() % 32), pa.int32())})
-
-    return index.mapInArrow(run, "query_id long, vec_id long, score double, salt int")
+                best.append((ids[q], keys[q], shard.ids[at], distance,
+                             np.full(len(q), row["shard"] % SALTS)))
+        columns = [np.concatenate(x) for x in zip(*best)] if best else [[]] * len(FOUND)
+        return pa.table([pa.array(x, t) for x, t in zip(columns, FOUND.types)], schema=FOUND)
+    return run
+
+
+def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Up to k neighbours per query and shard; ``queries`` has id, key and vector."""
+    spark = index.sparkSession
+    shards = index.agg(F.max("shard")).first()[0] + 1
+    blocks = max(LEAST_BLOCKS, -(-queries.count() // BLOCK))
+    # Pairs differ little in size and none may share a task because its rows are few.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pair = ["shard", "block"]
+    left = (index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            .repartition(parts, *pair))
+    right = (queries.withColumn("block", F.pmod(F.xxhash64("id", "key"), F.lit(blocks)).cast("int"))
+             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+             .repartition(parts, *pair))
+    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(
+        _search(k), "query_id long, query_key long, vec_id long, score double, salt int")
 
 
 def _best(df: DataFrame, k: int, *by: str) -> DataFrame:
@@ -189,26 +205,13 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_col
     found = None
     for (dimension,) in rows.select(F.size("vector")).distinct().collect():
         same = rows.filter(F.size("vector") == dimension)
-        index = build_index(same)
-        wanted = same.filter(F.col("id") % every == 0).dropDuplicates(["id"]).toLocalIterator()
-        for block in wanted_blocks(wanted):
-            part = search(index, np.array([r["id"] for r in block], np.int64),
-                          np.array([r["vector"] for r in block], np.float64), k)
-            found = part if found is None else found.unionByName(part)
+        wanted = (same.filter(F.col("id") % every == 0).distinct()
+                  .select("id", F.xxhash64("vector").alias("key"), "vector"))
+        part = search(build_index(same), wanted, k)
+        found = part if found is None else found.unionByName(part)
+    columns = ["query_id", "rank", "vec_id", "score", "query_key"]
     if found is None:
         return vectors.sparkSession.createDataFrame(
-            [], "query_id long, rank int, vec_id long, score double")
-    return (_best(_best(found, k, "query_id", "salt"), k, "query_id")
-            .select("query_id", "rank", "vec_id", "score"))
-
-
-def wanted_blocks(rows):
-    """Lists of at most ``BLOCK`` rows."""
-    block = []
-    for row in rows:
-        block.append(row)
-        if len(block) == BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+            [], "query_id long, rank int, vec_id long, score double, query_key long")
+    query = ["query_id", "query_key"]
+    return _best(_best(found, k, *query, "salt"), k, *query).select(*columns)

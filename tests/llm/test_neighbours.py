@@ -62,7 +62,7 @@ def test_vectors_that_take_no_part(spark):
             (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, []), (None, [1.0, 0.5]), (100, [1.0, 0.0]),
             (8, [1.0, 0.0, 0.0]), (200, [0.0, 0.0]), (9, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted(map(tuple, neighbours.nearest_neighbours(df).collect()))
+    got = sorted(tuple(r)[:4] for r in neighbours.nearest_neighbours(df).collect())
     assert got == [(0, 1, 100, 0.0), (0, 2, 1, 1.0), (0, 3, 9, 1.0),
                    (100, 1, 0, 0.0), (100, 2, 1, 1.0), (100, 3, 9, 1.0)]
 
@@ -70,4 +70,32 @@ def test_vectors_that_take_no_part(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     got = neighbours.nearest_neighbours(df)
-    assert got.count() == 0 and got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert got.count() == 0 and got.columns == [
+        "query_id", "rank", "vec_id", "score", "query_key"]
+
+
+def test_query_ids_with_several_vectors(spark):
+    """Each different vector of an id is a query; equal rows are one query, two candidates."""
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 5.0]), (100, [1.0, 0.0]), (1, [2.0, 0.0]),
+            (1, [2.0, 0.0]), (2, [0.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = neighbours.nearest_neighbours(df).collect()
+    lists = {}
+    for r in sorted(got, key=lambda r: r.rank):
+        lists.setdefault((r.query_id, r.query_key), []).append((r.rank, r.vec_id, r.score))
+    assert len(lists) == 2
+    assert sorted(lists.values()) == [
+        [(1, 1, 1.0), (2, 1, 1.0), (3, 2, 17 ** 0.5)],
+        [(1, 2, 1.0), (2, 1, 29 ** 0.5), (3, 1, 29 ** 0.5)]]
+
+
+def test_more_blocks_and_shards_than_one(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 10)
+    monkeypatch.setattr(neighbours, "SHARD", 100)
+    rng = np.random.default_rng(6)
+    ids, vectors = np.arange(1500), rng.standard_normal((1500, 8))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)],
+                               "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(df, every=20).collect()
+    assert len(got) == 750
+    assert recall(got, brute(ids, vectors, every=20)) >= 0.9
