@@ -16,6 +16,10 @@ pass over the staged posteriors, which sums a small vector for each of the step
 tried; the best of them is taken. The passes end when the projected gradient is below
 ``TOLERANCE``; if ``ITERATIONS`` of them do not get there, ``fit_rates`` raises.
 
+With weights a rate is at most ``MOST_RATE``, so a rare domain cannot ask for thousands of
+copies of a text. What expected tokens then differ from the targets is part of the result
+(``missed_`` and the domain, in tokens), and a warning if it is over ``MISSED`` of them all.
+
 ``CLEANING`` instead of weights removes what is not good: its targets come from the
 expected tokens measured in the input. Documents classed good (no domain has a larger
 posterior) have a rate of at least 1, the others of at most 1. Good keeps its tokens.
@@ -41,6 +45,7 @@ from __future__ import annotations
 
 import operator
 import re
+import warnings
 from collections import Counter
 
 import numpy as np
@@ -57,6 +62,8 @@ MOST_FEATURES = 60_000
 ITERATIONS = 60
 TOLERANCE = 1e-6  # of the projected gradient, as a share of all tokens
 NEARNESS = 1e-6
+MOST_RATE = 64.0  # with weights
+MISSED = 0.01
 LEAST_NORM = 1e-3
 LENGTHS = 4.0 ** -np.arange(8)
 
@@ -239,7 +246,7 @@ def replay(p: np.ndarray, prices: np.ndarray, cleaning: bool = False) -> np.ndar
 def bounds(p: np.ndarray, cleaning: bool) -> tuple[np.ndarray, np.ndarray]:
     """Least and largest rate of each row."""
     if not cleaning:
-        return np.zeros(len(p)), np.full(len(p), np.inf)
+        return np.zeros(len(p)), np.full(len(p), MOST_RATE)
     good = classed_good(p)
     return good.astype(float), np.where(good, np.inf, 1.0)
 
@@ -278,7 +285,14 @@ def _sums(rows: DataFrame, fn) -> np.ndarray:
 
 def fit_rates(rows: DataFrame, weights: dict[str, float] | str, total: float | None = None,
               spare: float = 1.0) -> np.ndarray:
-    """Prices of the domains at the optimum; ``rows`` has tokens and p.
+    """Prices of the domains at the optimum, see ``solve_rates``."""
+    return solve_rates(rows, weights, total, spare)[0]
+
+
+def solve_rates(rows: DataFrame, weights: dict[str, float] | str, total: float | None = None,
+                spare: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Prices of the domains at the optimum and by how many tokens each misses its target;
+    ``rows`` has tokens and p.
 
     ``weights`` are target shares, or ``CLEANING``, which has no budget of its own.
     ``total`` is the token budget of the mixture. Without it the largest domain of
@@ -292,7 +306,7 @@ def fit_rates(rows: DataFrame, weights: dict[str, float] | str, total: float | N
     have, carried = found[:d], found[d:2 * d]
     scale = have.sum()
     if not scale:
-        return prices
+        return prices, np.zeros(d)
     cleaning = weights == CLEANING
     if cleaning:
         target = cleaning_targets(have, carried) / scale
@@ -325,7 +339,7 @@ def fit_rates(rows: DataFrame, weights: dict[str, float] | str, total: float | N
     _, gradient, gram = next(states([prices]))
     for _ in range(ITERATIONS):
         if np.abs(gradient).max() < TOLERANCE:
-            return prices
+            break
         step = np.linalg.solve(gram, gradient)
         tried = [np.round(prices + x * step, 12) for x in LENGTHS]
         found = list(states(tried))
@@ -334,7 +348,11 @@ def fit_rates(rows: DataFrame, weights: dict[str, float] | str, total: float | N
     if np.abs(gradient).max() >= TOLERANCE:
         raise RuntimeError(f"no optimal rates after {ITERATIONS} passes: projected gradient "
                            f"{np.abs(gradient).max():.1e} of all tokens")
-    return prices
+    missed = gradient + near @ prices
+    if np.abs(missed).max() > MISSED * target.sum():
+        shares = ", ".join(f"{x} {m:+.1%}" for x, m in zip(DOMAINS, missed / target.sum()))
+        warnings.warn(f"targets that no allowed rates meet, of all target tokens: {shares}")
+    return prices, missed * scale
 
 
 def draws(rate: Column, key: Column) -> Column:
@@ -345,9 +363,9 @@ def draws(rate: Column, key: Column) -> Column:
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | str,
         total: float | None = None, spare: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, posteriors, rate and copies of every row."""
+    """doc_id, n_tokens, posteriors, rate and copies of every row, and what the whole misses."""
     rows = stage(posteriors(docs, fit(docs, labels, id_col, text_col), id_col, text_col), "mix-rows")
-    prices = fit_rates(rows, weights, total, spare)
+    prices, missed = solve_rates(rows, weights, total, spare)
 
     def run(batch, _):
         p = _matrix(batch, "p")
@@ -356,7 +374,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | str,
 
     rated = tuples(rows, run, "doc_id long, n_tokens long, "
                    + ", ".join(f"p_{x} double" for x in DOMAINS) + ", rate double")
-    return rated.withColumn("copies", draws(F.col("rate"), F.col("doc_id")))
+    return rated.select("*", draws(F.col("rate"), F.col("doc_id")).alias("copies"),
+                        *[F.lit(float(m)).alias(f"missed_{x}") for x, m in zip(DOMAINS, missed)])
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | str,

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import warnings
+
 import corpus_pipeline
 import numpy as np
 import pytest
@@ -128,6 +130,37 @@ def test_rates_short_of_the_optimum_are_no_result(spark, monkeypatch):
         mixing.fit_rates(rows, {"good": 0.93, "poor": 0.055, "toxic": 0.015})
 
 
+@pytest.mark.parametrize("poor,toxic,sharp,reachable", [(0.1, 0.0, 9, False), (0.1, 0.0005, 9, False),
+                                                        (0.1, 0.0, 5, True)])
+def test_weights_of_rare_and_absent_domains_bound_rates_and_report(spark, poor, toxic, sharp,
+                                                                   reachable):
+    """Soft posteriors hold enough of a domain that no document has on top, sharp ones do not."""
+    p, t, _ = posterior_rows(poor, toxic, sharp)
+    rows = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p)],
+                                 "tokens long, p array<double>").repartition(3)
+    weights = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        prices, missed = mixing.solve_rates(rows, weights)
+    assert reachable != any("no allowed rates meet" in str(w.message) for w in said)
+    rates, scale = mixing.replay(p, prices), t.sum()
+    target = np.array([weights[x] for x in mixing.DOMAINS]) / 0.8 * (t @ p)[0]
+    assert 0 <= rates.min() and rates.max() <= mixing.MOST_RATE
+    assert reachable == (np.abs(missed).max() <= mixing.MISSED * target.sum())
+    assert np.allclose(missed, (t * rates) @ p - target, atol=1e-6 * scale)
+    norm = np.linalg.inv((p * t[:, None]).T @ p / scale + mixing.LEAST_NORM * np.eye(3))
+
+    def objective(r):
+        gap = ((t * r) @ p - target) / scale
+        return gap @ norm @ gap / 2 + mixing.NEARNESS * np.average((r - 1) ** 2, weights=t) / 2
+
+    best = objective(rates)
+    rng = np.random.default_rng(1)
+    for _ in range(200):  # no feasible step near by is better
+        step = rng.standard_normal(3) * 10.0 ** rng.integers(-3, 2)
+        assert best <= objective(np.clip(rates + p @ step, 0, mixing.MOST_RATE)) + 1e-7
+
+
 @pytest.mark.parametrize("poor,toxic,sharp", [(0.1, 0.002, 9), (0.1, 0.005, 5), (0.1, 0.0, 9),
                                               (0.0, 0.0, 5), (0.3, 0.3, 5), (0.3, 0.3, 2)])
 def test_cleaning_with_rare_absent_and_frequent_toxic_documents(spark, poor, toxic, sharp):
