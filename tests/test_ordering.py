@@ -173,3 +173,33 @@ def test_histogram_and_box(rows, frame):
 def test_histogram_of_one_value(spark):
     same = spark.createDataFrame([(2.0,)] * 4, "v double")
     assert profile.histogram(same, "v", 5).agg(F.sum("n")).first()[0] == 4
+
+
+def test_vocabulary_counts_only_ngrams_that_may_enter(spark, monkeypatch):
+    import random
+    from collections import Counter
+    from chorus.config import TfidfConfig
+    from chorus.operators import rows, tfidf
+    pick = random.Random(5)
+    words = [f"z{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    texts = [" ".join(pick.choices(words, weights=range(1, 65), k=pick.randint(0, 60))) for _ in range(300)]
+    texts += [None, "", "zak", texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    df_of, total = Counter(), Counter()
+    for t in texts:
+        w = (t or "").split()
+        grams = [" ".join(w[i:i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+        total.update(grams)
+        df_of.update(set(grams))
+    for most in (20, 100, 5000):  # cut within the words, after them, not at all
+        config = TfidfConfig(max_features=most, min_df=2, max_df=0.9)
+        fit = [g for g in total if 2 <= df_of[g] <= 0.9 * len(texts)]
+        want = sorted(sorted(fit, key=lambda g: (-total[g], g))[:most])
+        found = tfidf.vocabulary(df, "id", "t", config).orderBy("term_id").collect()
+        assert [(r.term, r.df, r.total, r.n_docs, r.term_id) for r in found] == [
+            (g, df_of[g], total[g], len(texts), i) for i, g in enumerate(want)]
+    left = tfidf._frequent_terms(df, "id", "t", TfidfConfig(), tfidf.STOP_WORDS, 50).count()
+    assert left == sum(n for g, n in total.items() if " " in g and n >= 50) < sum(total.values()) / 10
+    monkeypatch.setattr(rows, "PART_BYTES", 1000)
+    size = sum(len(t or "") for t in texts)
+    assert rows.place(df, "id", "t").rdd.getNumPartitions() == -(-size // 1000) > 8
