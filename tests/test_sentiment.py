@@ -106,3 +106,14 @@ def test_learnt_words_have_a_subjectivity_of_their_own(spark):
     assert got["day"].valence == 0 and got["day"].subjectivity == 0
     assert got["fine"].subjectivity == got["poor"].subjectivity == 80
     assert got["fine"].valence == -got["poor"].valence > 0
+
+
+def test_words_in_context_are_compiled(spark):
+    """Only capitals and kinds of a word are interpreted functions; what stands around it is a row."""
+    df = spark.createDataFrame([(1, "So VERY good BuT not bad")], "id long, t string")
+    found = lex.words_in_context(df, "id", "t")
+    shown = found._jdf.queryExecution().analyzed().toString()
+    assert shown.count("lambdafunction(") <= 3
+    assert [(r.word, r.side, r.turned) for r in found.collect()] == [
+        ("so", 5, False), ("very", 5, False), ("good", 5, False), ("but", 10, False),
+        ("not", 15, False), ("bad", 15, True)]
