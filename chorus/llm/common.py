@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -49,56 +48,28 @@ def tuples(df: DataFrame, fn: Callable, schema: str, init: Callable | None = Non
 
 
 SIEVE_BITS = 25
-_CHUNK = 1 << 16
-_PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def _places(keys: np.ndarray) -> list[np.ndarray]:
-    mixed = keys.view(np.uint64) ^ (keys.view(np.uint64) >> np.uint64(31))
-    return [((mixed * np.uint64(p)) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64) for p in _PRIMES]
+def marked(df: DataFrame, key: Column, keys: DataFrame, name: str = "_maybe") -> DataFrame:
+    """Add a test that is true for keys among ``keys`` (one long column) and few others.
 
-
-def sieve(keys: DataFrame) -> Callable[[Column], Column]:
-    """A test that is true for every long of a one-column frame and false for most others.
-
-    A Bloom filter of ``2 ** SIEVE_BITS`` bits, 4 MB whatever the number of keys. It
-    only spares rows a shuffle whose exact join follows: where it is too full, more
-    rows move and the result stays the same.
+    A bitmap of ``2 ** SIEVE_BITS`` bits, 4 MB whatever the number of keys, so it may be
+    broadcast. It only spares rows a shuffle whose exact join follows.
     """
-    def mark(batches):
-        bits = np.zeros(1 << SIEVE_BITS, bool)
-        for batch in batches:
-            column = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
-            for at in _places(column.astype(np.int64)):
-                bits[at] = True
-        packed = np.packbits(bits, bitorder="little").reshape(-1, _CHUNK)
-        used = np.flatnonzero(packed.any(axis=1))
-        yield pa.RecordBatch.from_pydict({
-            "chunk": pa.array(used, pa.int32()),
-            "bits": pa.array([packed[i].tobytes() for i in used], pa.binary())})
-
-    def both(table: pa.Table) -> pa.Table:
-        bits = np.zeros(_CHUNK, np.uint8)
-        for b in table["bits"]:
-            bits |= np.frombuffer(b.as_py(), np.uint8)
-        return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    chunks = (keys.mapInArrow(mark, "chunk int, bits binary").groupBy("chunk")
-              .applyInArrow(both, "chunk int, bits binary").collect())
-    packed = np.zeros(((1 << SIEVE_BITS) // 8 // _CHUNK, _CHUNK), np.uint8)
-    for row in chunks:
-        packed[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(packed.ravel())
-
-    @F.pandas_udf("boolean")
-    def maybe(values: pd.Series) -> pd.Series:
-        bits = shared.value
-        found = np.ones(len(values), bool)
-        for at in _places(values.to_numpy(np.int64, na_value=0)):
-            found &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return pd.Series(found)
-
-    return maybe
+    place = lambda column: F.pmod(column, F.lit(1 << SIEVE_BITS))
+    bits = (keys.select(place(F.col(keys.columns[0])).alias("_x"))
+            .groupBy(F.bitmap_bucket_number("_x").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_x")).alias("_bits")))
+    placed = df.withColumns({"_bucket": F.bitmap_bucket_number(place(key)),
+                             "_at": F.bitmap_bit_position(place(key))})
+    found = placed.join(F.broadcast(bits), "_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
+    return found.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_bucket", "_at", "_bits")
+
+
+def maybe(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    return marked(df, key, keys).filter("_maybe").drop("_maybe")
 
 
 def _column(values, kind: pa.DataType) -> pa.Array:

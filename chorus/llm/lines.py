@@ -33,10 +33,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chorus.llm.common import order_id, stage
+from chorus.llm.common import marked, maybe, order_id, stage
 
 LEAST_WORDS = 5
-SIEVE_BITS = 25
 _BLANKS = "[ \\t\\x0B\\f\\r]+"
 
 
@@ -73,28 +72,6 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.when(n >= LEAST_WORDS, _half_keys(F.col("words"), n)).alias("halves"))
 
 
-def _marked(df: DataFrame, key: Column, keys: DataFrame, name: str = "_maybe") -> DataFrame:
-    """Add a test that is true for keys among ``keys`` (one long column) and few others.
-
-    A bitmap of ``2 ** SIEVE_BITS`` bits, 4 MB whatever the number of keys, so it may be
-    broadcast. It only spares rows a shuffle whose exact join follows.
-    """
-    place = lambda column: F.pmod(column, F.lit(1 << SIEVE_BITS))
-    bits = (keys.select(place(F.col(keys.columns[0])).alias("_x"))
-            .groupBy(F.bitmap_bucket_number("_x").alias("_bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_x")).alias("_bits")))
-    placed = df.withColumns({"_bucket": F.bitmap_bucket_number(place(key)),
-                             "_at": F.bitmap_bit_position(place(key))})
-    found = placed.join(F.broadcast(bits), "_bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
-    return found.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_bucket", "_at", "_bits")
-
-
-def _maybe(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
-    return _marked(df, key, keys).filter("_maybe").drop("_maybe")
-
-
 def _with_lines(text: Column, use) -> Column:
     """``use`` of the lines of a text, which are cut once and not per element that is used."""
     return F.transform(F.array(F.split(text, "\n", -1)), use)[0]
@@ -118,12 +95,12 @@ def _candidates(first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -
     halves = long.select("h", "h2", F.explode("halves").alias("half"))
     shared = stage(halves.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1")
                    .select("half"), "line-halves")
-    chosen = (_maybe(halves, F.col("half"), shared).join(shared, "half", "left_semi")
+    chosen = (maybe(halves, F.col("half"), shared).join(shared, "half", "left_semi")
               .select("h", "h2").distinct().join(long.select("h", "h2", "first"), ["h", "h2"]))
     per_doc = stage(
         chosen.groupBy(F.col("first.doc").alias("doc"), F.col("first.version").alias("version"))
         .agg(F.collect_list(F.col("first.line")).alias("at")), "line-wanted")
-    texts = _maybe(_texts(docs, id_col, text_col), _document(), per_doc.select(_document().alias("k")))
+    texts = maybe(_texts(docs, id_col, text_col), _document(), per_doc.select(_document().alias("k")))
     chosen_lines = _with_lines(F.col("t"), lambda lines: F.transform(
         "at", lambda i: F.struct(i.alias("line"), F.element_at(lines, i + 1).alias("raw"))))
     found = (texts.join(per_doc, ["doc", "version"])
@@ -145,7 +122,7 @@ def _near(lines: DataFrame) -> DataFrame:
              .select("h", "h2", "first", (F.col("at") - 1).alias("at"), "key"))  # -1: the line itself
     twice = stage(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"),
                   "line-keys")
-    emitted = stage(_maybe(every, F.col("key"), twice), "line-variants")
+    emitted = stage(maybe(every, F.col("key"), twice), "line-variants")
 
     line = F.struct("first", "h", "h2", "at")
     least = stage(emitted.groupBy("key", "at").agg(F.min(line).alias("least"), F.count("*").alias("n")),
@@ -193,9 +170,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                       order_id(id_col).alias("doc"), F.xxhash64(text_col).alias("version"))
-    marked = _marked(row, _document(), changed.select(_document().alias("k")))
-    met = (marked.filter("_maybe").join(changed, ["doc", "version"], "left").select("row", "kept")
-           .unionByName(marked.filter(~F.col("_maybe")).select(
+    looked = marked(row, _document(), changed.select(_document().alias("k")))
+    met = (looked.filter("_maybe").join(changed, ["doc", "version"], "left").select("row", "kept")
+           .unionByName(looked.filter(~F.col("_maybe")).select(
                "row", F.lit(None).cast("array<int>").alias("kept"))))
     text = F.col("row").getField(text_col)
     left = F.when(F.col("kept").isNull() | text.isNull(), text).otherwise(

@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chorus.llm.common import order_id, sieve, stage, tuples, utf8
+from chorus.llm.common import marked, maybe, order_id, stage, tuples, utf8
 
 WINDOW = 50
 GRAM = 8
@@ -424,7 +424,7 @@ def _with_texts(rows: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
     """doc, version, t and the rows ``at`` of each document that has any."""
     per_doc = stage(rows.groupBy("doc", "version").agg(
         F.collect_list(F.struct(*columns)).alias("at")), "passages-per-doc")
-    some = docs.filter(sieve(per_doc.select("doc"))(F.col("doc")))
+    some = maybe(docs, F.col("doc"), per_doc.select("doc"))
     return some.join(per_doc, ["doc", "version"])
 
 
@@ -477,13 +477,13 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                   hot: int = HOT) -> DataFrame:
     """(doc, version, spans) of the documents that lose words; docs has doc, version and t."""
     copies = _later_copies(docs)
-    copied = sieve(copies.select("doc"))(F.col("doc"))
+    looked = marked(docs, F.col("doc"), copies.select("doc"))
     # Of equal texts the first decides for the others, which need no search.
-    firsts = docs.filter(~copied).unionByName(
-        docs.filter(copied).join(copies, ["doc", "version"], "left_anti"))
+    firsts = looked.filter(~F.col("_maybe")).drop("_maybe").unionByName(
+        looked.filter("_maybe").drop("_maybe").join(copies, ["doc", "version"], "left_anti"))
     every = stage(tuples(firsts, _passages(window, gram), _MEMBER), "passages")
     several = every.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z")
-    members = stage(every.filter(sieve(several.select("anchor"))(F.col("anchor"))), "passages-members")
+    members = stage(maybe(every, F.col("anchor"), several.select("anchor")), "passages-members")
     members, shared = _narrowed(members, _shared_passages(members), docs, window, hot)
     # The windows of an anchor's only passage equal nothing but that passage.
     search = shared.filter((F.col("n") > 1) & (F.col("n") <= hot))
@@ -515,9 +515,9 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), order_id(id_col).alias("doc"),
                        F.xxhash64(text_col).alias("version"), utf8(text_col).alias("t"))
     # Documents that lose nothing need not move.
-    loses = sieve(spans.select("doc"))(F.col("doc"))
-    joined = (rows.filter(loses).join(spans, ["doc", "version"], "left").select("doc_id", "t", "spans")
-              .unionByName(rows.filter(~loses).select(
+    looked = marked(rows, F.col("doc"), spans.select("doc"))
+    joined = (looked.filter("_maybe").join(spans, ["doc", "version"], "left").select("doc_id", "t", "spans")
+              .unionByName(looked.filter(~F.col("_maybe")).select(
                   "doc_id", "t", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))))
 
     def run(batch, _):

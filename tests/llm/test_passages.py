@@ -7,6 +7,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from chorus.llm import passages
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -144,3 +146,11 @@ def test_copies_of_a_text_need_no_search(frame, prose):
     texts = [prose(60, 1), prose(60, 1), prose(49, 2), prose(49, 2), prose(60, 1).replace(" ", "  "), None, None]
     got = passages.dedup_passages(frame(texts, [9, 4, 5, 6, 7, 1, 2]))
     assert result(got) == brute(zip([9, 4, 5, 6, 7, 1, 2], texts), 50)
+
+
+def test_texts_are_read_by_one_python_function_a_task(spark):
+    """A test in Python beside the search for anchors doubles the workers an executor has to hold."""
+    docs = spark.createDataFrame([(1, 1, b"a b"), (2, 2, b"a b")], "doc long, version long, t binary")
+    found = passages._with_texts(docs.select("doc", "version", F.lit(0).alias("start")), docs, "start")
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 2
