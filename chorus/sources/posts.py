@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from chorus import schema
 from chorus.functions import jsonmeta
-from chorus.operators.ordering import dense_row_ids
+from chorus.operators.ordering import dense_row_ids, prefix_sums
 from chorus.workspace import stage
 
 RAW_POST_DEFAULTS = {
@@ -151,8 +151,15 @@ def mark_processed(posts: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def unprocessed(posts: DataFrame, limit: int, order: Sequence[str]) -> DataFrame:
-    """The next batch of pending posts in a total order."""
-    return posts.filter(_pending("is_processed")).orderBy(*order).limit(limit)
+    """The next batch of pending posts in a total order.
+
+    The last key of the batch is found from the keys alone, part by part; a limit would bring
+    all posts of the batch into one task.
+    """
+    pending = posts.filter(_pending("is_processed"))
+    keys = pending.select(*order, F.lit(1).alias("_n"))
+    last = prefix_sums(keys, [], order, ["_n"], {"_n": limit}).agg(F.max(F.struct(*order)))
+    return pending.filter(F.struct(*order) <= last.scalar()).orderBy(*order)
 
 
 def recent(posts: DataFrame, ts: str, minutes: int) -> DataFrame:

@@ -145,3 +145,12 @@ def test_csv_keeps_every_text(spark):
 def test_only_the_value_of_the_key_is_replaced(spark, meta, want):
     row = spark.createDataFrame([(meta,)], "m string")
     assert row.select(jsonmeta.set_field(F.col("m"), "k", "v")).first()[0] == want
+
+
+def test_batch_of_all_pending_posts_is_not_one_task(spark):
+    rows = [(i, None if i % 7 else True, f"t{i}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, is_processed boolean, text string").repartition(8)
+    for limit in (0, 1, 100, 4000, 10_000):
+        found = posts.unprocessed(df, limit, ["id"])
+        assert "Limit" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert [r.id for r in found.collect()] == [i for i in range(5000) if i % 7][:limit]
