@@ -49,6 +49,23 @@ def _without(words: Column, at: Column) -> Column:
                     F.slice(words, at + 2, F.greatest(F.size(words) - at - 1, F.lit(0))))
 
 
+def _keys(words: Column) -> Column:
+    """The key of a line and those of its variants with one word less, in order of the place.
+
+    A key is the exclusive or of a hash per word and place, so that the next variant differs
+    by two of them; no words are hashed again for each variant.
+    """
+    here = F.transform(words, lambda w, i: F.xxhash64(w, i))
+    ahead = F.transform(words, lambda w, i: F.xxhash64(w, i - 1))  # a word after the one left out
+    steps = F.zip_with(F.slice(here, F.lit(1), F.size(here) - 1),
+                       F.slice(ahead, F.lit(2), F.size(ahead) - 1), lambda a, b: a.bitwiseXOR(b))
+    every = lambda hashes: F.aggregate(hashes, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    variants = F.aggregate(
+        steps, F.array(every(F.slice(ahead, F.lit(2), F.size(ahead) - 1))),
+        lambda made, step: F.concat(made, F.array(F.element_at(made, -1).bitwiseXOR(step))))
+    return F.concat(F.array(every(here)), variants)
+
+
 def _half_keys(words: Column, n: Column) -> Column:
     """Keys of the halves that one edit leaves alone, for a partner as long or one word longer."""
     keys = []
@@ -111,9 +128,7 @@ def _candidates(first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -
                      F.xxhash64(F.lit("second"), F.col("words")).alias("h2")))
     # Rows with equal id and text are one document.
     lines = found.groupBy("h", "h2").agg(F.min("first").alias("first"), F.first("words").alias("words"))
-    keys = F.transform(F.sequence(F.lit(0), F.size("words") - 1),
-                       lambda at: F.xxhash64(_without(F.col("words"), at)))
-    return stage(lines.withColumn("keys", F.concat(F.array("h"), keys)), "line-candidates")
+    return stage(lines.withColumn("keys", _keys(F.col("words"))), "line-candidates")
 
 
 def _near(lines: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from chorus.llm import lines
 
 
@@ -90,3 +92,22 @@ def test_no_python_in_the_plan(frame):
     df = lines.dedup_lines(frame(["a b c d e f", "a b c d e g"]))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_keys_of_variants_are_those_of_the_shorter_lines(spark):
+    """Every variant has the key of the line it is, and words are hashed once each, not per variant."""
+    texts = ["a b c d e f", "a a a a a", "x y x y x y x", " ".join(f"w{i % 7}" for i in range(40))]
+    shorter = [[w[:i] + w[i + 1:] for i in range(len(w))] for w in map(str.split, texts)]
+    rows = [(n, w) for n, (t, s) in enumerate(zip(texts, shorter)) for w in [t.split(), *s]]
+    made = spark.createDataFrame(rows, "line int, words array<string>").select(
+        "line", "words", lines._keys(F.col("words")).alias("keys")).collect()
+    whole = {tuple(r.words): r.keys[0] for r in made}
+    assert len(set(whole.values())) == len(whole)
+    for n, text in enumerate(texts):
+        keys = next(r.keys for r in made if list(r.words) == text.split())
+        assert keys[1:] == [whole[tuple(w)] for w in shorter[n]]
+
+    long = " ".join(f"w{i}" for i in range(6000))  # 36 million hashes of words, if taken per variant
+    plan = spark.createDataFrame([(long.split(),)], "words array<string>").select(
+        F.size(lines._keys(F.col("words"))))
+    assert plan.first()[0] == 6001
