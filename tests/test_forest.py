@@ -125,3 +125,23 @@ def test_no_sums_are_shuffled_for_many_blocks(spark, few, monkeypatch):
     assert all(len(c.labels) == len(x) for c in held)
     monkeypatch.setattr(boosting, "EAGER", 0)  # bits of chosen splits only
     assert np.allclose(probabilities(boosting.SoftmaxBoosting(3, "id", config).fit(df), df), want, atol=1e-12)
+
+
+def test_bins_come_in_jobs_whose_number_is_not_that_of_the_partitions(spark, few):
+    """Quantile bins were fetched partition by partition, a job each."""
+    x, y = few
+    df = table(spark, x, y)
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    most = {}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in (4, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            context.setJobGroup(f"bins-{parts}", "bins")
+            columns.feature_bins(df, x.shape[1], 32)
+            most[parts] = len(tracker.getJobIdsForGroup(f"bins-{parts}"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert most[4] == most[24]
