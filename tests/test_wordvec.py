@@ -110,3 +110,37 @@ def test_a_pass_is_the_gradient_of_pairs_and_noise():
     step = lambda w: np.minimum(config.step, 1 / np.maximum(w, 1e-9))[:, None]
     assert np.allclose(moved - centre, up * step(weight), atol=1e-4)
     assert np.allclose(moved_window - window, up_window * step(weight_window), atol=1e-4)
+
+
+def test_the_disk_holds_one_pass(spark, groups, monkeypatch):
+    """Shuffle files and states of earlier passes were left where they were."""
+    import time
+
+    made, stage, blocks = [], wordvec.stage, []
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return sum(1 for file in manager.getAllFiles().mkString("\n").split("\n") if file.endswith(".data"))
+
+    def look(df, purpose):
+        made.append(stage(df, purpose))
+        deadline = time.time() + 20
+        while blocks and shuffled() > max(blocks[:3]) and time.time() < deadline:
+            time.sleep(0.2)  # the cleaner runs beside the passes
+        blocks.append(shuffled())
+        return made[-1]
+
+    monkeypatch.setattr(wordvec, "stage", look)
+    spark.sparkContext._jvm.System.gc()
+    model = models.train_word2vec(groups, "words", Word2VecConfig(vector_size=4, epochs=6))
+    assert model.getVectors().count() == 13
+    held = [df for df in made if any(file.exists() for file in map(_local, df.inputFiles()))]
+    assert held == [made[-1]]  # the vectors
+    assert max(blocks[3:]) <= 3 * max(blocks[2], 1)
+
+
+def _local(uri):
+    from pathlib import Path
+    from urllib.parse import unquote, urlparse
+
+    return Path(unquote(urlparse(uri).path))
